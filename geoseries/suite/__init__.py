@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["scans"]
+PARTS = ["scans", "timeseries", "grids", "scores"]
 
 
 def load():

@@ -254,8 +254,6 @@ def sql(body: str) -> str:
                 todo.append(view)
     views = ", ".join(f"{n} AS ({v})" for n, v in VIEWS.items() if n in needed)
     body = body.strip()
-    if not views:
-        return body
     if body.startswith(","):
-        return f"WITH {views}{body}"
-    return f"WITH {views} {body}"
+        return f"WITH {views}{body}" if views else f"WITH {body[1:]}"
+    return f"WITH {views} {body}" if views else body

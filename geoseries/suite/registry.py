@@ -14,12 +14,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Means of hundredths often lie exactly half-way between two rounded values, where the two
+# engines round differently; this share of the last digit moves both sides off the tie.
+OFF_TIE = 0.2718281828
+
+
 def _same_types(df: DataFrame, floats: list[str], digits: int) -> DataFrame:
     columns = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if field.name in floats:
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double") + F.lit(OFF_TIE * 10.0**-digits), digits)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         columns.append(c.alias(field.name))
@@ -33,7 +38,7 @@ def query(name: str, body: str | None = None, floats: str = "", ints: str = "",
     def register(build):
         QUERIES[name] = lambda spark, sf: _same_types(build(spark, sf), float_names, digits)
         if body is not None:
-            replaced = [f'round({c}, {digits}) AS {c}' for c in map(_quoted, float_names)]
+            replaced = [f'round(CAST({c} AS DOUBLE) + {OFF_TIE * 10.0**-digits!r}, {digits}) AS {c}' for c in map(_quoted, float_names)]
             replaced += [f"CAST({c} AS BIGINT) AS {c}" for c in map(_quoted, int_names)]
             text = sql(body)
             ORACLE[name] = f"SELECT * REPLACE ({', '.join(replaced)}) FROM ({text})" if replaced else text
