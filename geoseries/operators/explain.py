@@ -7,6 +7,7 @@ shuffled: only its per-feature or per-bin partial sums are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from geoseries.operators.metrics import r2, top_feature
 from geoseries.operators.quantiles import exact_percentiles
 from geoseries.operators.ranking import chunked_rank, hash_chunk, hash_rank, row_hash
+from geoseries.session import stable
 
 
 def _long(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -26,18 +28,20 @@ def feature_grids(
 ) -> DataFrame:
     """Grid per feature: its distinct values when there are few, else even steps between two percentiles."""
     long = _long(df, features)
-    values = long.distinct()
-    few = values.groupBy("feature").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") < points)
-    listed = values.join(few.select("feature"), "feature").groupBy("feature").agg(
-        F.array_sort(F.collect_list("value")).alias("grid")
-    )
-    ends = exact_percentiles(long, ["feature"], "value", [low, high], "_e", alpha=0.4)
-    steps = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda i: F.col("_e")[0] + (F.col("_e")[1] - F.col("_e")[0]) * i / F.lit(float(points - 1)),
-    )
-    even = ends.join(few.select("feature"), "feature", "left_anti").select("feature", steps.alias("grid"))
-    return listed.unionByName(even)
+    counts = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
+    few = [row["feature"] for row in counts.collect() if row["k"] < points]  # one row per feature
+    rest = [f for f in features if f not in few]
+    grids = []
+    if few:
+        grids.append(_long(df, few).distinct().groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("grid")))
+    if rest:
+        ends = exact_percentiles(_long(df, rest), ["feature"], "value", [low, high], "_e", alpha=0.4)
+        steps = F.transform(
+            F.sequence(F.lit(0), F.lit(points - 1)),
+            lambda i: F.col("_e")[0] + (F.col("_e")[1] - F.col("_e")[0]) * i / F.lit(float(points - 1)),
+        )
+        grids.append(ends.select("feature", steps.alias("grid")))
+    return reduce(DataFrame.unionByName, grids)
 
 
 def _as_map(grids: DataFrame, name: str) -> Column:
@@ -81,8 +85,10 @@ def ice(
 def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """Accumulated local effects at the bin edges, centred on the mean effect."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = exact_percentiles(_long(df, features), ["feature"], "value", probs, "_p").select(
-        "feature", F.array_distinct("_p").alias("edges")
+    edges = stable(
+        exact_percentiles(_long(df, features), ["feature"], "value", probs, "_p").select(
+            "feature", F.array_distinct("_p").alias("edges")
+        )
     )
     spread = df.select(*score.features).withColumn("_edges", _as_map(edges, "edges"))
     per = spread.select(*score.features, F.explode("_edges").alias("feature", "edges"))

@@ -106,14 +106,22 @@ def regrid_bilinear(
     new_lon: Axis,
     cols: Sequence[str],
     by: Sequence[str] = ("time",),
+    by_slice: bool | None = None,
 ) -> DataFrame:
     """Bilinear values on new axes; null outside the source or where any corner is missing.
 
     Every source cell is sent to the targets it is a corner of, by integer axis index, and
-    the weighted corners are summed: one shuffle, with partial sums before it. `src` holds
-    `lat_i`, `lon_i`. A target none of whose corners has a row has no row in the result.
+    the weighted corners are summed. With `by_slice` (the default for fields in time) the
+    source rows are first brought together per slice, which holds one grid at most: the
+    rows are shuffled before the corners multiply them, and not again for the sums. Without
+    it the partial sums are shuffled, which suits a few static fields. `src` holds `lat_i`,
+    `lon_i`. A target none of whose corners has a row has no row in the result.
     """
     spark = src.sparkSession
+    if by_slice is None:
+        by_slice = "time" in by
+    if by_slice:
+        src = src.select(*by, "lat_i", "lon_i", *cols).repartition(*by)
     lat_w = _weights(spark, lat_axis, new_lat, "lat_i", "_lat", "_wlat")
     lon_w = _weights(spark, lon_axis, new_lon, "lon_i", "_lon", "_wlon")
     parts = (

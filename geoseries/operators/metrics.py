@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoseries.operators.quantiles import exact_percentiles
+from geoseries.session import stable
 
 METRICS = ("rmse", "r", "ubrmse")
 LARGER_IS_BETTER = {"r": True, "r2": True, "rmse": False, "ubrmse": False}
@@ -120,8 +121,8 @@ def combined_metrics(
 
 
 def metric_medians(df: DataFrame, by: Sequence[str], cols: Sequence[str] = METRICS) -> DataFrame:
-    """Exact median of each metric per key."""
-    long = df.select(*by, *cols).unpivot(list(by), list(cols), "_metric", "_value")
+    """Exact median of each metric per key; `df` has one row per station and run."""
+    long = stable(df.select(*by, *cols)).unpivot(list(by), list(cols), "_metric", "_value")
     medians = exact_percentiles(long, [*by, "_metric"], "_value", [0.5], "_mid")
     return medians.groupBy(*by).agg(
         *[F.max(F.when(F.col("_metric") == c, F.col("_mid")[0])).alias(c) for c in cols]

@@ -263,16 +263,24 @@ def train_r2(scorer, df: DataFrame, label: str) -> DataFrame:
 def _inference_rows(static, dynamic, features, time, on):
     rows = assemble_features(static, dynamic, on, time)
     rows = rows.withColumns({k: v for k, v in month_indicators(F.col(time)).items() if k in features})
-    keys = [time, *[c for c in on if c not in features]]
+    keys = [time, *on]
     return require_columns(rows, [*keys, *[f for f in features if f not in keys]]), keys
 
 
+def _score_each(rows: DataFrame, scorers: Mapping[str, object]) -> DataFrame:
+    """A prediction column `_p_<name>` per model, null where that model's features are missing."""
+    for name, scorer in scorers.items():
+        out = f"_p_{name}"
+        rows = null_safe_score(rows, scorer.features, lambda df, s=scorer, o=out: s(df, None, o), out)
+    return rows
+
+
 def predict_grid(
     scorer, static: Sequence[DataFrame], dynamic: Sequence[DataFrame], time: str = "time", on: Sequence[str] = ("lat_i", "lon_i")
 ) -> DataFrame:
     """Prediction for every cell and day in one plan; null where any covariate is missing."""
     rows, keys = _inference_rows(static, dynamic, scorer.features, time, on)
-    return null_safe_score(rows, scorer.features, lambda df: scorer(df, None, "sm"), "sm").select(*keys, "sm")
+    return _score_each(rows, {"one": scorer}).select(*keys, F.col("_p_one").alias("sm"))
 
 
 def predict_ensemble(
@@ -284,21 +292,22 @@ def predict_ensemble(
     if any(list(s.features) != list(first.features) for s in scorers.values()):
         raise ValueError("ensemble members must share their feature list")
     rows, keys = _inference_rows(static, dynamic, first.features, time, on)
-    for name, scorer in scorers.items():
-        rows = null_safe_score(rows, scorer.features, lambda df, s=scorer, n=name: s(df, None, f"_p_{n}"), f"_p_{name}")
-    return ensemble_mean(rows, [f"_p_{n}" for n in scorers], "sm").select(*keys, "sm")
+    return ensemble_mean(_score_each(rows, scorers), [f"_p_{n}" for n in scorers], "sm").select(*keys, "sm")
 
 
 def predict_best(
     scorers: Mapping[str, object], best: Mapping[str, str], static: Sequence[DataFrame], dynamic: Sequence[DataFrame],
     time: str = "time", on: Sequence[str] = ("lat_i", "lon_i"),
 ) -> DataFrame:
-    """Per layer, the prediction of that layer's best model."""
-    result = None
-    for layer, name in best.items():
-        part = predict_grid(scorers[name], static, dynamic, time, on).withColumn("layer", F.lit(layer))
-        result = part if result is None else result.unionByName(part)
-    return result
+    """Per layer, the prediction of that layer's best model.
+
+    Covariates are joined once and each model scores once, however many layers use it.
+    """
+    used = {name: scorers[name] for name in dict.fromkeys(best.values())}
+    features = list(dict.fromkeys(f for s in used.values() for f in s.features))
+    rows, keys = _inference_rows(static, dynamic, features, time, on)
+    layers = [F.struct(F.lit(layer).alias("layer"), F.col(f"_p_{name}").alias("sm")) for layer, name in best.items()]
+    return _score_each(rows, used).select(*keys, F.inline(F.array(*layers)))
 
 
 def save_model(scorer: ModelScorer, path: str) -> None:

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from geoseries.functions.calendar import day_number
 
-HASH_PREFIX = 3  # hex digits: 4096 chunks
+HASH_PREFIX = 4  # hex digits: 65536 chunks
 
 
-def time_chunk(time: Column, days: int = 366) -> Column:
-    """Chunk number of a date or timestamp; chunks follow time."""
+def time_chunk(time: Column, days: int = 1) -> Column:
+    """Chunk number of a date or timestamp; chunks follow time.
+
+    One day per chunk bounds both sides: a busy series is cut by day, and its offsets are at
+    most one row per calendar day. Series with one row per day can use longer chunks.
+    """
     return F.floor(day_number(time) / F.lit(days))
 
 

@@ -11,7 +11,7 @@ from geoseries.operators.ranking import chunked_rank, hash_chunk, hash_rank, row
 
 
 def temporal_split(
-    df: DataFrame, station: str, time: str, ties: Sequence[str] = (), test: float = 0.2, chunk_days: int = 366
+    df: DataFrame, station: str, time: str, ties: Sequence[str] = (), test: float = 0.2, chunk_days: int = 1
 ) -> DataFrame:
     """First int(n * (1 - test)) rows of each station in time order are `train`."""
     ranked = chunked_rank(df, [station], [time, *ties], time_chunk(F.col(time), chunk_days), "_rn", "_n")
@@ -26,7 +26,7 @@ def temporal_split3(
     ties: Sequence[str] = (),
     test: float = 0.2,
     val: float = 0.1,
-    chunk_days: int = 366,
+    chunk_days: int = 1,
 ) -> DataFrame:
     ranked = chunked_rank(df, [station], [time, *ties], time_chunk(F.col(time), chunk_days), "_rn", "_n")
     first = F.floor(F.col("_n") * F.lit(1 - (test + val)))

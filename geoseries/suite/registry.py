@@ -25,6 +25,7 @@ def _same_types(df: DataFrame, floats: list[str], digits: int) -> DataFrame:
         c = F.col(f"`{field.name}`")
         if field.name in floats:
             c = F.round(c.cast("double") + F.lit(OFF_TIE * 10.0**-digits), digits)
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # no negative zero
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         columns.append(c.alias(field.name))
@@ -38,7 +39,8 @@ def query(name: str, body: str | None = None, floats: str = "", ints: str = "",
     def register(build):
         QUERIES[name] = lambda spark, sf: _same_types(build(spark, sf), float_names, digits)
         if body is not None:
-            replaced = [f'round(CAST({c} AS DOUBLE) + {OFF_TIE * 10.0**-digits!r}, {digits}) AS {c}' for c in map(_quoted, float_names)]
+            rounded = [(c, f"round(CAST({c} AS DOUBLE) + {OFF_TIE * 10.0**-digits!r}, {digits})") for c in map(_quoted, float_names)]
+            replaced = [f"CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END AS {c}" for c, r in rounded]
             replaced += [f"CAST({c} AS BIGINT) AS {c}" for c in map(_quoted, int_names)]
             text = sql(body)
             ORACLE[name] = f"SELECT * REPLACE ({', '.join(replaced)}) FROM ({text})" if replaced else text

@@ -212,7 +212,7 @@ def upsample(spark, sf):
 def windows(spark, sf):
     from geoseries.operators.ranking import chunked_rank, time_chunk
 
-    ranked = chunked_rank(b.station_daily(spark, sf), ["station_id"], ["date_time"], time_chunk(F.col("date_time")), "rn")
+    ranked = chunked_rank(b.station_daily(spark, sf), ["station_id"], ["date_time"], time_chunk(F.col("date_time"), 366), "rn")
     built = series.sequence_windows(ranked, ["station_id"], F.col("rn"), ["date_time", "soil_moisture"], 5)
     return built.select("station_id", "start", F.posexplode("steps").alias("pos", "_s")).select(
         "station_id", "start", "pos", "_s.date_time", "_s.soil_moisture"
