@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_grid(df: DataFrame, path: str, time: str = "time", partition_by: Sequence[str] = ()) -> None:
@@ -23,13 +24,16 @@ def read_grid(
     years: Sequence[int] | None = None,
     months: Sequence[int] | None = None,
     skip_unreadable: bool = False,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Only the folders of the wanted years and months are listed and read."""
-    df = (
-        spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
-        .option("ignoreMissingFiles", str(skip_unreadable).lower())
-        .parquet(path)
+    """Only the files of the wanted years and months are read.
+
+    Give the `schema` where files may be unreadable, so that none is opened to infer it.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).option(
+        "ignoreMissingFiles", str(skip_unreadable).lower()
     )
+    df = (reader.schema(schema) if schema is not None else reader).parquet(path)
     if years is not None:
         df = df.where(F.col("year").isin(list(years)))
     if months is not None:
