@@ -44,6 +44,12 @@ def feature_grids(
     return reduce(DataFrame.unionByName, grids)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before they are multiplied, where the input has fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def _as_map(grids: DataFrame, name: str) -> Column:
     return grids.agg(F.map_from_entries(F.collect_list(F.struct("feature", name)))).scalar()
 
@@ -54,8 +60,8 @@ def _swapped(features: Sequence[str], value: Column) -> dict[str, Column]:
 
 
 def _on_grid(df: DataFrame, grids: DataFrame) -> DataFrame:
-    spread = df.withColumn("_grids", _as_map(grids, "grid"))
-    per_feature = spread.select(*df.columns, F.explode("_grids").alias("feature", "_grid"))
+    with_grids = df.withColumn("_grids", _as_map(grids, "grid"))
+    per_feature = with_grids.select(*df.columns, F.explode("_grids").alias("feature", "_grid"))
     return per_feature.select(
         *df.columns, "feature", F.col("_grid")[0].alias("_start"), F.posexplode("_grid").alias("point", "grid_value")
     )
@@ -65,7 +71,7 @@ def pdp(score, df: DataFrame, features: Sequence[str], points: int = 100, exclud
     """Partial dependence: mean prediction over all rows with the feature set to each grid value."""
     chosen = [f for f in features if f not in exclude]
     grids = feature_grids(df, chosen, points)
-    rows = _on_grid(df.select(*score.features), grids)
+    rows = _on_grid(spread(df.select(*score.features)), grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     return scored.groupBy("feature", "point", "grid_value").agg(F.avg("pred").alias("pd"))
 
@@ -90,13 +96,15 @@ def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFr
             "feature", F.array_distinct("_p").alias("edges")
         )
     )
-    spread = df.select(*score.features).withColumn("_edges", _as_map(edges, "edges"))
-    per = spread.select(*score.features, F.explode("_edges").alias("feature", "edges"))
+    with_edges = spread(df.select(*score.features)).withColumn("_edges", _as_map(edges, "edges"))
+    per = with_edges.select(*score.features, F.explode("_edges").alias("feature", "edges"))
     own = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in features])
+    # one comparison per edge, compiled, instead of a lambda over the array
+    below = sum((F.coalesce((F.get("edges", F.lit(k)) < F.col("_own")).cast("int"), F.lit(0)) for k in range(bins + 1)), F.lit(0))
     placed = (
         per.withColumn("_own", own)
         .where(F.col("_own").isNotNull() & (F.size("edges") > 1))
-        .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("_own")))))
+        .withColumn("bin", F.greatest(F.lit(1), below))
         .withColumn("_lo", F.element_at("edges", F.col("bin")))
         .withColumn("_hi", F.element_at("edges", F.col("bin") + 1))
     )
@@ -180,14 +188,16 @@ def shapley_values(
     """
     by, features = list(by), list(score.features)
     rows = with_donors(df, keys, features, repeats, seed, by)
-    order = F.array_sort(
-        F.array(*[F.struct(row_hash(seed, F.col("repeat"), *keys, F.lit(f)).alias("h"), F.lit(f).alias("f")) for f in features])
-    )
-    ordered = rows.withColumn("_order", F.transform(order, lambda s: s["f"]))
-    per = _each_feature(ordered, features).withColumn("_at", F.array_position("_order", F.col("feature")))
-    place = {f: F.array_position("_order", F.lit(f)) for f in features}
-    with_it = {f: F.when(place[f] <= F.col("_at"), F.col(f)).otherwise(F.col(f"donor_{f}")) for f in features}
-    without = {f: F.when(place[f] < F.col("_at"), F.col(f)).otherwise(F.col(f"donor_{f}")) for f in features}
+    # a random 64-bit mark per feature gives the order; the low bits keep marks apart
+    marks = {
+        f: F.shiftleft(F.xxhash64(F.lit(str(seed)), F.col("repeat"), *keys, F.lit(f)), 10) + F.lit(i)
+        for i, f in enumerate(features)
+    }
+    marked = rows.withColumns({f"_m_{f}": m for f, m in marks.items()})
+    at = F.coalesce(*[F.when(F.col("feature") == f, F.col(f"_m_{f}")) for f in features])
+    per = _each_feature(marked, features).withColumn("_at", at)
+    with_it = {f: F.when(F.col(f"_m_{f}") <= F.col("_at"), F.col(f)).otherwise(F.col(f"donor_{f}")) for f in features}
+    without = {f: F.when(F.col(f"_m_{f}") < F.col("_at"), F.col(f)).otherwise(F.col(f"donor_{f}")) for f in features}
     scored = score(score(per, with_it, "_with"), without, "_without")
     names = list(dict.fromkeys([*by, *keys]))
     draws = scored.select(*names, "feature", "repeat", (F.col("_with") - F.col("_without")).alias("phi"))

@@ -164,15 +164,22 @@ def rows_to_grid(df: DataFrame, value: str, n_lat: int, n_lon: int, by: Sequence
 
     An array holds one latitude circle, so its size is the length of the longitude axis.
     """
-    lines = df.groupBy(*by, "lat_i").agg(
-        F.map_from_entries(F.collect_list(F.struct("lon_i", value))).alias("_cells")
+    inside = df.where(F.col("lon_i").between(0, n_lon - 1))
+    lines = inside.groupBy(*by, "lat_i").agg(
+        F.collect_list(F.struct(F.col("lon_i").cast("long").alias("i"), F.col(value).alias("v"))).alias("_cells")
     )
     every = (
         df.select(*by).distinct()
         .select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lat - 1).cast("long"))).alias("lat_i"))
     )
+    kind = dict(df.dtypes)[value]
     axis = F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1).cast("long"))
-    dense = F.transform(axis, lambda i: F.try_element_at(F.coalesce("_cells", F.create_map().cast("map<bigint,double>")), i))
+    present = F.coalesce("_cells", F.array().cast(f"array<struct<i:bigint,v:{kind}>>"))
+    absent = F.transform(
+        F.array_except(axis, F.transform(present, lambda c: c["i"])),
+        lambda i: F.struct(i.alias("i"), F.lit(None).cast(kind).alias("v")),
+    )
+    dense = F.transform(F.sort_array(F.concat(present, absent)), lambda c: c["v"])
     return every.join(lines, [*by, "lat_i"], "left").select(*by, "lat_i", dense.alias("cells"))
 
 
