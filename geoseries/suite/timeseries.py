@@ -72,7 +72,7 @@ def month_calendar(spark, sf):
     )
 
 
-@query("f17_path_part", "SELECT p_partkey, split_part(p_name, ' ', -1) AS tail, split_part(p_name, ' ', 1) AS head FROM part")
+@query("s02_path_part", "SELECT p_partkey, split_part(p_name, ' ', -1) AS tail, split_part(p_name, ' ', 1) AS head FROM part")
 def path_parts(spark, sf):
     part = b.table(spark, sf, "part")
     return part.select(
