@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoseries.functions.calendar import previous_day, year_doy_date
+from geoseries.functions.calendar import day_number, month_indicators, previous_day, year_doy_date
 from geoseries.functions.values import null_sentinel
 from geoseries.operators.clean import mask_quality, scale
 from geoseries.operators.grid import Axis, depth_mean, extract_points, grid_average, regrid_bilinear
-from geoseries.operators.series import resample_daily, rolling_sum, upsample_daily
+from geoseries.operators.metrics import standardize
+from geoseries.operators.series import fill_days, interpolate_linear, resample_daily, rolling_sum, sequence_windows, upsample_daily
 from geoseries.operators.splits import dedup_groups
 
 CELL = ["lat_i", "lon_i"]
@@ -94,3 +95,19 @@ def station_features(
     at_station = extract_points(meta, dynamic.join(static, CELL), "station_id", "latitude", "longitude", lat_axis, lon_axis)
     covariates = at_station.select("station_id", F.col("time").alias("date_time"), *cols)
     return series.join(covariates, ["station_id", "date_time"])
+
+
+def sequence_samples(
+    stations: DataFrame, features: Sequence[str], label: str, length: int, station: str = "station_id", time: str = "date_time"
+) -> DataFrame:
+    """Training sequences: missing days filled and marked, features standardized, month columns, sliding windows.
+
+    Each step holds the date, the scaled features, the twelve month indicators, `Is_valid` and the label.
+    """
+    cols = [*features, label]
+    filled = fill_days(stations.select(station, time, *cols), [station], time, cols)
+    whole = interpolate_linear(filled, [station], day_number(F.col(time)), cols)
+    months = month_indicators(F.col(time))
+    scaled = standardize(whole, features).withColumns(months)
+    steps = [time, *features, *months, "Is_valid", label]
+    return sequence_windows(scaled, [station], day_number(F.col(time)), steps, length)

@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_grid(df: DataFrame, path: str, time: str = "time", partition_by: Sequence[str] = ()) -> None:
-    """Grid rows in `<keys>/year=/month=` folders; rows of one month stay together."""
+def write_grid(
+    df: DataFrame,
+    path: str,
+    time: str = "time",
+    partition_by: Sequence[str] = (),
+    cell: Sequence[str] = ("lat_i", "lon_i"),
+    files_per_month: int = 8,
+) -> None:
+    """Grid rows in `<keys>/year=/month=` folders; a month is split over a few files by cell."""
     parts = [*partition_by, "year", "month"]
     keyed = df.withColumns({"year": F.year(time), "month": F.month(time)})
-    keyed.repartition(*parts, F.pmod(F.xxhash64(*[c for c in df.columns if c.endswith("_i")]), F.lit(8))).write.mode(
-        "overwrite"
-    ).partitionBy(*parts).parquet(path)
+    keyed.repartition(*parts, F.pmod(F.xxhash64(*cell), F.lit(files_per_month))).write.mode("overwrite").partitionBy(
+        *parts
+    ).parquet(path)
 
 
 def read_grid(

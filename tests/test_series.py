@@ -101,3 +101,18 @@ def test_daily_check_and_gap_truncation(spark, rows):
     required = frame(spark, [("a", i, 1.0) for i in range(31)] + [("b", i, 1.0) for i in (0, 1, 3, 4)])
     got = rows(series.truncate_at_gap(df, required, ["s"], "d"), "s", "d")
     assert got == [("a", day(0)), ("a", day(1)), ("b", day(0))]
+
+
+def test_sequence_samples(spark):
+    from geoseries.plans.preparation import sequence_samples
+
+    df = spark.createDataFrame(
+        [("a", day(0), 1.0, 0.1), ("a", day(2), 3.0, 0.3), ("a", day(3), 5.0, 0.4), ("b", day(0), 1.0, 0.2)],
+        "station_id string, date_time date, x double, sm double",
+    )
+    got = sequence_samples(df, ["x"], "sm", 3).sort("start").collect()
+    assert [r.station_id for r in got] == ["a", "a"]
+    assert [s.Is_valid for s in got[0].steps] == [1, 0, 1] and got[0].steps[1].sm == pytest.approx(0.2)
+    assert all(s.month_1 == 1 and s.month_2 == 0 for r in got for s in r.steps)
+    x = np.array([1.0, 2.0, 3.0, 5.0, 1.0])
+    assert [s.x for s in got[1].steps] == pytest.approx(list((np.array([2.0, 3.0, 5.0]) - x.mean()) / x.std()))
