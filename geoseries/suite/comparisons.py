@@ -55,7 +55,7 @@ def yearly_maps(spark, sf):
     return comparison.difference_maps(pred, products, b.grid_mask(spark, sf), "year")
 
 
-@query("f17_difference", """SELECT layer, lat_i, lon_i, time, swvl1 - sm AS diff FROM grid_layers""", floats="diff")
+@query("f17_difference", """SELECT layer, lat_i, lon_i, time, swvl1 - sm AS diff FROM grid_layers""", floats="diff", dates="time")
 def difference(spark, sf):
     return b.grid_layers(spark, sf).select("layer", "lat_i", "lon_i", "time", (F.col("swvl1") - F.col("sm")).alias("diff"))
 

@@ -29,7 +29,7 @@ def join_static(spark, sf):
 @query("j02_assemble_features", """, t AS (SELECT lat_i, lon_i, time, tp FROM grid_daily WHERE tp > 0.02e0)
     SELECT g.lat_i, g.lon_i, g.time, g.sm, t.tp, s.value, s.depth * 1.5e0 AS depth_value, s.lat_i + s.lon_i AS cell_sum
     FROM grid_daily g JOIN t ON g.lat_i = t.lat_i AND g.lon_i = t.lon_i AND g.time = t.time
-    JOIN grid_static s ON s.lat_i = g.lat_i AND s.lon_i = g.lon_i""", floats="sm tp value depth_value")
+    JOIN grid_static s ON s.lat_i = g.lat_i AND s.lon_i = g.lon_i""", floats="sm tp value depth_value", dates="time")
 def assemble(spark, sf):
     daily = b.grid_daily(spark, sf)
     moisture = daily.select("lat_i", "lon_i", "time", "sm")
@@ -52,7 +52,7 @@ def nearest(spark, sf):
 
 
 @query("j04_extract_points", NEAREST_SQL + """ SELECT station_id, time, sm, tp FROM grid_daily JOIN la USING (lat_i)
-    JOIN lo USING (station_id, lon_i)""", floats="sm tp")
+    JOIN lo USING (station_id, lon_i)""", floats="sm tp", dates="time")
 def extract(spark, sf):
     series = grid.extract_points(
         b.station_meta(spark, sf), b.grid_daily(spark, sf), "station_id", "latitude", "longitude", b.LAT_AXIS, b.lon_axis(spark, sf)
@@ -64,7 +64,7 @@ def extract(spark, sf):
     st AS (SELECT lat_i, lon_i, time, sm + CASE WHEN day(time) = 7 THEN 0.01e0 ELSE 0 END AS sm FROM grid_daily WHERE tp < 0.09e0)
     SELECT lat_i, lon_i, time, raw.sm AS raw, st.sm AS stored, raw.sm - st.sm AS diff, CASE WHEN st.sm IS NULL THEN 'not stored'
     WHEN raw.sm IS NULL THEN 'not in raw' WHEN abs(raw.sm - st.sm) <= 1e-6 THEN 'match' ELSE 'differs' END AS status
-    FROM raw FULL JOIN st USING (lat_i, lon_i, time)""", floats="raw stored diff")
+    FROM raw FULL JOIN st USING (lat_i, lon_i, time)""", floats="raw stored diff", dates="time")
 def reconcile(spark, sf):
     daily = b.grid_daily(spark, sf)
     raw = daily.where(F.col("tp") > 0.01)
@@ -114,14 +114,14 @@ def _products(spark, sf):
     (SELECT layer, lat_i, lon_i, time, swvl1 AS era5 FROM grid_layers WHERE swvl1 > 0.2e0)
     FULL JOIN (SELECT layer, lat_i, lon_i, time, SoilMoi0_10cm_inst AS gldas FROM grid_layers WHERE SoilMoi0_10cm_inst < 40) USING (layer, lat_i, lon_i, time)
     FULL JOIN (SELECT layer, lat_i, lon_i, time, SMCI AS smci FROM grid_layers WHERE layer <> 'layer1') USING (layer, lat_i, lon_i, time)""",
-       floats="era5 gldas smci")
+       floats="era5 gldas smci", dates="time")
 def merge(spark, sf):
     cols = {"era5": "swvl1", "gldas": "SoilMoi0_10cm_inst", "smci": "SMCI"}
     return grid.merge_products(_products(spark, sf), ["layer", "lat_i", "lon_i", "time"], cols)
 
 
 @query("j11_semi_available", """SELECT station_id, date_time, soil_moisture FROM station_daily WHERE station_id IN
-    (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60)""", floats="soil_moisture")
+    (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60)""", floats="soil_moisture", dates="date_time")
 def semi(spark, sf):
     product = b.table(spark, sf, "events").where((F.col("event_type") == "purchase") & (F.col("value") > 60))
     return compare.semi_available(b.station_daily(spark, sf), product.select(F.col("user_id").alias("station_id")), ["station_id"])
@@ -137,7 +137,7 @@ def missing(spark, sf):
 
 @query("j12_swap_source", """SELECT s.station_id, s.date_time, p.v AS soil_moisture FROM station_daily s JOIN
     (SELECT user_id AS station_id, CAST(ts AS DATE) AS date_time, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY ALL) p
-    USING (station_id, date_time)""", floats="soil_moisture")
+    USING (station_id, date_time)""", floats="soil_moisture", dates="date_time")
 def swap(spark, sf):
     product = (
         b.table(spark, sf, "events").where(F.col("event_type") == "view")
@@ -159,7 +159,7 @@ def depth_layer(spark, sf):
 
 @query("j14_layer_variable", """SELECT layer, lat_i, lon_i, time, CASE layer WHEN 'layer1' THEN swvl1 WHEN 'layer2' THEN swvl2 ELSE swvl3 END AS era5,
     CASE layer WHEN 'layer1' THEN SoilMoi0_10cm_inst WHEN 'layer2' THEN SoilMoi10_40cm_inst WHEN 'layer3' THEN SoilMoi10_40cm_inst
-    ELSE SoilMoi40_100cm_inst END AS gldas FROM grid_layers""", floats="era5 gldas")
+    ELSE SoilMoi40_100cm_inst END AS gldas FROM grid_layers""", floats="era5 gldas", dates="time")
 def layer_variable(spark, sf):
     layer = F.col("layer")
     return b.grid_layers(spark, sf).select(
@@ -171,7 +171,7 @@ def layer_variable(spark, sf):
 
 @query("j15_compare_group", """, g AS (SELECT station_id // 3 AS group_id, date_time, avg(soil_moisture) AS averaged FROM station_daily GROUP BY ALL)
     SELECT s.station_id, s.date_time, s.soil_moisture, g.averaged, s.soil_moisture - g.averaged AS diff FROM station_daily s JOIN g
-    ON g.group_id = s.station_id // 3 AND g.date_time = s.date_time""", floats="soil_moisture averaged diff")
+    ON g.group_id = s.station_id // 3 AND g.date_time = s.date_time""", floats="soil_moisture averaged diff", dates="date_time")
 def compare_group(spark, sf):
     daily = b.station_daily(spark, sf).withColumn("group_id", F.floor(F.col("station_id") / 3))
     means = daily.groupBy("group_id", "date_time").agg(F.avg("soil_moisture").alias("soil_moisture"))
@@ -184,7 +184,7 @@ def compare_group(spark, sf):
     av AS (SELECT group_id, date_time, avg(soil_moisture) AS soil_moisture FROM station_daily JOIN gr USING (station_id) WHERE members > 1 GROUP BY ALL)
     SELECT gr.station_id, gr.group_id, date_time, soil_moisture FROM av JOIN gr USING (group_id)
     UNION ALL SELECT station_id, group_id, date_time, soil_moisture FROM station_daily JOIN gr USING (station_id) WHERE members = 1
-    AND date_time BETWEEN DATE '2000-01-01' AND DATE '2024-01-20'""", floats="soil_moisture")
+    AND date_time BETWEEN DATE '2000-01-01' AND DATE '2024-01-20'""", floats="soil_moisture", dates="date_time")
 def grid_average(spark, sf):
     return grid.grid_average(
         b.station_daily(spark, sf), b.station_meta(spark, sf), "station_id", "date_time", "soil_moisture",
@@ -254,7 +254,7 @@ def union_missing(spark, sf):
     return a.unionByName(c, allowMissingColumns=True)
 
 
-@query("u03_o01_time_concat", """SELECT station_id, date_time, soil_moisture FROM station_daily""", floats="soil_moisture")
+@query("u03_o01_time_concat", """SELECT station_id, date_time, soil_moisture FROM station_daily""", floats="soil_moisture", dates="date_time")
 def time_concat(spark, sf):
     daily = b.station_daily(spark, sf)
     cut = F.lit("2024-01-16").cast("date")

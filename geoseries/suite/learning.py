@@ -25,7 +25,7 @@ def _forest(spark, sf):
 
 @query("m04_build_features", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, dt AS "day", """
        + ", ".join(f"CAST(month(dt) = {m} AS INT) AS month_{m}" for m in range(1, 13)) + " FROM features",
-       floats="l_quantity", ints=" ".join(f"month_{m}" for m in range(1, 13)))
+       floats="l_quantity", ints=" ".join(f"month_{m}" for m in range(1, 13)), dates="day")
 def feature_table(spark, sf):
     table, names = models.build_features(
         b.features(spark, sf).withColumn("LAND_COVER", F.lit(1)), "day", LABEL, drop=["LAND_COVER", "p_size", "p_retailprice", "s_acctbal"]
@@ -107,7 +107,7 @@ def train_score(spark, sf):
 
 @query("m18_test_scores_linear", f"""SELECT l_suppkey AS station_idx, dt AS date_time, {b.LINEAR_SQL} AS pred, l_extendedprice AS "true" FROM features
     JOIN (SELECT l_suppkey, row_number() OVER (ORDER BY md5(concat('42:', l_suppkey))) AS rn, count(*) OVER () AS n FROM
-    (SELECT DISTINCT l_suppkey FROM features)) s USING (l_suppkey) WHERE rn <= ceil(n * 0.2e0)""", floats="pred true", digits=4)
+    (SELECT DISTINCT l_suppkey FROM features)) s USING (l_suppkey) WHERE rn <= ceil(n * 0.2e0)""", floats="pred true", digits=4, dates="date_time")
 def test_scores(spark, sf):
     test = _split(spark, sf).where(F.col("status") == "test")
     return models.score_test(b.LINEAR, test, "l_suppkey", "day", LABEL)
@@ -144,7 +144,7 @@ def _grid_forest(spark, sf, seed=2023):
     return models.fit_family(rows, names, "sm", "rf", seed=seed, numTrees=5, maxDepth=4)
 
 
-@query("m14_predict_grid_linear", f"SELECT lat_i, lon_i, time, {GRID_SQL} AS sm FROM {GRID_FROM}", floats="sm")
+@query("m14_predict_grid_linear", f"SELECT lat_i, lon_i, time, {GRID_SQL} AS sm FROM {GRID_FROM}", floats="sm", dates="time")
 def predict_grid_linear(spark, sf):
     return models.predict_grid(GRID, *_grid_inputs(spark, sf))
 
@@ -154,7 +154,7 @@ def predict_grid(spark, sf):
     return models.predict_grid(_grid_forest(spark, sf), *_grid_inputs(spark, sf))
 
 
-@query("m15_predict_ensemble_linear", f"SELECT lat_i, lon_i, time, (({GRID_SQL}) + ({GRID_B_SQL})) / 2 AS sm FROM {GRID_FROM}", floats="sm")
+@query("m15_predict_ensemble_linear", f"SELECT lat_i, lon_i, time, (({GRID_SQL}) + ({GRID_B_SQL})) / 2 AS sm FROM {GRID_FROM}", floats="sm", dates="time")
 def predict_ensemble_linear(spark, sf):
     return models.predict_ensemble({"a": GRID, "b": GRID_B}, *_grid_inputs(spark, sf))
 
@@ -166,7 +166,7 @@ def predict_ensemble(spark, sf):
 
 
 @query("m16_predict_best_linear", f"""SELECT 'layer1' AS layer, lat_i, lon_i, time, {GRID_SQL} AS sm FROM {GRID_FROM}
-    UNION ALL SELECT 'layer2', lat_i, lon_i, time, {GRID_B_SQL} FROM {GRID_FROM}""", floats="sm")
+    UNION ALL SELECT 'layer2', lat_i, lon_i, time, {GRID_B_SQL} FROM {GRID_FROM}""", floats="sm", dates="time")
 def predict_best(spark, sf):
     return models.predict_best({"a": GRID, "b": GRID_B}, {"layer1": "a", "layer2": "b"}, *_grid_inputs(spark, sf))
 
@@ -203,7 +203,7 @@ ID = "concat_ws(':', '2023', id)"
 
 @query("x02_ice", GRIDS + f""", sm AS (SELECT * FROM features ORDER BY md5({ID}) LIMIT 1000), st AS (SELECT feature, grid_value AS g0 FROM gr WHERE point = 0)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dt AS "day", feature, point, grid_value, c * (grid_value - g0) AS ice
-    FROM sm, gr JOIN cf USING (feature) JOIN st USING (feature)""", floats="grid_value ice", ints="point", digits=4)
+    FROM sm, gr JOIN cf USING (feature) JOIN st USING (feature)""", floats="grid_value ice", ints="point", digits=4, dates="day")
 def ice_linear(spark, sf):
     return explain.ice(b.LINEAR, b.features(spark, sf), KEYS, FEATURES, POINTS)
 

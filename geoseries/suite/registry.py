@@ -19,29 +19,32 @@ ORACLE: dict[str, str] = {}
 OFF_TIE = 0.2718281828
 
 
-def _same_types(df: DataFrame, floats: list[str], digits: int) -> DataFrame:
+def _same_types(df: DataFrame, floats: list[str], dates: list[str], digits: int) -> DataFrame:
     columns = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if field.name in floats:
             c = F.round(c.cast("double") + F.lit(OFF_TIE * 10.0**-digits), digits)
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # no negative zero
+        elif field.name in dates:
+            c = c.cast("string")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         columns.append(c.alias(field.name))
     return df.select(*columns)
 
 
-def query(name: str, body: str | None = None, floats: str = "", ints: str = "", digits: int = 6):
-    """Register a query. `floats` are rounded and `ints` made BIGINT on both sides."""
-    float_names, int_names = floats.split(), ints.split()
+def query(name: str, body: str | None = None, floats: str = "", ints: str = "", dates: str = "", digits: int = 6):
+    """Register a query. On both sides `floats` are rounded, `ints` made BIGINT, `dates` written as YYYY-MM-DD."""
+    float_names, int_names, date_names = floats.split(), ints.split(), dates.split()
 
     def register(build):
-        QUERIES[name] = lambda spark, sf: _same_types(build(spark, sf), float_names, digits)
+        QUERIES[name] = lambda spark, sf: _same_types(build(spark, sf), float_names, date_names, digits)
         if body is not None:
             rounded = [(c, f"round(CAST({c} AS DOUBLE) + {OFF_TIE * 10.0**-digits!r}, {digits})") for c in map(_quoted, float_names)]
             replaced = [f"CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END AS {c}" for c, r in rounded]
             replaced += [f"CAST({c} AS BIGINT) AS {c}" for c in map(_quoted, int_names)]
+            replaced += [f"CAST({c} AS VARCHAR) AS {c}" for c in map(_quoted, date_names)]
             text = sql(body)
             ORACLE[name] = f"SELECT * REPLACE ({', '.join(replaced)}) FROM ({text})" if replaced else text
         return build

@@ -17,7 +17,7 @@ from geoseries.suite.registry import query
 
 
 @query("s01_station_scan", """SELECT station_id, 'layer' || (1 + station_id % 5) AS layer, date_time, soil_moisture
-    FROM station_daily""", floats="soil_moisture")
+    FROM station_daily""", floats="soil_moisture", dates="date_time")
 def station_scan(spark, sf):
     path = scratch_path(spark, "stations")
     layered = b.station_daily(spark, sf).withColumn(
@@ -43,7 +43,7 @@ def path_fields(spark, sf):
 
 
 @query("s03_grid_scan", """SELECT lat_i, lon_i, time, sm, year(time) AS year, month(time) AS month FROM grid_daily
-    WHERE year(time) BETWEEN 1996 AND 2000 AND month(time) IN (1, 4, 7, 10)""", floats="sm", ints="year month")
+    WHERE year(time) BETWEEN 1996 AND 2000 AND month(time) IN (1, 4, 7, 10)""", floats="sm", ints="year month", dates="time")
 def grid_scan(spark, sf):
     path = scratch_path(spark, "grid")
     grids.write_grid(b.grid_daily(spark, sf), path)
@@ -62,13 +62,13 @@ def _dense(spark, sf):
     return grid.rows_to_grid(b.grid_daily(spark, sf), "sm", 5, n_lon)
 
 
-@query("s04_grid_to_rows", DENSE, floats="sm", ints="lat_i lon_i")
+@query("s04_grid_to_rows", DENSE, floats="sm", ints="lat_i lon_i", dates="time")
 def grid_to_rows(spark, sf):
     return grid.grid_to_rows(_dense(spark, sf), "cells", "sm", ["time", "lat_i"])
 
 
 @query("s05_rows_to_grid", f"""SELECT time, lat_i, count(*) AS n_cells, count(sm) AS n_present, sum(sm) AS total
-    FROM ({DENSE}) GROUP BY ALL""", floats="total", ints="lat_i")
+    FROM ({DENSE}) GROUP BY ALL""", floats="total", ints="lat_i", dates="time")
 def rows_to_grid(spark, sf):
     return _dense(spark, sf).select(
         "time", "lat_i", F.size("cells").cast("long").alias("n_cells"),
@@ -87,7 +87,7 @@ def rows_to_grid(spark, sf):
     stops AS (SELECT station_id, m, min(e.dt) AS stop FROM expected e ANTI JOIN station_daily d
         ON e.station_id = d.station_id AND e.dt = d.date_time GROUP BY ALL)
     SELECT d.station_id, d.dt, d.n FROM days d LEFT JOIN stops s ON d.station_id = s.station_id
-        AND date_trunc('month', d.dt) = s.m WHERE s.stop IS NULL OR d.dt < s.stop""")
+        AND date_trunc('month', d.dt) = s.m WHERE s.stop IS NULL OR d.dt < s.stop""", dates="dt")
 def truncate_at_gap(spark, sf):
     days = b.station_raw(spark, sf).groupBy("station_id", F.to_date("ts").alias("dt")).agg(F.count(F.lit(1)).alias("n"))
     required = b.station_daily(spark, sf).withColumnRenamed("date_time", "dt")
@@ -156,7 +156,7 @@ def importance_wide(spark, sf):
     return metrics.importance_wide(_importance(spark, sf), ["station"], ["f_AF", "f_AO", "f_NO", "f_RF"])
 
 
-@query("p01_projection", "SELECT lat_i, lon_i, time, swvl2 FROM grid_layers WHERE layer = 'layer2'", floats="swvl2")
+@query("p01_projection", "SELECT lat_i, lon_i, time, swvl2 FROM grid_layers WHERE layer = 'layer2'", floats="swvl2", dates="time")
 def projection(spark, sf):
     return b.grid_layers(spark, sf).where(F.col("layer") == "layer2").select("lat_i", "lon_i", "time", "swvl2")
 
@@ -198,7 +198,7 @@ def month_selection(spark, sf):
     return clean.sel_period(li, "l_shipdate", 1999, 12).groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
 
 
-@query("p07_day_slice", "SELECT lat_i, lon_i, time, sm FROM grid_daily WHERE time = DATE '1998-03-05'", floats="sm")
+@query("p07_day_slice", "SELECT lat_i, lon_i, time, sm FROM grid_daily WHERE time = DATE '1998-03-05'", floats="sm", dates="time")
 def day_slice(spark, sf):
     return clean.sel_day(b.grid_daily(spark, sf), "time", date(1998, 3, 5)).select("lat_i", "lon_i", "time", "sm")
 
@@ -226,7 +226,7 @@ def validity_rules(spark, sf):
 @query("p10_scale", """SELECT layer, lat_i, lon_i, time, SoilMoi0_10cm_inst * (1 / 100e0) AS SoilMoi0_10cm_inst,
     SoilMoi10_40cm_inst * (1 / 300e0) AS SoilMoi10_40cm_inst, SoilMoi40_100cm_inst * (1 / 600e0) AS SoilMoi40_100cm_inst,
     SMCI * 0.001e0 AS SMCI FROM grid_layers""",
-       floats="SoilMoi0_10cm_inst SoilMoi10_40cm_inst SoilMoi40_100cm_inst SMCI", digits=8)
+       floats="SoilMoi0_10cm_inst SoilMoi10_40cm_inst SoilMoi40_100cm_inst SMCI", digits=8, dates="time")
 def scale(spark, sf):
     factors = {**schema.GLDAS_SCALES, "SMCI": schema.SMCI_SCALE}
     return clean.scale(b.grid_layers(spark, sf), factors).select("layer", "lat_i", "lon_i", "time", *factors)
@@ -249,7 +249,7 @@ def drop_all(spark, sf):
 
 
 @query("p13_null_safe_score", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dt AS "day",
-    CASE WHEN l_tax > 0 THEN {b.LINEAR_SQL} END AS pred FROM features""", floats="pred", digits=4)
+    CASE WHEN l_tax > 0 THEN {b.LINEAR_SQL} END AS pred FROM features""", floats="pred", digits=4, dates="day")
 def null_safe_score(spark, sf):
     table = b.features(spark, sf).withColumn("l_tax", F.when(F.col("l_tax") > 0, F.col("l_tax")))
     return clean.null_safe_score(table, b.FEATURES, b.LINEAR).select(*b.KEYS, "pred")
@@ -262,7 +262,7 @@ def drop_features(spark, sf):
     return kept.groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in kept.columns if c != "l_suppkey"])
 
 
-@query("p15_required_columns", "SELECT sm, time, lon_i, lat_i FROM grid_daily", floats="sm")
+@query("p15_required_columns", "SELECT sm, time, lon_i, lat_i FROM grid_daily", floats="sm", dates="time")
 def required_columns(spark, sf):
     return schema.require_columns(b.grid_daily(spark, sf).select("lat_i", "lon_i", "time", "sm"), ["sm", "time", "lon_i", "lat_i"])
 
@@ -280,7 +280,7 @@ def valid_rows(spark, sf):
 
 
 @query("p17_clip", """SELECT station_idx, date_time, l_orderkey, l_linenumber, l_partkey,
-    CASE WHEN pred_c IS NULL THEN NULL ELSE least(greatest(pred_c - 0.2e0, 0), 0.5e0) END AS pred FROM scores_wide""", floats="pred")
+    CASE WHEN pred_c IS NULL THEN NULL ELSE least(greatest(pred_c - 0.2e0, 0), 0.5e0) END AS pred FROM scores_wide""", floats="pred", dates="date_time")
 def clip_scores(spark, sf):
     wide = b.scores_wide(spark, sf)
     return wide.select(
@@ -289,14 +289,14 @@ def clip_scores(spark, sf):
     )
 
 
-@query("p18_region_mask", """SELECT lat_i, lon_i, time, sm * band1 AS sm FROM grid_daily LEFT JOIN grid_mask USING (lat_i, lon_i)""", floats="sm")
+@query("p18_region_mask", """SELECT lat_i, lon_i, time, sm * band1 AS sm FROM grid_daily LEFT JOIN grid_mask USING (lat_i, lon_i)""", floats="sm", dates="time")
 def region_mask(spark, sf):
     return grid.apply_mask(b.grid_daily(spark, sf).select("lat_i", "lon_i", "time", "sm"), b.grid_mask(spark, sf), ["sm"])
 
 
 @query("p19_daily_check", """SELECT * FROM (SELECT station_id, min(date_time) AS first_day, max(date_time) AS last_day,
     count(*) AS n_rows, max(date_time) - min(date_time) + 1 AS expected FROM station_daily GROUP BY ALL)
-    WHERE expected <> n_rows""", ints="expected")
+    WHERE expected <> n_rows""", ints="expected", dates="first_day last_day")
 def daily_check(spark, sf):
     return series.check_daily(b.station_daily(spark, sf), ["station_id"], "date_time")
 

@@ -166,7 +166,7 @@ def masked(spark, sf):
 
 @query("a19_standardize", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dt AS "day",
     (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS l_quantity,
-    (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS p_size FROM features""", floats="l_quantity p_size")
+    (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS p_size FROM features""", floats="l_quantity p_size", dates="day")
 def standardize(spark, sf):
     return metrics.standardize(b.features(spark, sf).select(*b.KEYS, "l_quantity", "p_size"), ["l_quantity", "p_size"])
 
@@ -184,7 +184,7 @@ MEMBERS = ["pred_a", "pred_b", "pred_c"]
 ENSEMBLE = "(coalesce(pred_a, 0) + coalesce(pred_b, 0) + coalesce(pred_c, 0)) / (CASE WHEN pred_c IS NULL THEN 2e0 ELSE 3e0 END)"
 
 
-@query("a21_ensemble_mean", f"""SELECT station_idx, date_time, l_orderkey, l_linenumber, l_partkey, {ENSEMBLE} AS pred FROM scores_wide""", floats="pred")
+@query("a21_ensemble_mean", f"""SELECT station_idx, date_time, l_orderkey, l_linenumber, l_partkey, {ENSEMBLE} AS pred FROM scores_wide""", floats="pred", dates="date_time")
 def ensemble(spark, sf):
     return metrics.ensemble_mean(b.scores_wide(spark, sf), MEMBERS).select(
         "station_idx", "date_time", "l_orderkey", "l_linenumber", "l_partkey", "pred"
@@ -207,7 +207,7 @@ def sweep(spark, sf):
 
 
 @query("j09_align_predictions", """SELECT l_orderkey, l_linenumber, l_partkey, station_idx, date_time, "true", pred_a AS a, pred_c AS c FROM scores_wide""",
-       floats="true a c")
+       floats="true a c", dates="date_time")
 def align(spark, sf):
     wide = b.scores_wide(spark, sf)
     key = ["l_orderkey", "l_linenumber", "l_partkey", "station_idx", "date_time"]

@@ -33,7 +33,7 @@ def features_by_frequency(spark, sf):
 
 @query("f10_f11_month_indicators", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt, month(l_shipdate) AS month, "
        + ", ".join(f"CAST(month(l_shipdate) = {m} AS INT) AS month_{m}" for m in range(1, 13)) + " FROM lineitem",
-       ints="month " + " ".join(f"month_{m}" for m in range(1, 13)))
+       ints="month " + " ".join(f"month_{m}" for m in range(1, 13)), dates="dt")
 def month_columns(spark, sf):
     days = b.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("dt")).distinct()
     return days.withColumn("month", F.month("dt")).withColumns(cal.month_indicators(F.col("dt")))
@@ -50,20 +50,20 @@ def land_cover(spark, sf):
 
 
 @query("f13_year_doy_date", """SELECT DISTINCT year(l_shipdate) AS y, dayofyear(l_shipdate) AS doy, CAST(l_shipdate AS DATE) AS dt
-    FROM lineitem""", ints="y doy")
+    FROM lineitem""", ints="y doy", dates="dt")
 def year_doy(spark, sf):
     days = b.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y"), F.dayofyear("l_shipdate").alias("doy")).distinct()
     return days.withColumn("dt", cal.year_doy_date(F.col("y"), F.col("doy")))
 
 
-@query("f14_shift_day", """SELECT lat_i, lon_i, time - 1 AS time, tp FROM grid_daily""", floats="tp")
+@query("f14_shift_day", """SELECT lat_i, lon_i, time - 1 AS time, tp FROM grid_daily""", floats="tp", dates="time")
 def shift_day(spark, sf):
     return b.grid_daily(spark, sf).select("lat_i", "lon_i", cal.previous_day(F.col("time")).alias("time"), "tp")
 
 
 @query("f15_month_calendar", """, m AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS m FROM lineitem)
     SELECT strftime(m, '%Y_%m') AS label, CAST(m + INTERVAL 1 MONTH AS DATE) AS next_month,
-    CAST(unnest(generate_series(m, m + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS dt FROM m""")
+    CAST(unnest(generate_series(m, m + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS dt FROM m""", dates="next_month dt")
 def month_calendar(spark, sf):
     months = b.table(spark, sf, "lineitem").select(cal.month_start(F.col("l_shipdate")).alias("m")).distinct()
     return months.select(
@@ -80,13 +80,13 @@ def path_parts(spark, sf):
     )
 
 
-@query("a01_daily_mean", "SELECT * FROM station_daily", floats="soil_moisture")
+@query("a01_daily_mean", "SELECT * FROM station_daily", floats="soil_moisture", dates="date_time")
 def daily_mean(spark, sf):
     return b.station_daily(spark, sf)
 
 
 @query("a02_daily_mean_right_closed", """SELECT station_id, CAST(ts - INTERVAL 1 MICROSECOND AS DATE) AS date_time,
-    avg(soil_moisture) AS soil_moisture FROM station_raw GROUP BY ALL""", floats="soil_moisture")
+    avg(soil_moisture) AS soil_moisture FROM station_raw GROUP BY ALL""", floats="soil_moisture", dates="date_time")
 def daily_mean_right(spark, sf):
     return series.resample_daily(b.station_raw(spark, sf), ["station_id"], "ts", ["soil_moisture"], closed="right")
 
@@ -95,7 +95,7 @@ def daily_mean_right(spark, sf):
     CASE WHEN count(*) OVER w28 = 28 THEN sum(soil_moisture) OVER w28 END AS sum28 FROM station_daily
     WINDOW w7 AS (PARTITION BY station_id ORDER BY date_time RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW),
     w28 AS (PARTITION BY station_id ORDER BY date_time RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)""",
-       floats="sum7 sum28", digits=5)
+       floats="sum7 sum28", digits=5, dates="date_time")
 def rolling(spark, sf):
     daily = b.station_daily(spark, sf)
     week = series.rolling_sum(daily, ["station_id"], "date_time", "soil_moisture", 7, "sum7")
@@ -107,7 +107,7 @@ def rolling(spark, sf):
     WINDOW w7 AS (PARTITION BY station_id ORDER BY date_time RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))
     SELECT station_id, date_time, recomputed, CASE WHEN recomputed IS NULL THEN 'not full' WHEN
     abs(recomputed - (stored + CASE WHEN day(date_time) = 15 THEN 1 ELSE 0 END)) < 0.5e0 THEN 'ok' ELSE 'wrong' END AS verdict FROM s""",
-       floats="recomputed", digits=5)
+       floats="recomputed", digits=5, dates="date_time")
 def verify(spark, sf):
     from pyspark.sql import Window
 
@@ -160,13 +160,13 @@ def first(spark, sf):
 @query("w07_match_moments", """, s AS (SELECT station_idx, avg("true") AS m, stddev_samp("true") AS s, avg(pred_a) AS tm,
     stddev_samp(pred_a) AS ts FROM scores_wide GROUP BY ALL)
     SELECT station_idx, date_time, l_orderkey, l_linenumber, l_partkey, "true" AS true_origin,
-    ("true" - m) / nullif(s, 0) * ts + tm AS "true" FROM scores_wide JOIN s USING (station_idx)""", floats="true true_origin")
+    ("true" - m) / nullif(s, 0) * ts + tm AS "true" FROM scores_wide JOIN s USING (station_idx)""", floats="true true_origin", dates="date_time")
 def moments(spark, sf):
     matched = splits.match_moments(b.scores_wide(spark, sf), ["station_idx"], "true", "pred_a")
     return matched.select("station_idx", "date_time", "l_orderkey", "l_linenumber", "l_partkey", "true_origin", "true")
 
 
-@query("w08_fill_days", FILLED_SQL, floats="soil_moisture", ints="Is_valid")
+@query("w08_fill_days", FILLED_SQL, floats="soil_moisture", ints="Is_valid", dates="date_time")
 def fill(spark, sf):
     return series.fill_days(b.station_daily(spark, sf), ["station_id"], "date_time", ["soil_moisture"])
 
@@ -184,7 +184,7 @@ INTERPOLATED_SQL = """, nb AS (SELECT *, {prev} AS p, {nxt} AS q, last_value(v I
     days AS (SELECT station_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date_time FROM span),
     filled AS (SELECT d.station_id, d.date_time, s.soil_moisture AS v FROM days d LEFT JOIN station_daily s USING (station_id, date_time))"""
        + INTERPOLATED_SQL.replace("{name}", "soil_moisture").replace("{valid}", "CAST(v IS NOT NULL AS INT) AS Is_valid"),
-       floats="soil_moisture", ints="Is_valid")
+       floats="soil_moisture", ints="Is_valid", dates="date_time")
 def interpolate(spark, sf):
     # bad samples leave days without a value at the start, inside and at the end of a series
     masked = b.station_raw(spark, sf).withColumn(
@@ -199,7 +199,7 @@ def interpolate(spark, sf):
     days AS (SELECT station_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date_time FROM span),
     filled AS (SELECT d.station_id, d.date_time, s.lai AS v FROM days d LEFT JOIN composites s USING (station_id, date_time))"""
        + INTERPOLATED_SQL.replace("{name}", "lai").replace("{valid}", "CAST(v IS NOT NULL AS INT) AS Is_valid"),
-       floats="lai", ints="Is_valid")
+       floats="lai", ints="Is_valid", dates="date_time")
 def upsample(spark, sf):
     return series.upsample_daily(b.composites(spark, sf), ["station_id"], "date_time", ["lai"])
 
@@ -208,7 +208,7 @@ def upsample(spark, sf):
     FROM station_daily)
     SELECT a.station_id, a.start, c.start - a.start AS pos, c.date_time, c.soil_moisture FROM r a JOIN r c ON a.station_id = c.station_id
     AND c.start BETWEEN a.start AND a.start + 4 WHERE EXISTS (SELECT 1 FROM r z WHERE z.station_id = a.station_id AND z.start = a.start + 4)""",
-       floats="soil_moisture", ints="pos")
+       floats="soil_moisture", ints="pos", dates="date_time")
 def windows(spark, sf):
     from geoseries.operators.ranking import chunked_rank, time_chunk
 
@@ -261,7 +261,7 @@ def by_source(spark, sf):
 @query("m07_stratified_folds", """, r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag = 'A' ORDER BY
     md5(concat_ws(':', '7', l_orderkey, l_linenumber, l_partkey, l_suppkey, dt)), l_quantity) AS rn FROM li_cell)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dt AS "day", CAST(l_returnflag = 'A' AS INT) AS label, (rn - 1) % 5 AS fold FROM r""",
-       ints="label fold")
+       ints="label fold", dates="day")
 def folds(spark, sf):
     li = b.table(spark, sf, "lineitem").withColumns({
         "day": F.to_date("l_shipdate"), "label": (F.col("l_returnflag") == "A").cast("int"),
