@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoseries.functions.calendar import day_number
-from geoseries.operators.ranking import time_chunk
 
 CHUNK_DAYS = 366
 

@@ -238,11 +238,11 @@ def long_term(spark, sf):
     return schema.rename(grid.time_mean(b.grid_daily(spark, sf), ["tp"], ["lat_i", "lon_i"]), {"tp": "tp_mean"})
 
 
-@query("u01_union", """SELECT 'tibetan' AS source, station_id, count(*) AS n FROM station_daily GROUP BY ALL UNION ALL
-    SELECT 'cra', l_suppkey, count(*) FROM lineitem GROUP BY ALL""")
+@query("u01_union", """SELECT 'first' AS source, station_id, count(*) AS n FROM station_daily GROUP BY ALL UNION ALL
+    SELECT 'second', l_suppkey, count(*) FROM lineitem GROUP BY ALL""")
 def union(spark, sf):
-    a = b.station_daily(spark, sf).select(F.lit("tibetan").alias("source"), "station_id")
-    c = b.table(spark, sf, "lineitem").select(F.lit("cra").alias("source"), F.col("l_suppkey").alias("station_id"))
+    a = b.station_daily(spark, sf).select(F.lit("first").alias("source"), "station_id")
+    c = b.table(spark, sf, "lineitem").select(F.lit("second").alias("source"), F.col("l_suppkey").alias("station_id"))
     return a.unionByName(c).groupBy("source", "station_id").agg(F.count(F.lit(1)).alias("n"))
 
 

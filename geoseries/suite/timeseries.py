@@ -220,17 +220,17 @@ def windows(spark, sf):
 
 
 @query("w12_dedup_groups", """, s AS (SELECT e.user_id AS station_id, e.user_id // 3 AS group_id,
-    CASE WHEN e.user_id % 2 = 0 THEN 'tibetan' ELSE 'cra' END AS source, count(*) FILTER (event_type = 'click' AND value > 5) AS n_rows
+    CASE WHEN e.user_id % 2 = 0 THEN 'first' ELSE 'second' END AS source, count(*) FILTER (event_type = 'click' AND value > 5) AS n_rows
     FROM events e GROUP BY ALL)
-    SELECT source, group_id, min(station_id) AS station_id FROM s WHERE source = 'cra' OR n_rows > 0 GROUP BY ALL""")
+    SELECT source, group_id, min(station_id) AS station_id FROM s WHERE source = 'second' OR n_rows > 0 GROUP BY ALL""")
 def dedup(spark, sf):
     events = b.table(spark, sf, "events")
     usable = F.when((F.col("event_type") == "click") & (F.col("value") > 5), 1)
     stations = events.groupBy(F.col("user_id").alias("station_id")).agg(F.count(usable).alias("n_rows")).select(
         "station_id", F.floor(F.col("station_id") / 3).alias("group_id"),
-        F.when(F.col("station_id") % 2 == 0, "tibetan").otherwise("cra").alias("source"), "n_rows",
+        F.when(F.col("station_id") % 2 == 0, "first").otherwise("second").alias("source"), "n_rows",
     )
-    return splits.dedup_groups(stations, "group_id", "station_id", "source", "n_rows", ["tibetan"])
+    return splits.dedup_groups(stations, "group_id", "station_id", "source", "n_rows", ["first"])
 
 
 @query("m01_spatial_split", SPATIAL_SQL + " SELECT station_id, status, count(*) AS n FROM station_raw JOIN sp USING (station_id) GROUP BY ALL")
@@ -248,13 +248,13 @@ def spatial3(spark, sf):
     return split.groupBy("station_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m03_split_by_source", """, st AS (SELECT DISTINCT station_id, CASE WHEN station_id % 3 = 0 THEN 'tibetan' ELSE 'cra' END AS source
+@query("m03_split_by_source", """, st AS (SELECT DISTINCT station_id, CASE WHEN station_id % 3 = 0 THEN 'first' ELSE 'second' END AS source
     FROM station_raw), rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
-    md5(concat(CASE source WHEN 'tibetan' THEN '2390' ELSE '7' END, ':', source, ':', station_id))) AS rn, count(*) OVER (PARTITION BY source) AS n FROM st)
+    md5(concat(CASE source WHEN 'first' THEN '2390' ELSE '7' END, ':', source, ':', station_id))) AS rn, count(*) OVER (PARTITION BY source) AS n FROM st)
     SELECT station_id, source, CASE WHEN rn <= ceil(n * 0.2e0) THEN 'test' ELSE 'train' END AS status FROM rk""")
 def by_source(spark, sf):
-    raw = b.station_raw(spark, sf).withColumn("source", F.when(F.col("station_id") % 3 == 0, "tibetan").otherwise("cra"))
-    split = splits.spatial_split_by_source(raw, "station_id", "source", {"tibetan": 2390, "cra": 7}, "layer2")
+    raw = b.station_raw(spark, sf).withColumn("source", F.when(F.col("station_id") % 3 == 0, "first").otherwise("second"))
+    split = splits.spatial_split_by_source(raw, "station_id", "source", {"first": 2390, "second": 7}, "layer2")
     return split.select("station_id", "source", "status").distinct()
 
 

@@ -11,7 +11,7 @@ from geoseries.plans import evaluation
 PAIR = "station_idx int, true double, pred double"
 
 
-def reference(true, pred):
+def by_numpy(true, pred):
     true, pred = np.array(true), np.array(pred)
     spread = true.std() * pred.std()
     return {
@@ -29,7 +29,7 @@ def test_station_metrics_match_numpy(spark, data):
     got = {r.station_idx: r for r in metrics.station_metrics(df).collect()}
     local = pd.DataFrame(data, columns=["s", "t", "p"])
     for s, part in local.groupby("s"):
-        want = reference(part.t / 10, part.p / 10)
+        want = by_numpy(part.t / 10, part.p / 10)
         assert got[s]["count"] == len(part)
         for m, value in want.items():
             assert got[s][m] == (None if value is None else pytest.approx(value, abs=1e-6))
