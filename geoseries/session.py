@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +26,15 @@ def build_session(app: str = "geoseries", master: str | None = None, **settings:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A machine-local folder is used only by a local master with the setting unset.
+    Where that is unset, a folder inside the warehouse, which all executors share too.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="geoseries-")
-    context.setCheckpointDir(local)
-    return local
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,7 +43,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stable(df: DataFrame) -> DataFrame:
     """Fix a result that must not change between two uses of it (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
+    folder = shared_dir(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
