@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoseries.llm import byte_bpe, exact_dedup
+from geoseries.llm import byte_bpe, exact_dedup, token_files
 from geoseries.llm.common import table
+from geoseries.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +20,15 @@ def query(build):
     return build
 
 
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.read_documents(spark, uri, token_files.write_token_files(docs, uri, path, public_tokenizers.PATTERN, end_id=2, parts=parts))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
