@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoseries.llm import byte_bpe, exact_dedup, token_files
+from geoseries.llm import byte_bpe, exact_dedup, token_files, warc
 from geoseries.llm.common import table
 from geoseries.session import scratch_path
 
@@ -29,6 +29,28 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, uri, token_files.write_token_files(docs, uri, path, public_tokenizers.PATTERN, end_id=2, parts=parts))
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_path(spark, "warc")
+    warc.archive_pages(table(spark, sf_dir, "pages"), uri)
+    return warc.page_records(spark, uri)
+
+
+# Base32: eight groups of five hexadecimal digits, four characters each.
+ORACLE["op4_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages)
+SELECT page_id, octet_length(body) AS payload_bytes,
+       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
