@@ -48,7 +48,10 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     kinds = [
         (c, str(got[c].dtype), str(want[c].dtype))
         for c in got.columns
-        if len(got) and got[c].dtype.kind != want[c].dtype.kind and not (got[c].dtype.kind in "OM" and want[c].dtype.kind in "OM")
+        if len(got)
+        and got[c].dtype.kind != want[c].dtype.kind
+        and not (got[c].dtype.kind in "OM" and want[c].dtype.kind in "OM")
+        and not (got[c].isna().any() and {got[c].dtype.kind, want[c].dtype.kind} == {"f", "i"})  # integers with nulls
     ]
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
