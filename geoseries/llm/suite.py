@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, token_files, warc
-from geoseries.llm.common import table
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, language, token_files, warc
+from geoseries.llm.common import learnable, table
 from geoseries.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = learnable("doc_id", 5, 0)
+    samples = language.draw_samples(language.learned_rows(docs, held=~learn))
+    return language.identify(docs, samples).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
