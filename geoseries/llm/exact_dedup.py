@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -95,8 +96,6 @@ def with_possible_repeats(rows: DataFrame, bitmap: bytes, bits: int, prefix: str
 
     @F.pandas_udf("boolean")
     def holds(prefixes):
-        import pandas as pd
-
         held = np.frombuffer(shared.value, np.uint8)
         at = _positions(prefixes.to_numpy(), bits)
         return pd.Series((held[at >> 3] >> (7 - (at & 7))) & 1 == 1)

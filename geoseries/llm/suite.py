@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, language, token_files, warc
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, language, quality, token_files, warc
 from geoseries.llm.common import learnable, table
 from geoseries.session import scratch_path
 
@@ -82,6 +82,13 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
 """
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), learnable("doc_id", 3, 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learn)
+    return quality.score(docs, model).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
