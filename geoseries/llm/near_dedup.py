@@ -28,6 +28,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.02, 20.0, 4095
 #: Pairs go to the full sets unless their estimate is this many standard errors below the threshold.
 MARGIN = 5.5
+#: Further comparisons with one class of each bucket before all that are left are compared.
+TURNS = 2
+#: Classes of a bucket up to which all its pairs are joined; larger buckets are compared in blocks of `BLOCK`.
+SMALL, BLOCK = 16, 256
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -212,6 +216,72 @@ def connected(links: DataFrame) -> DataFrame:
         both = links.union(links.select("b", "a"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: the roots they connect are contracted."""
+    if links.isEmpty():
+        return labels
+    ends = links.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
+    between = staged(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), "between")
+    moved = connected(between)
+    new = moved.join(labels, "node", "left_anti")
+    old = labels.join(moved.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return staged(old.union(new.select("node", "root")), "labels")
+
+
+def _mixed_buckets(entries: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Rows (bucket, node, root, pivot) of buckets with more than one component; the pivot is a row drawn by hash."""
+    named = staged(entries.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "named")
+    pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("place"), "node", "root")).alias("pivot")
+    stats = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot)
+    return named.join(staged(stats.filter("low <> high").select("bucket", "pivot"), "mixed"), "bucket")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the classes of each bucket, by comparing blocks of about `BLOCK` classes.
+
+    Every pair of a bucket meets in one pair of blocks, where full sets are compared; a task holds two blocks, and gives
+    back only the links that join components in it.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = [np.frombuffer(f.as_py(), np.uint64) for f in table.column("found")]
+        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        sizes = np.array([len(f) for f in found])
+        values, of = np.unique(np.concatenate(found), return_inverse=True)
+        owner = np.repeat(np.arange(len(found)), sizes)
+        common = np.zeros((len(found), len(found)), np.float32)
+        order = np.argsort(of, kind="stable")
+        of, owner = of[order], owner[order]
+        edges = np.searchsorted(of, np.arange(0, len(values) + 4096, 4096))
+        for start, (a, b) in enumerate(zip(edges, edges[1:])):
+            has = np.zeros((len(found), 4096), np.float32)
+            has[owner[a:b], of[a:b] - start * 4096] = 1
+            common += has @ has.T
+        linked = 100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - common.astype(np.int64))
+        top = {r: r for r in root}
+
+        def head(r):
+            while top[r] != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
+
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(linked, 1))):
+            p, q = head(root[x]), head(root[y])
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                out.append((node[x], node[y]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
+
+    full = dealt.join(sets, "node").select("bucket", "i", "j", "node", "root", "found")
+    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose classes are not in one component yet."""
     known = pairs.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
@@ -237,23 +307,35 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     members = staged(entries.join(shared, "bucket"), "members")  # bucket, node, pivot
     sets = staged(_sets(docs, members.select("node").distinct().join(classes.select("node", "id"), "node"), size, key, text), "sets")
 
+    def links_of(pairs, name):
+        return staged(_confirmed(_screened(pairs, classes, percent), sets, percent), name)
+
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(_confirmed(_screened(first, classes, percent), sets, percent), "first")
-    labels = connected(links)
-    second = staged(_confirmed(_screened(_apart(stars.distinct(), labels), classes, percent), sets, percent), "second")
-    links = links.union(second)
-    labels = connected(links)
-
-    # Buckets that still hold more than one component: their classes of different components are compared with one another.
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = staged(named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket"), "mixed")
-    open_rows = staged(named.join(mixed, "bucket"), "open")
-    left, right = open_rows.toDF("bucket", "a", "x"), open_rows.toDF("bucket", "b", "y")
-    tried = left.join(right, "bucket").filter("x < y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    third = staged(_confirmed(_screened(tried, classes, percent), sets, percent), "third")
-    if not third.isEmpty():
-        labels = connected(links.union(third))
+    labels = connected(links_of(first, "first"))
+    labels = _merged(labels, links_of(_apart(stars.distinct(), labels), "second"))
+    entries = members.select("bucket", "node")
+    for turn in range(TURNS):
+        mixed = _mixed_buckets(entries, labels, turn)
+        tried = mixed.filter(F.col("root") != F.col("pivot.root")).select(
+            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")
+        )
+        found = links_of(tried.distinct(), f"turn-{turn}")
+        if found.isEmpty():
+            break
+        labels = _merged(labels, found)
+
+    # What is left: classes of one bucket that no comparison has connected are compared with one another, those of
+    # small buckets by a join, those of large ones block by block.
+    rest = _mixed_buckets(entries, labels, 0).join(classes.select("node", "n"), "node").select("bucket", "node", "root", "n")
+    sizes = staged(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    rest = staged(rest.join(sizes, "bucket"), "rest")
+    small = rest.filter(F.col("size") <= SMALL).drop("size")
+    left, right = small.toDF("bucket", "a", "x", "n_a"), small.toDF("bucket", "b", "y", "n_b")
+    alike = (F.col("x") < F.col("y")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    tried = left.join(right, "bucket").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by_block = staged(_block_links(rest.filter(F.col("size") > SMALL), sets, percent), "blocks")
+    labels = _merged(labels, links_of(tried, "last").union(by_block))
 
     order = F.struct(F.col("id").isNull().alias("no_id"), "id")
     lowest = labels.join(classes, "node").groupBy("root").agg(F.min(order).alias("low"))

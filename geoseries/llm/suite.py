@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, language, quality, token_files, warc
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, language, near_dedup, quality, token_files, warc
 from geoseries.llm.common import learnable, table
 from geoseries.session import scratch_path
 
@@ -107,3 +107,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = learnable("doc_id", 5, 0)
     samples = language.draw_samples(language.learned_rows(docs, held=~learn))
     return language.identify(docs, samples).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
