@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, language, near_dedup, quality, token_files, warc
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, html_text, language, near_dedup, quality, token_files, warc
 from geoseries.llm.common import learnable, table
 from geoseries.session import scratch_path
 
@@ -21,6 +21,11 @@ def query(build):
     return build
 
 
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch_path(spark, "tokens")
