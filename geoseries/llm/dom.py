@@ -15,7 +15,11 @@ INLINE = frozenset(
 #: What an opening tag ends, up to the nearest ancestor that confines it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CONFINES = frozenset("ul ol dl table article section div main body html nav aside footer header form blockquote".split())
-TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|!--|[!?/])""")
+# Bounds on quoted values and attributes keep broken quotes from costing the square of a page's length; a tag
+# that exceeds them (last form) ends at its first ">".
+TAG = re.compile(
+    r"""<(?:(/?)([a-zA-Z][^\s/>]{0,99})((?:"[^"]{0,4000}"|'[^']{0,4000}'|[^'">]++){0,400}+)>|!--|[!?/]|([a-zA-Z][^\s/>]{0,99}))"""
+)
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 TEXT = "#text"
 
@@ -58,16 +62,18 @@ def parse(page: str) -> Node:
         m = TAG.search(page, at)
         top = stack[-1]
         text = page[at : m.start() if m else len(page)]
-        if m is None:
-            cut = re.search(r"<[a-zA-Z/!?][^<]*$", text)  # a tag that the page's end cuts off
-            text = text[: cut.start()] if cut else text
         if text:
             top.parts = top.parts or []
             top.parts.append(text)
         if m is None:
             break
         at = m.end()
-        name = (m.group(2) or "").lower()
+        name, attributes = (m.group(2) or m.group(4) or "").lower(), m.group(3) or ""
+        if m.group(4):
+            end = page.find(">", at)
+            if end < 0:  # the page's end cuts the tag off
+                break
+            attributes, at = page[at:end], end + 1
         if not name:  # comment, declaration, or a slash that closes nothing
             end = page.find("-->", at) if m.group() == "<!--" else page.find(">", at)
             at = len(page) if end < 0 else end + (3 if m.group() == "<!--" else 1)
@@ -85,7 +91,7 @@ def parse(page: str) -> Node:
         elif name in RAW:
             if name == "head":  # its children are left out one by one, so that a head without an end costs nothing
                 continue
-            if not m.group(3).rstrip().endswith("/") or name in ("script", "style"):
+            if not attributes.rstrip().endswith("/") or name in ("script", "style"):
                 lower = page.lower() if lower is None else lower
                 end = lower.find(f"</{name}", at)
                 close = page.find(">", end) if end >= 0 else -1
@@ -98,7 +104,7 @@ def parse(page: str) -> Node:
         elif name in VOID:
             top.close() if name == "hr" else None
         elif name in ("html", "body"):
-            top.names += " " + _names(m.group(3)) if name == "body" else ""
+            top.names += " " + _names(attributes) if name == "body" else ""
         else:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or stack[k].tag in ENDS.get(name, ()):
@@ -109,7 +115,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in CONFINES:
                     break
             stack[-1].close()
-            node = Node(name, _names(m.group(3)) if m.group(3) else "")
+            node = Node(name, _names(attributes) if attributes else "")
             stack[-1].kids.append(node)
             stack.append(node)
     for node in stack:

@@ -72,8 +72,8 @@ class LinearModel:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> LinearModel:
-    """Non-negative PU fit by Adam over the whole sample."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 4.0) -> LinearModel:
+    """Non-negative PU fit by Adam over the whole sample; `decay` over the number of positives shrinks the weights."""
     if not len(positive) or not len(unlabelled):  # nothing to learn: the prior for every text
         odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else (30.0 if prior else -30.0)
         return LinearModel(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), odds)
@@ -94,7 +94,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         plus = prior * slope(p, at_p - 1)
         minus = slope(u, at_u) - prior * slope(p, at_p)
         gradient = plus + minus if negative >= 0 else -minus
-        gradient[:-1] += decay * w[:-1]
+        gradient[:-1] += decay / len(p) * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
