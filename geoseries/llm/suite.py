@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, html_text, language, near_dedup, quality, token_files, warc
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, html_text, language, near_dedup, quality, token_files, toxicity, warc
 from geoseries.llm.common import learnable, table
 from geoseries.session import scratch_path
 
@@ -35,6 +35,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, uri, token_files.write_token_files(docs, uri, path, public_tokenizers.PATTERN, end_id=2, parts=parts))
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), learnable("doc_id", 3, 1)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn)
+    found = toxicity.severity(docs, model)
+    return found.select("doc_id", (~learn).alias("held_out"), "severity", "grade", "score", "predicted")
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch_path(spark, "warc")
