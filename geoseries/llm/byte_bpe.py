@@ -120,7 +120,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """`doc_id`, `ids` (array of int) of every whole text; null counts as empty, which has no ids."""
 
     def make(keys, texts):
-        found = [codec(path, pattern).encode(t).astype(np.int32) for t in texts]
+        found = [ids.astype(np.int32) for ids in codec(path, pattern).cache.encode_many(texts)]
         return pa.RecordBatch.from_arrays([keys, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _mapped(docs, key, text, "doc_id long, ids array<int>", make)
@@ -148,8 +148,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     def make(keys, texts):
         counts, of_ids, of_bytes = [], [], []
         own = codec(path, pattern)
-        for t in texts:
-            ids = own.encode(t).tolist()
+        for ids in own.cache.encode_many(texts):
+            ids = ids.tolist()
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -1,43 +1,156 @@
 """Cached encoding of the pieces that a byte-level vocabulary's pattern cuts a text into.
 
-Merges never cross a piece, so a text's ids are those of its pieces in a row. Pieces repeat a lot: each
-worker keeps the ids of those it has met, as little-endian 32-bit integers, and encodes only new ones.
+Merges never cross a piece, so a text's ids are those of its pieces in a row. Many texts are cut at once with array
+operations, pieces are told apart by 64-bit hashes, and only pieces a worker has not met before are encoded.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import regex
+import public_tokenizers
 
 #: Unicode white space, which the pattern's \s means in both tokenizer libraries (Python's \s holds more).
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+END, LETTER, NUMBER, BLANK, OTHER = range(5)
+#: Stands between two texts; no character has this number.
+BETWEEN = 0x110000
+FACTOR = 0xD6E8FEB86659FD93
 
 
-def compiled(pattern: str):
-    """The piece pattern with white space as the tokenizer libraries define it."""
-    own = pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]")
-    return regex.compile(own)
+def _kinds() -> np.ndarray:
+    """Kind of each code point, by its Unicode category."""
+    of = {"L": LETTER, "N": NUMBER}
+    kinds = np.array([of.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)] + [END], np.uint8)
+    kinds[WHITE] = BLANK
+    return kinds
+
+
+_TABLE: list[np.ndarray] = []
+
+
+def cut(points: np.ndarray) -> np.ndarray:
+    """First places of the pieces of code points in which `BETWEEN` ends every text; the marks are pieces too.
+
+    States public_tokenizers.PATTERN in array form: runs of letters, numbers or other characters take one blank in front;
+    of a run of white space all but the last character form a piece, or all where the text ends; an apostrophe that
+    starts a piece takes s, t, re, ve, m, ll or d with it.
+    """
+    if not _TABLE:
+        _TABLE.append(_kinds())
+    kind = _TABLE[0][points]
+    run = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == END)]))
+    first = np.zeros(len(points), bool)
+    first[run] = True
+    spaces = run[kind[run] == BLANK]
+    after = run[np.searchsorted(run, spaces, side="right")]  # a mark follows every text, so there is a next run
+    first[(after - 1)[kind[after] != END]] = True
+    words = run[(kind[run] != BLANK) & (kind[run] != END) & (run > 0)]
+    first[words[points[words - 1] == 0x20]] = False
+
+    quote = np.flatnonzero((points == 0x27) & first)
+    quote = quote[kind[quote + 1] == LETTER]
+    if len(quote):
+        one, two = points[quote + 1], points[np.minimum(quote + 2, len(points) - 1)]
+        width = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
+        for pair in ("re", "ve", "ll"):
+            width[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+        quote, width = quote[width > 0], width[width > 0]
+        first[quote + 1] = False
+        rest = quote + 1 + width
+        first[rest[kind[rest] == LETTER]] = True
+    return np.flatnonzero(first)
+
+
+class _Powers:
+    """Powers of an odd number modulo 2**64, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.held = np.uint64(base), np.ones(1, np.uint64)
+
+    def first(self, count: int) -> np.ndarray:
+        if len(self.held) < count:
+            factors = np.full(max(count, 1 << 20), self.base)
+            factors[0] = 1
+            self.held = np.cumprod(factors, dtype=np.uint64)
+        return self.held[:count]
+
+
+_UP, _DOWN = _Powers(FACTOR), _Powers(pow(FACTOR, -1, 1 << 64))
+
+
+def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches [start, end)."""
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(0x1F3)) * _UP.first(len(points)), out=sums[1:])
+    return (sums[ends] - sums[starts]) * _DOWN.first(len(points))[starts] + (ends - starts).astype(np.uint64)
 
 
 class PieceCache:
     """Ids of texts by way of their pieces; `encode_pieces` gets new pieces and returns their id lists."""
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
-        self.find = compiled(pattern).findall
-        self.encode_pieces, self.limit, self.known = encode_pieces, limit, {}
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 2_000_000):
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("only the pattern of the public byte-level vocabularies is known")
+        self.encode_pieces, self.limit = encode_pieces, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes
+        self.place = np.zeros(0, np.int64)  # of each hash: where its ids start in the pool
+        self.count = np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        if len(self.keys) > self.limit:  # bounded memory: start over
+            self._clear()
+        found = self.encode_pieces(pieces)
+        count = np.array([len(f) for f in found], np.int32)
+        flat = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(flat), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        place = self.used + np.cumsum(count, dtype=np.int64) - count
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place, self.count = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.place, place), (self.count, count)))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (unsigned 32-bit) of each text."""
+        if not texts:
+            return []
+        joined = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+        mark = np.array([BETWEEN], np.uint32)
+        points = np.concatenate([p for t in joined for p in (t, mark)])
+        starts = cut(points)
+        ends = np.append(starts[1:], len(points))
+        keys = hashes(points, starts, ends)
+        mine, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, mine), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != mine) if len(self.keys) else np.arange(len(mine))
+        if len(self.keys) + len(new) > self.limit and len(new) < len(mine):
+            self._clear()
+            new = np.arange(len(mine))
+        if len(new):
+            spans = [points[a:b] for a, b in zip(starts[one[new]], ends[one[new]])]
+            marks = np.array([s[0] == BETWEEN for s in spans])
+            pieces = [s.tobytes().decode("utf-32-le", "surrogatepass") for s, m in zip(spans, marks) if not m]
+            self._learn(mine[new[~marks]], pieces)
+            if marks.any():
+                self._learn_mark(mine[new[marks]])
+            at = np.searchsorted(self.keys, mine)
+        place, count = self.place[at], self.count[at]
+        sizes = count[which].astype(np.int64)
+        total = np.cumsum(sizes)
+        ids = self.pool[np.repeat(place[which] - (total - sizes), sizes) + np.arange(total[-1])]
+        bounds = total[np.flatnonzero(points[starts] == BETWEEN)]
+        return np.split(ids, bounds[:-1])
+
+    def _learn_mark(self, key: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, key)
+        self.keys, self.place, self.count = np.insert(self.keys, at, key), np.insert(self.place, at, 0), np.insert(self.count, at, 0)
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.find(text)
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
-        except KeyError:
-            pass
-        if len(known) > self.limit:  # bounded memory: start over
-            known.clear()
-        new = [p for p in set(pieces) if p not in known]
-        for piece, ids in zip(new, self.encode_pieces(new)):
-            known[piece] = np.asarray(ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        return self.encode_many([text])[0]

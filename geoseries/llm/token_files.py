@@ -114,7 +114,7 @@ def write_token_files(
         part = f"part-{TaskContext.get().partitionId():06d}"
         store, folder = fs.FileSystem.from_uri(uri)
         own = {end: f"{folder}/.{part}-{uuid.uuid4().hex}{end}" for end in (TOKENS, DOCS)}
-        encode, count, opened = encoder(path, pattern).encode, 0, None
+        encode, count, opened = encoder(path, pattern).encode_many, 0, None
         for batch in rows_of(batches):
             if not batch.num_rows:
                 continue
@@ -123,9 +123,9 @@ def write_token_files(
                 opened = [store.open_output_stream(own[end]) for end in (TOKENS, DOCS)]
                 tokens, index = _Writer(opened[0], length, kind), pa.ipc.new_stream(opened[1], DOC_SCHEMA)
             starts, sizes = [], []
-            for t in batch.column("text").to_pylist():
+            for ids in encode(batch.column("text").to_pylist()):
                 starts.append(tokens.total)
-                tokens.add(np.append(encode(t), np.uint32(end_id)))
+                tokens.add(np.append(ids, np.uint32(end_id)))
                 sizes.append(tokens.total - starts[-1])
             index.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts), pa.array(sizes)], schema=DOC_SCHEMA))
             count += batch.num_rows
