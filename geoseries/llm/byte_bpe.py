@@ -110,7 +110,7 @@ def _mapped(docs: DataFrame, key: str, text: str, schema: str, make) -> DataFram
     source = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches):
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 64):
             yield make(batch.column("doc_id"), batch.column("text").to_pylist())
 
     return source.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ The folder may be any URI that pyarrow's file systems open.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -40,6 +41,7 @@ def encoder(path: str, pattern: str) -> PieceCache:
     if (path, pattern) not in _ENCODERS:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         tokenizer.no_padding()
@@ -115,7 +117,7 @@ def write_token_files(
         store, folder = fs.FileSystem.from_uri(uri)
         own = {end: f"{folder}/.{part}-{uuid.uuid4().hex}{end}" for end in (TOKENS, DOCS)}
         encode, count, opened = encoder(path, pattern).encode_many, 0, None
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 64):
             if not batch.num_rows:
                 continue
             if opened is None:
