@@ -12,6 +12,12 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def is_missing(name: str, kind: str) -> Column:
+    """Null, or NaN in a floating column."""
+    missing = F.col(name).isNull()
+    return missing | F.isnan(name) if kind in ("double", "float") else missing
+
+
 def qc_mask(value: Column, flag: Column, good: str = "G") -> Column:
     """Null unless flagged good; a missing flag also masks."""
     return F.when(flag == good, value)

@@ -8,15 +8,17 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoseries.functions.values import apply_rule, nan_to_null, null_sentinel, qc_mask
+from geoseries.functions.values import apply_rule, is_missing, nan_to_null, null_sentinel, qc_mask
 
 
 def mask_quality(df: DataFrame, value: str, flag: str, good: str = "G") -> DataFrame:
     return df.withColumn(value, qc_mask(F.col(value), F.col(flag), good))
 
 
-def nulls_for_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: nan_to_null(F.col(c)) for c in cols})
+def nulls_for_nan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN becomes null in the given columns, or in all floating columns."""
+    chosen = [c for c, kind in df.dtypes if kind in ("double", "float")] if cols is None else cols
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in chosen})
 
 
 def between_time(df: DataFrame, time: str, start: str | datetime, end: str | datetime) -> DataFrame:
@@ -62,18 +64,18 @@ def null_safe_score(
     df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame], pred: str = "pred"
 ) -> DataFrame:
     """Score every row with missing features as 0, then null the scores of incomplete rows."""
-    incomplete = F.lit(False)
+    incomplete, kinds = F.lit(False), dict(df.dtypes)
     for f in features:
-        incomplete = incomplete | F.col(f).isNull()
+        incomplete = incomplete | is_missing(f, kinds[f])
     marked = df.withColumn("_incomplete", incomplete).withColumns({f"_raw_{f}": F.col(f) for f in features})
-    filled = marked.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
+    filled = marked.withColumns({f: F.when(is_missing(f, kinds[f]), 0.0).otherwise(F.col(f).cast("double")) for f in features})
     scored = score(filled).withColumn(pred, F.when(~F.col("_incomplete"), F.col(pred)))
     return scored.select(*[F.col(f"_raw_{c}").alias(c) if c in features else F.col(c) for c in df.columns], pred)
 
 
 def null_audit(df: DataFrame) -> DataFrame:
-    """Column and number of nulls, one row per column."""
-    counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns])
+    """Column and number of missing values (nulls and NaN), one row per column."""
+    counts = df.agg(*[F.count(F.when(is_missing(c, kind), 1)).alias(c) for c, kind in df.dtypes])
     return counts.unpivot([], list(df.columns), "column", "n_null").select("column", "n_null")
 
 

@@ -27,9 +27,14 @@ def feature_grids(
     df: DataFrame, features: Sequence[str], points: int = 100, low: float = 0.05, high: float = 0.95
 ) -> DataFrame:
     """Grid per feature: its distinct values when there are few, else even steps between two percentiles."""
-    long = _long(df, features)
-    counts = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
-    few = [row["feature"] for row in counts.collect() if row["k"] < points]  # one row per feature
+    # A sketch settles the features with many more values than points (its error is a few percent); only the others
+    # have their distinct values counted, and those are few.
+    about = df.agg(*[F.approx_count_distinct(f, 0.02).alias(f) for f in features]).first()  # one row
+    maybe = [f for f in features if about[f] < 2 * points]
+    few = []
+    if maybe:
+        counts = _long(df, maybe).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
+        few = [row["feature"] for row in counts.collect() if row["k"] < points]  # one row per feature
     rest = [f for f in features if f not in few]
     grids = []
     if few:
@@ -44,12 +49,6 @@ def feature_grids(
     return reduce(DataFrame.unionByName, grids)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before they are multiplied, where the input has fewer files than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def _as_map(grids: DataFrame, name: str) -> Column:
     return grids.agg(F.map_from_entries(F.collect_list(F.struct("feature", name)))).scalar()
 
@@ -71,23 +70,32 @@ def pdp(score, df: DataFrame, features: Sequence[str], points: int = 100, exclud
     """Partial dependence: mean prediction over all rows with the feature set to each grid value."""
     chosen = [f for f in features if f not in exclude]
     grids = feature_grids(df, chosen, points)
-    rows = _on_grid(spread(df.select(*score.features)), grids)
+    rows = _on_grid(df.select(*score.features), grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     return scored.groupBy("feature", "point", "grid_value").agg(F.avg("pred").alias("pd"))
 
 
 def ice(
-    score, df: DataFrame, keys: Sequence[str], features: Sequence[str], points: int = 100, sample: int = 1000, seed: object = 2023
+    score, df: DataFrame, keys: Sequence[str], features: Sequence[str], points: int = 100, fraction: float = 1.0, seed: object = 2023
 ) -> DataFrame:
-    """Curves of single rows, centred at the first grid point, for a seeded sample of rows."""
+    """Curves of single rows, centred at the first grid point; with a `fraction` below one, of a seeded share of the rows."""
     grids = feature_grids(df, features, points)
-    drawn = df.select(*keys, *[f for f in score.features if f not in keys]).orderBy(row_hash(seed, *keys), *keys).limit(sample)
-    rows = _on_grid(drawn, grids)
+    rows = df.select(*keys, *[f for f in score.features if f not in keys])
+    if fraction < 1:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(str(seed)), *keys), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    rows = _on_grid(rows, grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     based = score(scored, _swapped(score.features, F.col("_start")), "_base")
     return based.select(*keys, "feature", "point", "grid_value", (F.col("pred") - F.col("_base")).alias("ice"))
 
 
+def ice_summary(curves: DataFrame) -> DataFrame:
+    """Number, mean, lowest and highest of the curves at each grid point."""
+    return curves.groupBy("feature", "point", "grid_value").agg(
+        F.count("ice").alias("n"), F.avg("ice").alias("mean"), F.min("ice").alias("lowest"), F.max("ice").alias("highest")
+    )
+
+
 def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """Accumulated local effects at the bin edges, centred on the mean effect."""
     probs = [i / bins for i in range(bins + 1)]
@@ -96,7 +104,7 @@ def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFr
             "feature", F.array_distinct("_p").alias("edges")
         )
     )
-    with_edges = spread(df.select(*score.features)).withColumn("_edges", _as_map(edges, "edges"))
+    with_edges = df.select(*score.features).withColumn("_edges", _as_map(edges, "edges"))
     per = with_edges.select(*score.features, F.explode("_edges").alias("feature", "edges"))
     own = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in features])
     # one comparison per edge, compiled, instead of a lambda over the array
@@ -178,16 +186,18 @@ def permutation_scores(
 
 
 def shapley_values(
-    score, df: DataFrame, keys: Sequence[str], repeats: int = 1, seed: object = 2023, by: Sequence[str] = ()
+    score, df: DataFrame, keys: Sequence[str], draws: int = 8, seed: object = 2023, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Sampled Shapley value of each feature for each row.
+    """Shapley value of each feature for each row against the whole table; `carry` columns are kept.
 
-    One draw takes a random other row and a random feature order; a feature's share is the
-    change of the prediction when it switches from the other row's value to its own, the
-    features before it in the order already switched.
+    Exact for linear models. For others the mean of `draws` draws: one takes a random other row of the table and a random
+    feature order, and counts both that order and its reverse; a feature's share is the change of the prediction when it
+    switches from the other row's value to its own, the features before it in the order already switched.
     """
-    by, features = list(by), list(score.features)
-    rows = with_donors(df, keys, features, repeats, seed, by)
+    if hasattr(score, "coefficients"):
+        return linear_shapley(score, df, list(dict.fromkeys([*carry, *keys])))
+    features = list(score.features)
+    rows = with_donors(df, keys, features, draws, seed)
     # a random 64-bit mark per feature gives the order; the low bits keep marks apart
     marks = {
         f: F.shiftleft(F.xxhash64(F.lit(str(seed)), F.col("repeat"), *keys, F.lit(f)), 10) + F.lit(i)
@@ -195,22 +205,29 @@ def shapley_values(
     }
     marked = rows.withColumns({f"_m_{f}": m for f, m in marks.items()})
     at = F.coalesce(*[F.when(F.col("feature") == f, F.col(f"_m_{f}")) for f in features])
-    per = _each_feature(marked, features).withColumn("_at", at)
-    with_it = {f: F.when(F.col(f"_m_{f}") <= F.col("_at"), F.col(f)).otherwise(F.col(f"donor_{f}")) for f in features}
-    without = {f: F.when(F.col(f"_m_{f}") < F.col("_at"), F.col(f)).otherwise(F.col(f"donor_{f}")) for f in features}
-    scored = score(score(per, with_it, "_with"), without, "_without")
-    names = list(dict.fromkeys([*by, *keys]))
-    draws = scored.select(*names, "feature", "repeat", (F.col("_with") - F.col("_without")).alias("phi"))
-    if repeats == 1:
-        return draws.drop("repeat")
-    return draws.groupBy(*names, "feature").agg(F.avg("phi").alias("phi"))
+    scored = _each_feature(marked, features).withColumn("_at", at)
+    own, other = (lambda f: F.col(f)), (lambda f: F.col(f"donor_{f}"))
+    before = {f: F.col(f"_m_{f}") < F.col("_at") for f in features}
+    after = {f: F.col(f"_m_{f}") > F.col("_at") for f in features}
+    # those before (or, in the reverse order, after) the feature have the row's values; with and without the feature itself
+    states = {
+        "_a": {f: F.when(after[f], other(f)).otherwise(own(f)) for f in features},
+        "_b": {f: F.when(before[f], own(f)).otherwise(other(f)) for f in features},
+        "_c": {f: F.when(before[f], other(f)).otherwise(own(f)) for f in features},
+        "_d": {f: F.when(after[f], own(f)).otherwise(other(f)) for f in features},
+    }
+    for name, inputs in states.items():
+        scored = score(scored, inputs, name)
+    phi = (F.col("_a") - F.col("_b") + F.col("_c") - F.col("_d")) / 2
+    names = list(dict.fromkeys([*carry, *keys]))
+    return scored.groupBy(*names, "feature").agg(F.avg(phi).alias("phi"))
 
 
 def shapley_importance(
-    score, df: DataFrame, keys: Sequence[str], repeats: int = 1, seed: object = 2023, by: Sequence[str] = ()
+    score, df: DataFrame, keys: Sequence[str], draws: int = 8, seed: object = 2023, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean absolute Shapley value per feature."""
-    values = shapley_values(score, df, keys, repeats, seed, by)
+    """Mean absolute Shapley value per feature, over the rows of each `by` group; values are against the whole table."""
+    values = shapley_values(score, df, keys, draws, seed, by)
     return values.groupBy(*by, "feature").agg(F.avg(F.abs("phi")).alias("importance"))
 
 
@@ -225,7 +242,7 @@ def linear_shapley(scorer, df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def station_top_features(
-    score, df: DataFrame, keys: Sequence[str], label: str, station: str, repeats: int = 5, draws: int = 1, seed: object = 2023
+    score, df: DataFrame, keys: Sequence[str], label: str, station: str, repeats: int = 5, draws: int = 8, seed: object = 2023
 ) -> DataFrame:
     """Main driver of each station by permutation importance and by mean absolute Shapley value."""
     pi = permutation_importance(score, df, keys, label, repeats, seed, [station])

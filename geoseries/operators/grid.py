@@ -11,14 +11,6 @@ from pyspark.sql import functions as F
 
 from geoseries.operators.ranking import chunked_rank
 
-BROADCAST_ROWS = 100_000
-
-
-def sized_hint(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a table whose row count is known and small; otherwise none."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 @dataclass(frozen=True)
 class Axis:
     """Regularly spaced coordinate axis; `step` may be negative."""
@@ -81,21 +73,27 @@ def extract_points(
     return grid.join(placed.select(station, "lat_i", "lon_i"), ["lat_i", "lon_i"])
 
 
-def _weights(spark: SparkSession, source: Axis, target: Axis, src: str, dst: str, weight: str) -> DataFrame:
-    """Two rows per target point: the source indices around it and their weights (null outside)."""
-    x = target.value(F.col("id"))
-    low = source.lower(x)
-    share = F.when(source.inside(x), (x - source.value(low)) / F.lit(float(source.step)))
-    rows = spark.range(target.n).select(
-        F.col("id").alias(dst),
-        F.explode(
-            F.array(
-                F.struct(low.alias("i"), (F.lit(1.0) - share).alias("w")),
-                F.struct((low + 1).alias("i"), share.alias("w")),
-            )
-        ).alias("_e"),
-    )
-    return sized_hint(rows.select(dst, F.col("_e.i").alias(src), F.col("_e.w").alias(weight)), 2 * target.n)
+def _corner_of(source: Axis, target: Axis, index: str) -> Column:
+    """Targets that the source point `index` is a corner of: array of (target index, weight), by arithmetic alone."""
+    here = F.col(index)
+
+    def place(x: Column) -> Column:
+        return (x - F.lit(float(target.start))) / F.lit(float(target.step))
+
+    # Targets between the two neighbours of the source point, one more on either side against rounding.
+    ends = [place(source.value(here - 1)), place(source.value(here + 1))]
+    low = F.greatest(F.floor(F.least(*ends)) - 1, F.lit(0))
+    high = F.least(F.ceil(F.greatest(*ends)) + 1, F.lit(target.n - 1))
+    near = F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def weigh(i: Column) -> Column:
+        x = target.value(i)
+        lower = source.lower(x)
+        share = F.when(source.inside(x), (x - source.value(lower)) / F.lit(float(source.step)))
+        weight = F.when(lower == here, F.lit(1.0) - share).when(lower + 1 == here, share)
+        return F.struct(i.alias("i"), weight.alias("w"))
+
+    return F.filter(F.transform(near, weigh), lambda c: c["w"].isNotNull())
 
 
 def regrid_bilinear(
@@ -106,33 +104,27 @@ def regrid_bilinear(
     new_lon: Axis,
     cols: Sequence[str],
     by: Sequence[str] = ("time",),
-    by_slice: bool | None = None,
 ) -> DataFrame:
-    """Bilinear values on new axes; null outside the source or where any corner is missing.
-
-    Every source cell is sent to the targets it is a corner of, by integer axis index, and
-    the weighted corners are summed. With `by_slice` (the default for fields in time) the
-    source rows are first brought together per slice, which holds one grid at most: the
-    rows are shuffled before the corners multiply them, and not again for the sums. Without
-    it the partial sums are shuffled, which suits a few static fields. `src` holds `lat_i`,
-    `lon_i`. A target none of whose corners has a row has no row in the result.
+    """Bilinear values on new axes for every slice of `by` and every target cell; null outside the source or where any
+    corner is missing.
+
+    The targets a source cell is a corner of are an index range found by arithmetic. Each cell sends its weighted values to
+    them, and the sums are shuffled by slice and target cell, so a slice is spread over all tasks. Rows of the empty
+    target grid join the sums, so that no target is left out. `src` holds `lat_i`, `lon_i`.
     """
-    spark = src.sparkSession
-    if by_slice is None:
-        by_slice = "time" in by
-    if by_slice:
-        src = src.select(*by, "lat_i", "lon_i", *cols).repartition(*by)
-    lat_w = _weights(spark, lat_axis, new_lat, "lat_i", "_lat", "_wlat")
-    lon_w = _weights(spark, lon_axis, new_lon, "lon_i", "_lon", "_wlon")
-    parts = (
-        src.select(*by, "lat_i", "lon_i", *cols)
-        .join(lat_w, "lat_i")
-        .join(lon_w, "lon_i")
-        .groupBy(*by, F.col("_lat").alias("lat_i"), F.col("_lon").alias("lon_i"))
+    sent = (
+        src.select(*by, *cols, F.explode(_corner_of(lat_axis, new_lat, "lat_i")).alias("_lat"), "lon_i")
+        .select(*by, *cols, "_lat", F.explode(_corner_of(lon_axis, new_lon, "lon_i")).alias("_lon"))
+        .select(*by, F.col("_lat.i").alias("lat_i"), F.col("_lon.i").alias("lon_i"), *[(F.col("_lat.w") * F.col("_lon.w") * F.col(c)).alias(c) for c in cols])
     )
-    weight = F.col("_wlat") * F.col("_wlon")
-    summed = parts.agg(
-        *[F.sum(weight * F.col(c)).alias(c) for c in cols], *[F.count(weight * F.col(c)).alias(f"_n_{c}") for c in cols]
+    slices = src.select(*by).distinct() if by else src.sparkSession.range(1).select()
+    cells = slices.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(new_lat.n - 1).cast("long"))).alias("lat_i"))
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(new_lon.n - 1).cast("long"))).alias("lon_i"))
+    empty = cells.select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
+    summed = (
+        sent.unionByName(empty)
+        .groupBy(*by, "lat_i", "lon_i")
+        .agg(*[F.sum(c).alias(c) for c in cols], *[F.count(c).alias(f"_n_{c}") for c in cols])
     )
     return summed.select(
         *by,

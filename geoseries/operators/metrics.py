@@ -31,9 +31,10 @@ def correlation(true: str, pred: str) -> Column:
 
 
 def r2(true: str, pred: str) -> Column:
-    """Share of variance explained (not the squared correlation); null for constant truth."""
+    """Share of variance explained (not the squared correlation) over rows that have both; null for constant truth."""
     error = F.sum((F.col(true) - F.col(pred)) * (F.col(true) - F.col(pred)))
-    return F.lit(1.0) - error / F.nullif(F.var_pop(true) * F.count(F.lit(1)), F.lit(0.0))
+    paired = F.when(F.col(pred).isNotNull(), F.col(true))
+    return F.lit(1.0) - error / F.nullif(F.var_pop(paired) * F.count(paired), F.lit(0.0))
 
 
 def _pairs(df: DataFrame, true: str, pred: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoseries.operators.clean import nulls_for_nan
+
 
 def write_grid(
     df: DataFrame,
@@ -33,7 +35,7 @@ def read_grid(
     skip_unreadable: bool = False,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """Only the files of the wanted years and months are read.
+    """Only the files of the wanted years and months are read; NaN is read as null.
 
     Give the `schema` where files may be unreadable, so that none is opened to infer it.
     """
@@ -45,4 +47,4 @@ def read_grid(
         df = df.where(F.col("year").isin(list(years)))
     if months is not None:
         df = df.where(F.col("month").isin(list(months)))
-    return df
+    return nulls_for_nan(df)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoseries.operators.clean import nulls_for_nan
 from geoseries.schema import STATION_DAILY
 
 # Fixed value: station files are named <station>_group_<group>.<extension>.
@@ -22,7 +23,7 @@ def read_stations(
     fmt: str = "csv",
     skip_unreadable: bool = False,
 ) -> DataFrame:
-    """All stations below `path/<layer>`; station and group come from the file name.
+    """All stations below `path/<layer>`; station and group come from the file name, NaN is read as null.
 
     Files the reader cannot open are passed over only when asked.
     """
@@ -37,7 +38,7 @@ def read_stations(
         reader = reader.option("header", "true")
     df = reader.load(f"{path.rstrip('/')}/{layer}" if layer else path)
     file = F.col("_metadata.file_path")
-    return df.select(
+    return nulls_for_nan(df).select(
         F.regexp_extract(file, STATION_FILE, 1).cast("long").alias("station_id"),
         F.regexp_extract(file, STATION_FILE, 2).cast("int").alias("group_id"),
         F.element_at(F.split(file, "/"), -2).alias("layer"),
@@ -47,7 +48,7 @@ def read_stations(
 
 def read_station_table(spark: SparkSession, path: str, layers: Sequence[str] | None = None) -> DataFrame:
     """Station rows kept in `layer=` folders; only the wanted layers are read."""
-    df = spark.read.parquet(path)
+    df = nulls_for_nan(spark.read.parquet(path))
     return df if layers is None else df.where(F.col("layer").isin(list(layers)))
 
 

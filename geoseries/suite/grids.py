@@ -87,11 +87,11 @@ def soil_profile(spark, sf):
     bl AS (SELECT i, y, CAST(greatest(least(floor(y), 8), 0) AS BIGINT) AS lo, y BETWEEN 0 AND 9 AS ok FROM tl),
     bn AS (SELECT j, x, CAST(greatest(least(floor(x), n - 2), 0) AS BIGINT) AS lo, x BETWEEN 0 AND n - 1 AS ok FROM tn CROSS JOIN n),
     z AS (SELECT i AS lat_i, j AS lon_i, y AS lat, x AS lon, bl.ok AND bn.ok AS ok, y - bl.lo AS v, x - bn.lo AS u, a.value AS a, c.value AS c,
-        d.value AS d, e.value AS e, a.lat_i IS NOT NULL OR c.lat_i IS NOT NULL OR d.lat_i IS NOT NULL OR e.lat_i IS NOT NULL AS found
+        d.value AS d, e.value AS e
         FROM bl CROSS JOIN bn LEFT JOIN src a ON a.lat_i = bl.lo AND a.lon_i = bn.lo LEFT JOIN src c ON c.lat_i = bl.lo AND c.lon_i = bn.lo + 1
         LEFT JOIN src d ON d.lat_i = bl.lo + 1 AND d.lon_i = bn.lo LEFT JOIN src e ON e.lat_i = bl.lo + 1 AND e.lon_i = bn.lo + 1)
     SELECT lat_i, lon_i, lat, lon, CASE WHEN ok THEN (1 - v) * (1 - u) * a + (1 - v) * u * c + v * (1 - u) * d + v * u * e END AS value
-    FROM z WHERE found""", floats="lat lon value", digits=5)
+    FROM z""", floats="lat lon value", digits=5)
 def regrid(spark, sf):
     src = b.grid_static(spark, sf).withColumn("value", F.when(F.col("value") > -800, F.col("value")))
     n_lon = src.agg(F.max("lon_i")).first()[0] + 1

@@ -50,14 +50,14 @@ def adversarial_cv(spark, sf):
 
 @query("m08_seed_sweep")
 def seed_sweep(spark, sf):
-    return models.seed_sweep(b.features(spark, sf), "l_suppkey", FEATURES, KEYS, [1, 2], k=3)
+    return models.seed_sweep(b.features(spark, sf), "l_suppkey", FEATURES, KEYS, list(range(1, 6)), k=5)
 
 
 @query("m09_fit_best")
 def fit_best(spark, sf):
     weighted = models.adversarial_weights(_split(spark, sf), FEATURES, "lr")
     families = {"lr": {"regParam": [0.0, 0.1]}, "dt": {"maxDepth": [3, 5]}, "rf": {"numTrees": [10], "maxDepth": [5]}}
-    return models.fit_best(weighted, FEATURES, LABEL, KEYS, families, "weight", folds=3)[1]
+    return models.fit_best(weighted, FEATURES, LABEL, KEYS, families, "weight", folds=10)[1]
 
 
 @query("m10_families")
@@ -76,7 +76,7 @@ def families(spark, sf):
 @query("m11_forest_tuned")
 def forest_tuned(spark, sf):
     train = _split(spark, sf).where(F.col("status") == "train")
-    return models.fit_rf_tuned(train, FEATURES, LABEL, KEYS, min_leaf=[5, 25], depth=[5], trees=10, folds=3)[1]
+    return models.fit_rf_tuned(train, FEATURES, LABEL, KEYS, trees=10)[1]
 
 
 @query("m12_fit_final")
@@ -100,7 +100,7 @@ def train_score(spark, sf):
     stations = b.features(spark, sf).withColumnRenamed("l_suppkey", "station_id")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "station_id", "day"]
     trained = train_and_score(
-        stations, "temporal", 42, LABEL, keys, {"lr": {"regParam": [0.0]}, "rf": {"numTrees": [10]}}, time="day", folds=3
+        stations, "temporal", 42, LABEL, keys, {"lr": {"regParam": [0.0]}, "rf": {"numTrees": [10]}}, time="day"
     )
     return trained.metrics
 
@@ -175,14 +175,14 @@ def predict_best(spark, sf):
 
 LONG = ", lg AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x FROM features" for f in FEATURES) + ")"
 COEFS = "cf(feature, c) AS (VALUES " + ", ".join(f"('{f}', {c}::DOUBLE)" for f, c in COEF.items()) + ")"
-POINTS = 10
+POINTS = 100
 GRIDS = LONG + f""", {COEFS}, srt AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY feature) AS n FROM lg),
     few AS (SELECT feature, count(DISTINCT x) AS u FROM lg GROUP BY feature),
     ends AS (SELECT feature, p, greatest(least(n * p + 0.4e0 + p * 0.2e0 - 1, n - 1), 0) AS pos FROM (SELECT DISTINCT feature, n FROM srt), (VALUES (0.05e0), (0.95e0)) t(p)),
     ev AS (SELECT e.feature, e.p, a.x + (z.x - a.x) * (e.pos - floor(e.pos)) AS v FROM ends e JOIN srt a ON a.feature = e.feature AND a.k = floor(e.pos)
         JOIN srt z ON z.feature = e.feature AND z.k = ceil(e.pos)),
     rng AS (SELECT feature, min(v) AS a, max(v) AS z FROM ev GROUP BY feature),
-    gr AS (SELECT feature, i AS point, a + (z - a) * i / 9e0 AS grid_value FROM rng JOIN few USING (feature), range({POINTS}) t(i) WHERE u >= {POINTS}
+    gr AS (SELECT feature, i AS point, a + (z - a) * i / 99e0 AS grid_value FROM rng JOIN few USING (feature), range({POINTS}) t(i) WHERE u >= {POINTS}
         UNION ALL SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY x) - 1, x FROM (SELECT DISTINCT feature, x FROM lg JOIN few USING (feature) WHERE u < {POINTS}))"""
 
 
@@ -198,19 +198,16 @@ def pdp_forest(spark, sf):
     return explain.pdp(_forest(spark, sf), b.features(spark, sf), FEATURES, POINTS, exclude=["l_tax"])
 
 
-ID = "concat_ws(':', '2023', id)"
-
-
-@query("x02_ice", GRIDS + f""", sm AS (SELECT * FROM features ORDER BY md5({ID}) LIMIT 1000), st AS (SELECT feature, grid_value AS g0 FROM gr WHERE point = 0)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dt AS "day", feature, point, grid_value, c * (grid_value - g0) AS ice
-    FROM sm, gr JOIN cf USING (feature) JOIN st USING (feature)""", floats="grid_value ice", ints="point", digits=4, dates="day")
+@query("x02_ice", GRIDS + """, st AS (SELECT feature, grid_value AS g0 FROM gr WHERE point = 0), nn AS (SELECT count(*) AS n FROM features)
+    SELECT feature, point, grid_value, n, c * (grid_value - g0) AS mean, c * (grid_value - g0) AS lowest, c * (grid_value - g0) AS highest
+    FROM gr JOIN cf USING (feature) JOIN st USING (feature), nn""", floats="grid_value mean lowest highest", ints="point", digits=4)
 def ice_linear(spark, sf):
-    return explain.ice(b.LINEAR, b.features(spark, sf), KEYS, FEATURES, POINTS)
+    return explain.ice_summary(explain.ice(b.LINEAR, b.features(spark, sf), KEYS, FEATURES, POINTS))
 
 
 @query("x02_ice_forest")
 def ice_forest(spark, sf):
-    return explain.ice(_forest(spark, sf), b.features(spark, sf), KEYS, FEATURES, POINTS)
+    return explain.ice_summary(explain.ice(_forest(spark, sf), b.features(spark, sf), KEYS, FEATURES, POINTS))
 
 
 @query("x03_accumulated_effects", LONG + f""", {COEFS}, q AS (SELECT feature, unnest(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS edge FROM lg GROUP BY feature),
@@ -248,14 +245,14 @@ def _delta(alias: str = "d") -> str:
 NAMES_SQL = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
 
 
-@query("x04_permutation_importance", _donors(11, 2) + f""", {COEFS},
+@query("x04_permutation_importance", _donors(11, 5) + f""", {COEFS},
     s AS (SELECT d.r, b.l_extendedprice, b.p, unnest({NAMES_SQL}) AS feature, unnest([{_delta()}]) AS delta FROM bs b JOIN dn d ON b.pos = d.pos),
     b0 AS (SELECT {R2} AS base FROM bs),
     v AS (SELECT feature, r, {R2} AS r2 FROM (SELECT feature, r, l_extendedprice, p - delta AS p FROM s) GROUP BY feature, r)
     SELECT feature, avg(base - r2) AS importance, stddev_pop(base - r2) AS importance_std FROM v, b0 GROUP BY feature""",
        floats="importance importance_std", digits=5)
 def permutation_linear(spark, sf):
-    return explain.permutation_importance(b.LINEAR, b.features(spark, sf), KEYS, LABEL, 2, 11)
+    return explain.permutation_importance(b.LINEAR, b.features(spark, sf), KEYS, LABEL, 5, 11)
 
 
 @query("x04_permutation_importance_forest")
@@ -271,12 +268,11 @@ def shapley_exact(spark, sf):
     return values.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
 
 
-@query("x05_shapley_importance", _donors(13, 2) + f""", s AS (SELECT b.id, d.r, unnest({NAMES_SQL}) AS feature, unnest([{_delta()}]) AS phi
-    FROM bs b JOIN dn d ON b.pos = d.pos)
-    SELECT feature, avg(abs(phi)) AS importance FROM (SELECT id, feature, avg(phi) AS phi FROM s GROUP BY id, feature) GROUP BY feature""",
-       floats="importance", digits=4)
+@query("x05_shapley_importance", f""", m AS (SELECT {", ".join(f"avg({f}) AS m_{f}" for f in FEATURES)} FROM features)
+    SELECT l_suppkey, feature, avg(abs(phi)) AS importance FROM (SELECT l_suppkey, unnest({NAMES_SQL}) AS feature,
+    unnest([{", ".join(f"{COEF[f]}::DOUBLE * ({f} - m_{f})" for f in FEATURES)}]) AS phi FROM features, m) GROUP BY l_suppkey, feature""", floats="importance", digits=4)
 def shapley_linear(spark, sf):
-    return explain.shapley_importance(b.LINEAR, b.features(spark, sf), KEYS, 2, 13)
+    return explain.shapley_importance(b.LINEAR, b.features(spark, sf), KEYS, by=["l_suppkey"])
 
 
 @query("x05_shapley_importance_forest")
@@ -284,22 +280,23 @@ def shapley_forest(spark, sf):
     return explain.shapley_importance(_forest(spark, sf), b.features(spark, sf), KEYS)
 
 
-@query("x06_station_top_features", _donors(17, 2, "l_suppkey") + f""",
+@query("x06_station_top_features", _donors(17, 5, "l_suppkey") + f""", m AS (SELECT {", ".join(f"avg({f}) AS m_{f}" for f in FEATURES)} FROM features),
     s AS (SELECT b.l_suppkey, d.r, b.id, b.l_extendedprice, b.p, unnest({NAMES_SQL}) AS feature, unnest([{_delta()}]) AS delta FROM bs b
         JOIN dn d ON b.l_suppkey = d.l_suppkey AND b.pos = d.pos),
     b0 AS (SELECT l_suppkey, {R2} AS base FROM bs GROUP BY l_suppkey),
     v AS (SELECT l_suppkey, feature, r, {R2} AS r2 FROM (SELECT l_suppkey, feature, r, l_extendedprice, p - delta AS p FROM s) GROUP BY l_suppkey, feature, r),
     pi AS (SELECT l_suppkey, feature, avg(base - r2) AS pi FROM v JOIN b0 USING (l_suppkey) GROUP BY l_suppkey, feature),
-    si AS (SELECT l_suppkey, feature, avg(abs(delta)) AS si FROM s WHERE r = 0 GROUP BY l_suppkey, feature),
+    si AS (SELECT l_suppkey, feature, avg(abs(phi)) AS si FROM (SELECT l_suppkey, unnest({NAMES_SQL}) AS feature,
+        unnest([{", ".join(f"{COEF[f]}::DOUBLE * ({f} - m_{f})" for f in FEATURES)}]) AS phi FROM features, m) GROUP BY l_suppkey, feature),
     a AS (SELECT l_suppkey, feature AS pi_variable, pi AS pi_value FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY pi DESC, feature) AS rn FROM pi) WHERE rn = 1),
     z AS (SELECT l_suppkey, feature AS si_variable, si AS si_value FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY si DESC, feature) AS rn FROM si) WHERE rn = 1)
     SELECT * FROM a FULL JOIN z USING (l_suppkey)""", floats="pi_value si_value", digits=4)
 def station_top(spark, sf):
-    return explain.station_top_features(b.LINEAR, b.features(spark, sf), KEYS, LABEL, "l_suppkey", repeats=2, draws=1, seed=17)
+    return explain.station_top_features(b.LINEAR, b.features(spark, sf), KEYS, LABEL, "l_suppkey", seed=17)
 
 
 @query("x06_station_top_features_forest")
 def station_top_forest(spark, sf):
-    return explain.station_top_features(_forest(spark, sf), b.features(spark, sf), KEYS, LABEL, "l_suppkey", repeats=2)
+    return explain.station_top_features(_forest(spark, sf), b.features(spark, sf), KEYS, LABEL, "l_suppkey")
 
 

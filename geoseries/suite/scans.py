@@ -103,15 +103,16 @@ def append_log(spark, sf):
     return spark.read.parquet(path).groupBy("layer").agg(F.count(F.lit(1)).alias("runs"), F.sum("accuracy").alias("total"))
 
 
-@query("s11_global_grid", """SELECT CAST(ceil(latitude + 89.5e0) AS BIGINT) AS lat_i, CAST(ceil(x - 0.5e0) AS BIGINT) AS lon_i,
-    count(*) AS n, ceil(latitude + 89.5e0) - 90 AS lat,
-    CASE WHEN ceil(x - 0.5e0) >= 180 THEN ceil(x - 0.5e0) - 360 ELSE ceil(x - 0.5e0) END AS lon
-    FROM (SELECT latitude, (longitude + 37 * (station_id % 7)) AS x FROM station_meta) GROUP BY ALL""", floats="lat lon")
+@query("s11_global_grid", """, st AS (SELECT CAST(ceil(latitude + 89.5e0) AS BIGINT) AS lat_i, CAST(ceil(x - 0.5e0) AS BIGINT) AS lon_i, count(*) AS n
+    FROM (SELECT latitude, (longitude + 37 * (station_id % 7)) AS x FROM station_meta) GROUP BY ALL),
+    cells AS (SELECT i AS lat_i, j AS lon_i FROM (SELECT unnest(range(181)) AS i), (SELECT unnest(range(360)) AS j))
+    SELECT lat_i, lon_i, coalesce(n, 0) AS n, lat_i - 90e0 AS lat, CASE WHEN lon_i >= 180 THEN lon_i - 360e0 ELSE lon_i END AS lon
+    FROM cells LEFT JOIN st USING (lat_i, lon_i)""", floats="lat lon")
 def global_grid(spark, sf):
     meta = b.station_meta(spark, sf).withColumn("east", F.col("longitude") + F.col("station_id") % 7 * 37)
     placed = grid.nearest_cell(meta, "latitude", "east", grid.Axis(-90.0, 1.0, 181), grid.Axis(0.0, 1.0, 360))
     counts = placed.groupBy("lat_i", "lon_i").agg(F.count(F.lit(1)).alias("n"))
-    return grid.global_grid(spark, 181, 360).join(counts, ["lat_i", "lon_i"])
+    return grid.global_grid(spark, 181, 360).join(counts, ["lat_i", "lon_i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("s12_config_layers", """, layers(layer, a, z) AS (VALUES ('layer1', 0e0, 0.1e0), ('layer2', 0.1e0, 0.3e0), ('layer3', 0.3e0, 0.5e0),
@@ -156,9 +157,9 @@ def importance_wide(spark, sf):
     return metrics.importance_wide(_importance(spark, sf), ["station"], ["f_AF", "f_AO", "f_NO", "f_RF"])
 
 
-@query("p01_projection", "SELECT lat_i, lon_i, time, swvl2 FROM grid_layers WHERE layer = 'layer2'", floats="swvl2", dates="time")
+@query("p01_projection", "SELECT layer, lat_i, lon_i, time, swvl2 FROM grid_layers", floats="swvl2", dates="time")
 def projection(spark, sf):
-    return b.grid_layers(spark, sf).where(F.col("layer") == "layer2").select("lat_i", "lon_i", "time", "swvl2")
+    return b.grid_layers(spark, sf).select("layer", "lat_i", "lon_i", "time", "swvl2")
 
 
 @query("p02_rename", """SELECT station_id, latitude AS lat, longitude AS lon FROM station_meta""", floats="lat lon")

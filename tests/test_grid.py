@@ -34,8 +34,8 @@ def plane(spark, nulls=()):
 def test_bilinear_reproduces_a_plane(spark):
     src = (Axis(0.0, 1.0, 4), Axis(0.0, 1.0, 5))
     new = (Axis(-0.5, 0.5, 9), Axis(0.25, 0.75, 7))
-    for by_slice in (True, False):
-        got = grid.regrid_bilinear(plane(spark), *src, *new, ["v"], by_slice=by_slice).collect()
+    for by in (["time"], []):
+        got = grid.regrid_bilinear(plane(spark), *src, *new, ["v"], by=by).collect()
         assert len(got) == 63
         for r in got:
             inside = 0 <= r.lat <= 3 and 0 <= r.lon <= 4
@@ -51,10 +51,22 @@ def test_bilinear_on_own_points_and_null_corners(spark):
     assert {(r.lat_i, r.lon_i) for r in holed if r.v is None} == {(0, 0), (0, 1), (1, 0), (1, 1)}
 
 
-def test_regrid_shuffles_source_rows_once(spark):
-    axes = (Axis(0.0, 1.0, 4), Axis(0.0, 1.0, 5))
-    plan = grid.regrid_bilinear(plane(spark), *axes, *axes, ["v"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 2
+def test_regrid_returns_every_target_and_splits_one_slice(spark):
+    axes = (Axis(0.0, 1.0, 60), Axis(3.0, -0.05, 60))
+    part = spark.range(2).select(F.lit(0).alias("time"), F.col("id").alias("lat_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("lon_i"), F.lit(1.0).alias("v"))
+    got = grid.regrid_bilinear(part, *axes, Axis(-1.0, 0.5, 100), Axis(0.0, 0.1, 50), ["v"])
+    assert got.count() == 100 * 50
+    known = got.where("v is not null")
+    assert known.agg(F.min("lat"), F.max("lat"), F.min("v"), F.max("v")).first() == (0.0, 0.5, pytest.approx(1.0), pytest.approx(1.0))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(time#" in plan and "lat_i#" in plan.split("hashpartitioning(time#")[-1].split(")")[0]
+    assert "Join" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert tasks > 1
 
 
 def test_dense_round_trip(spark):
