@@ -67,9 +67,15 @@ def _on_grid(df: DataFrame, grids: DataFrame) -> DataFrame:
 
 
 def pdp(score, df: DataFrame, features: Sequence[str], points: int = 100, exclude: Sequence[str] = ()) -> DataFrame:
-    """Partial dependence: mean prediction over all rows with the feature set to each grid value."""
+    """Partial dependence: mean prediction over all rows with the feature set to each grid value (closed form for linear models)."""
     chosen = [f for f in features if f not in exclude]
     grids = feature_grids(df, chosen, points)
+    if hasattr(score, "coefficients"):  # the mean over rows of a linear model needs no copies of the rows
+        own = {f: F.lit(float(c)) for f, c in score.coefficients.items()}
+        rest = {f: sum((own[g] * F.col(g) for g in own if g != f), F.lit(float(score.intercept))) for f in chosen}
+        means = df.agg(*[F.avg(rest[f]).alias(f) for f in chosen]).first()  # one row
+        slope, base = (F.coalesce(*[F.when(F.col("feature") == f, v) for f, v in values.items()]) for values in (own, {f: F.lit(means[f]) for f in chosen}))
+        return grids.select("feature", F.posexplode("grid").alias("point", "grid_value")).withColumn("pd", base + slope * F.col("grid_value"))
     rows = _on_grid(df.select(*score.features), grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     return scored.groupBy("feature", "point", "grid_value").agg(F.avg("pred").alias("pd"))

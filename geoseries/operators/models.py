@@ -86,9 +86,10 @@ def build_features(
     return table, features
 
 
-def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[str], missing: str = "error") -> DataFrame:
+    """Feature vectors; a row with a missing feature (null or NaN) ends the job, or with `missing="skip"` is left out."""
     staged = df.select(*keep, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
-    vector = VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="features")
+    vector = VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="features", handleInvalid=missing)
     return vector.transform(staged).select(*keep, "features")
 
 
@@ -108,10 +109,11 @@ def fit_family(
     family: str,
     weight: str | None = None,
     seed: int = 2023,
+    missing: str = "error",
     **params,
 ) -> ModelScorer:
     keep = [label, weight] if weight else [label]
-    model = _estimator(family, label, weight, params, seed).fit(assembled(train, features, keep))
+    model = _estimator(family, label, weight, params, seed).fit(assembled(train, features, keep, missing))
     return ModelScorer(model, list(features))
 
 
@@ -125,6 +127,7 @@ def fit_best(
     folds: int = 10,
     metric: str = "r2_total",
     seed: int = 2023,
+    missing: str = "error",
 ) -> tuple[ModelScorer, DataFrame]:
     """Best family and parameters by mean fold score, refitted on all rows.
 
@@ -134,22 +137,24 @@ def fit_best(
     """
     keep = [label, weight] if weight else [label]
     fold = F.pmod(F.conv(F.substring(row_hash(seed, *keys), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-    data = assembled(train.withColumn("_fold", fold), features, [*keep, "_fold"]).persist()
+    data = assembled(train.withColumn("_fold", fold), features, [*keep, "_fold"], missing).persist()
     sign = -1.0 if metric.startswith(("rmse", "ubrmse")) else 1.0
     scores = []
-    for family, grid in families.items():
-        for values in product(*grid.values()):
-            params = dict(zip(grid, values))
-            results = []
-            for i in range(folds):
-                model = _estimator(family, label, weight, params, seed).fit(data.where(F.col("_fold") != i))
-                held = model.transform(data.where(F.col("_fold") == i))
-                results.append(pooled_metrics(held, [], label, "prediction").select(metric).first()[0])
-            known = [x for x in results if x is not None]
-            scores.append((family, params, sum(known) / len(known) if known else -sign * float("inf")))
-    best = max(scores, key=lambda s: sign * s[2])
-    model = _estimator(best[0], label, weight, best[1], seed).fit(data)
-    data.unpersist()
+    try:
+        for family, grid in families.items():
+            for values in product(*grid.values()):
+                params = dict(zip(grid, values))
+                results = []
+                for i in range(folds):
+                    model = _estimator(family, label, weight, params, seed).fit(data.where(F.col("_fold") != i))
+                    held = model.transform(data.where(F.col("_fold") == i))
+                    results.append(pooled_metrics(held, [], label, "prediction").select(metric).first()[0])
+                known = [x for x in results if x is not None]
+                scores.append((family, params, sum(known) / len(known) if known else -sign * float("inf")))
+        best = max(scores, key=lambda s: sign * s[2])
+        model = _estimator(best[0], label, weight, best[1], seed).fit(data)
+    finally:
+        data.unpersist()
     table = train.sparkSession.createDataFrame(
         [(f, str(p), float(s)) for f, p, s in scores], "family string, params string, score double"
     )
@@ -180,10 +185,11 @@ def fit_final(
     return fit_family(train.select(*cols).unionByName(test.select(*cols)), features, label, family, seed=seed, **params)
 
 
-def _classifier(kind: str, seed: int):
+def _classifier(kind: str, seed: int, params: Mapping | None = None):
+    options = dict(featuresCol="features", labelCol="Is_test")
     if kind == "lr":
-        return LogisticRegression(featuresCol="features", labelCol="Is_test", maxIter=20)
-    return RandomForestClassifier(featuresCol="features", labelCol="Is_test", numTrees=20, maxDepth=5, seed=seed)
+        return LogisticRegression(**options, **{"maxIter": 20, **(params or {})})
+    return RandomForestClassifier(**options, seed=seed, **{"numTrees": 20, "maxDepth": 5, **(params or {})})
 
 
 def _labelled(df: DataFrame) -> DataFrame:
@@ -191,22 +197,28 @@ def _labelled(df: DataFrame) -> DataFrame:
 
 
 def adversarial_weights(
-    df: DataFrame, features: Sequence[str], classifier: str = "rf", seed: int = 2023, name: str = "weight"
+    df: DataFrame, features: Sequence[str], classifier: str = "rf", seed: int = 2023, name: str = "weight",
+    missing: str = "error", params: Mapping | None = None,
 ) -> DataFrame:
-    """Weight of each training row: its predicted probability of being a test row."""
+    """Weight of each training row: its predicted probability of being a test row.
+
+    A missing covariate ends the job, or with `missing="skip"` leaves the row out of the fit and of the result.
+    """
     data = _labelled(df)
-    fitted = _classifier(classifier, seed).fit(assembled(data, features, ["Is_test"]))
-    staged = VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="_x").transform(
+    fitted = _classifier(classifier, seed, params).fit(assembled(data, features, ["Is_test"], missing))
+    staged = VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="_x", handleInvalid=missing).transform(
         data.where(F.col("status") == "train").withColumns({f"_x_{f}": F.col(f).cast("double") for f in features})
     )
     scored = fitted.transform(staged, {fitted.featuresCol: "_x"})
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
-def adversarial_accuracy(df: DataFrame, features: Sequence[str], classifier: str = "rf", seed: int = 2023) -> DataFrame:
+def adversarial_accuracy(
+    df: DataFrame, features: Sequence[str], classifier: str = "rf", seed: int = 2023, missing: str = "error", params: Mapping | None = None
+) -> DataFrame:
     """How well train and test rows can be told apart, on the fitted rows."""
-    data = assembled(_labelled(df), features, ["Is_test"])
-    fitted = _classifier(classifier, seed).fit(data)
+    data = assembled(_labelled(df), features, ["Is_test"], missing)
+    fitted = _classifier(classifier, seed, params).fit(data)
     return accuracy(fitted.transform(data), "Is_test", "prediction")
 
 
@@ -217,10 +229,12 @@ def adversarial_cv(
     folded = stratified_folds(_labelled(df), "Is_test", keys, k, seed, ties=features)
     data = assembled(folded, features, ["Is_test", "fold"]).persist()
     rows = []
-    for i in range(k):
-        fitted = _classifier(classifier, seed).fit(data.where(F.col("fold") != i))
-        rows.append((i, accuracy(fitted.transform(data.where(F.col("fold") == i)), "Is_test", "prediction").first()[0]))
-    data.unpersist()
+    try:
+        for i in range(k):
+            fitted = _classifier(classifier, seed).fit(data.where(F.col("fold") != i))
+            rows.append((i, accuracy(fitted.transform(data.where(F.col("fold") == i)), "Is_test", "prediction").first()[0]))
+    finally:
+        data.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")
 
 
@@ -238,13 +252,17 @@ def seed_sweep(
 ) -> DataFrame:
     """Adversarial accuracy of the station split for each seed and layer: the seed log."""
     rows = []
-    layers = [r[0] for r in df.select(layer).distinct().sort(layer).collect()] if layer else [None]
-    for name in layers:
-        part = df.where(F.col(layer) == name) if layer else df
-        for seed in seeds:
-            split = spatial_split(part, station, seed, test)
-            mean = adversarial_cv(split, features, keys, k, classifier, seed).agg(F.avg("accuracy")).first()[0]
-            rows.append((float(mean), split_method, name, int(seed)))
+    used = df.select(*dict.fromkeys([station, *keys, *features, *([layer] if layer else [])])).persist()  # read once for all seeds
+    try:
+        layers = [r[0] for r in used.select(layer).distinct().sort(layer).collect()] if layer else [None]
+        for name in layers:
+            part = used.where(F.col(layer) == name) if layer else used
+            for seed in seeds:
+                split = spatial_split(part, station, seed, test)
+                mean = adversarial_cv(split, features, keys, k, classifier, seed).agg(F.avg("accuracy")).first()[0]
+                rows.append((float(mean), split_method, name, int(seed)))
+    finally:
+        used.unpersist()
     return df.sparkSession.createDataFrame(rows, "accuracy double, split_method string, layer string, seed int")
 
 

@@ -7,22 +7,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-STATION_RAW = T.StructType([
-    T.StructField("station_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("soil_moisture", T.DoubleType()),
-    T.StructField("soil_moisture_flag", T.StringType()),
-])
-
-STATION_META = T.StructType([
-    T.StructField("station_id", T.LongType()),
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("elevation", T.DoubleType()),
-    T.StructField("depth_from", T.DoubleType()),
-    T.StructField("depth_to", T.DoubleType()),
-])
-
 STATION_DAILY = T.StructType([
     T.StructField("date_time", T.DateType()),
     T.StructField("soil_moisture", T.DoubleType()),
@@ -67,9 +51,6 @@ GLDAS_SCALES = {
 }
 SMCI_SCALE = 0.001
 
-# Stored markers of missing soil properties.
-SOIL_SENTINELS = {"BD": -999.0, "SAND": -100.0, "SILT": -100.0, "CLAY": -100.0, "GRAV": -100.0}
-
 # Validity rules per variable.
 VALIDITY_RULES = {
     "BD": {"missing_value": -999.0, "scale": 0.01},
@@ -100,15 +81,6 @@ SPLIT_SEEDS = {
 ADVERSARIAL_SEEDS = {"layer1": 286, "layer2": 301, "layer3": 318, "layer4": 330, "layer5": 321}
 CORRECTED_SEEDS = {"layer1": 97, "layer2": 335, "layer3": 53, "layer4": 184, "layer5": 197}
 
-# Features left out of the dependence plots because they correlate.
-CORRELATED_FEATURES = {
-    "layer1": ["lai_lv", "lai", "swvl2", "swvl1", "swvl3", "SILT_mean", "SAND_mean"],
-    "layer2": ["swvl2", "swvl1", "swvl3", "SoilMoi40_100cm_inst", "SoilMoi10_40cm_inst"],
-    "layer3": ["swvl2", "swvl1", "swvl3", "SoilMoi10_40cm_inst", "SoilMoi40_100cm_inst"],
-    "layer4": ["swvl2", "swvl1", "swvl3", "SoilMoi10_40cm_inst", "SoilMoi40_100cm_inst", "SoilMoi0_10cm_inst"],
-    "layer5": ["swvl2", "swvl1", "swvl3", "SoilMoi10_40cm_inst", "SoilMoi40_100cm_inst", "SoilMoi0_10cm_inst"],
-}
-
 
 def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The configuration as small tables (a few rows each, all fixed in this module)."""
@@ -131,7 +103,14 @@ def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
         + [("corrected", None, layer, seed) for layer, seed in CORRECTED_SEEDS.items()],
         "table string, split_method string, layer string, seed int",
     )
-    return {"layers": layers, "products": products, "depths": depths, "seeds": seeds}
+    rules = spark.createDataFrame(
+        [
+            (name, rule.get("missing_value"), rule.get("scale"), rule.get("valid_list"), *rule.get("value_range", (None, None)), rule.get("min_val"))
+            for name, rule in VALIDITY_RULES.items()
+        ],
+        "variable string, missing_value double, scale double, valid_list array<int>, low double, high double, min_val double",
+    )
+    return {"layers": layers, "products": products, "depths": depths, "seeds": seeds, "rules": rules}
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

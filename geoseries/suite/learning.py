@@ -23,14 +23,73 @@ def _forest(spark, sf):
     return models.fit_family(b.features(spark, sf), FEATURES, LABEL, "rf", numTrees=10, maxDepth=5)
 
 
-@query("m04_build_features", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, dt AS "day", """
-       + ", ".join(f"CAST(month(dt) = {m} AS INT) AS month_{m}" for m in range(1, 13)) + " FROM features",
-       floats="l_quantity", ints=" ".join(f"month_{m}" for m in range(1, 13)), dates="day")
+@query("m04_build_features", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dt AS "day", l_quantity, l_discount, l_tax, p_size, p_retailprice,
+    s_acctbal, """ + ", ".join(f"CAST(month(dt) = {m} AS INT) AS month_{m}" for m in range(1, 13)) + " FROM features",
+       floats="l_quantity l_discount l_tax p_size p_retailprice s_acctbal", ints=" ".join(f"month_{m}" for m in range(1, 13)), dates="day")
 def feature_table(spark, sf):
-    table, names = models.build_features(
-        b.features(spark, sf).withColumn("LAND_COVER", F.lit(1)), "day", LABEL, drop=["LAND_COVER", "p_size", "p_retailprice", "s_acctbal"]
-    )
-    return table.select(*KEYS, "l_quantity", *[n for n in names if n.startswith("month_")])
+    table, names = models.build_features(b.features(spark, sf).withColumn("LAND_COVER", F.lit(1)), "day", LABEL)
+    return table.select(*dict.fromkeys([*KEYS, *names]))
+
+
+# Two-valued features have closed-form fits: a logistic one predicts each group's share, a tree of one split each group's mean.
+
+LOW_LINE = (F.col("l_linenumber") <= 3).cast("double")
+SPLIT_SQL = """, sp AS (SELECT f.*, CASE WHEN rn <= ceil(n * 0.2e0) THEN 1 ELSE 0 END AS is_test, l_linenumber <= 3 AS low FROM features f
+    JOIN (SELECT l_suppkey, row_number() OVER (ORDER BY md5(concat('42:', l_suppkey))) AS rn, count(*) OVER () AS n FROM
+    (SELECT DISTINCT l_suppkey FROM features)) s USING (l_suppkey))"""
+
+
+def _exact_fit():
+    return {"maxIter": 200, "tol": 1e-12}
+
+
+@query("m05_weights_two_groups", SPLIT_SQL + """ SELECT low, (SELECT avg(is_test) FROM sp a WHERE a.low = b.low) AS weight, count(*) AS n
+    FROM sp b WHERE is_test = 0 GROUP BY low""", floats="weight", digits=4)
+def weights_two_groups(spark, sf):
+    split = _split(spark, sf).withColumn("low", LOW_LINE)
+    weighted = models.adversarial_weights(split, ["low"], "lr", params=_exact_fit())
+    return weighted.groupBy((F.col("low") > 0).alias("low")).agg(F.avg("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+@query("m06_accuracy_two_groups", SPLIT_SQL + """ SELECT avg(CASE WHEN (share > 0.5e0) = (is_test = 1) THEN 1e0 ELSE 0 END) AS accuracy
+    FROM sp JOIN (SELECT low, avg(is_test) AS share FROM sp GROUP BY low) USING (low)""", floats="accuracy")
+def accuracy_two_groups(spark, sf):
+    return models.adversarial_accuracy(_split(spark, sf).withColumn("low", LOW_LINE), ["low"], "lr", params=_exact_fit()).toDF("accuracy")
+
+
+@query("m10_line_fit", "SELECT regr_r2(l_extendedprice, l_quantity) AS r2 FROM features", floats="r2")
+def line_fit(spark, sf):
+    rows = b.features(spark, sf)
+    return models.train_r2(models.fit_family(rows, ["l_quantity"], LABEL, "lr"), rows, LABEL)
+
+
+@query("m10_line_fit_with_gaps", """SELECT regr_r2(l_extendedprice, x) AS r2 FROM (SELECT l_extendedprice, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS x FROM features)""", floats="r2")
+def line_fit_with_gaps(spark, sf):
+    gap = F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") == 4, F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    rows = b.features(spark, sf).withColumn("x", gap)
+    scorer = models.fit_family(rows, ["x"], LABEL, "lr", missing="skip")
+    return models.train_r2(scorer, rows.where(F.col("x").isNotNull()), LABEL)
+
+
+@query("m10_tree_two_groups", """SELECT 1 - sum((l_extendedprice - m) * (l_extendedprice - m)) / (var_pop(l_extendedprice) * count(*)) AS r2
+    FROM (SELECT l_extendedprice, avg(l_extendedprice) OVER (PARTITION BY l_linenumber <= 3) AS m FROM features)""", floats="r2")
+def tree_two_groups(spark, sf):
+    rows = b.features(spark, sf).withColumn("low", LOW_LINE)
+    return models.train_r2(models.fit_family(rows, ["low"], LABEL, "dt", maxDepth=1), rows, LABEL)
+
+
+@query("m12_final_line", "SELECT regr_r2(l_extendedprice, l_quantity) AS r2 FROM features", floats="r2")
+def final_line(spark, sf):
+    split = _split(spark, sf)
+    train, test = split.where(F.col("status") == "train"), split.where(F.col("status") == "test")
+    return models.train_r2(models.fit_final(train, test, ["l_quantity"], LABEL, "lr", {}), split, LABEL)
+
+
+@query("m17_saved_line", "SELECT regr_r2(l_extendedprice, l_quantity) AS r2 FROM features", floats="r2")
+def saved_line(spark, sf):
+    rows, path = b.features(spark, sf), scratch_path(spark, "line")
+    models.save_model(models.fit_family(rows, ["l_quantity"], LABEL, "lr"), path)
+    return models.train_r2(models.load_model(path), rows, LABEL)
 
 
 @query("m05_adversarial_weights")

@@ -210,18 +210,20 @@ def sentinels(spark, sf):
 
 
 @query("p09_validity_rules", """SELECT lat_i, lon_i, CASE WHEN value <> -999 THEN value * 0.01e0 END AS BD,
+    CASE WHEN value - 100 <> -100 THEN value - 100 END AS CLAY, CASE WHEN value / 10 <> -100 THEN value / 10 END AS GRAV,
+    CASE WHEN value <> -100 THEN value END AS SAND, CASE WHEN -100 * depth <> -100 THEN -100e0 * depth END AS SILT,
     CASE WHEN depth BETWEEN 1 AND 24 THEN depth END AS LAND_COVER, CASE WHEN value / 700 BETWEEN 0 AND 10 THEN value / 700 END AS MODIS_LAI,
-    CASE WHEN value / 100 >= 0 THEN value / 100 END AS ERA5_LAND_lai_lv,
+    CASE WHEN value / 100 >= 0 THEN value / 100 END AS ERA5_LAND_lai_lv, CASE WHEN value - 500 >= 0 THEN value - 500 END AS ERA5_LAND_lai_hv,
     CASE WHEN value <> 9999 AND value BETWEEN -407 AND 8752 THEN value END AS DEM FROM grid_soil""",
-       floats="BD LAND_COVER MODIS_LAI ERA5_LAND_lai_lv DEM")
+       floats="BD CLAY GRAV SAND SILT LAND_COVER MODIS_LAI ERA5_LAND_lai_lv ERA5_LAND_lai_hv DEM")
 def validity_rules(spark, sf):
-    v = F.col("value")
-    soil = b.grid_soil(spark, sf).select(
-        "lat_i", "lon_i", v.alias("BD"), F.col("depth").alias("LAND_COVER"), (v / 700).alias("MODIS_LAI"),
-        (v / 100).alias("ERA5_LAND_lai_lv"), v.alias("DEM"),
-    )
-    used = ["BD", "LAND_COVER", "MODIS_LAI", "ERA5_LAND_lai_lv", "DEM"]
-    return clean.apply_validity(soil, {k: schema.VALIDITY_RULES[k] for k in used})
+    v, depth = F.col("value"), F.col("depth")
+    inputs = {
+        "BD": v, "CLAY": v - 100, "GRAV": v / 10, "SAND": v, "SILT": depth * -100.0, "LAND_COVER": depth, "MODIS_LAI": v / 700,
+        "ERA5_LAND_lai_lv": v / 100, "ERA5_LAND_lai_hv": v - 500, "DEM": v,
+    }
+    soil = b.grid_soil(spark, sf).select("lat_i", "lon_i", *[c.alias(name) for name, c in inputs.items()])
+    return clean.apply_validity(soil, schema.VALIDITY_RULES)
 
 
 @query("p10_scale", """SELECT layer, lat_i, lon_i, time, SoilMoi0_10cm_inst * (1 / 100e0) AS SoilMoi0_10cm_inst,

@@ -31,6 +31,25 @@ def features_by_frequency(spark, sf):
     return cal.time_features(days, "l_shipdate", "D")
 
 
+PART_SQL = {
+    "second_of_minute": "floor(second(ts)) / 59e0 - 0.5e0", "minute_of_hour": "minute(ts) / 59e0 - 0.5e0", "hour_of_day": "hour(ts) / 23e0 - 0.5e0",
+    "day_of_week": "(isodow(ts) - 1) / 6e0 - 0.5e0", "day_of_month": "(day(ts) - 1) / 30e0 - 0.5e0", "day_of_year": "(dayofyear(ts) - 1) / 365e0 - 0.5e0",
+    "month_of_year": "(month(ts) - 1) / 11e0 - 0.5e0", "week_of_year": "(week(ts) - 1) / 52e0 - 0.5e0",
+}
+FREQUENCIES = list(cal.FREQUENCY_FEATURES)
+
+
+@query("f09_all_frequencies", "SELECT event_id, " + ", ".join(
+    f"{PART_SQL[name]} AS {freq}_{name}" for freq in FREQUENCIES for name in cal.FREQUENCY_FEATURES[freq]) + " FROM events",
+       floats=" ".join(f"{freq}_{name}" for freq in FREQUENCIES for name in cal.FREQUENCY_FEATURES[freq]))
+def all_frequencies(spark, sf):
+    rows = b.table(spark, sf, "events").select("event_id", "ts")
+    for freq in FREQUENCIES:
+        added = cal.frequency_features(freq)
+        rows = cal.time_features(rows, "ts", freq).withColumnsRenamed({name: f"{freq}_{name}" for name in added})
+    return rows.drop("ts")
+
+
 @query("f10_f11_month_indicators", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt, month(l_shipdate) AS month, "
        + ", ".join(f"CAST(month(l_shipdate) = {m} AS INT) AS month_{m}" for m in range(1, 13)) + " FROM lineitem",
        ints="month " + " ".join(f"month_{m}" for m in range(1, 13)), dates="dt")
@@ -250,12 +269,18 @@ def spatial3(spark, sf):
 
 @query("m03_split_by_source", """, st AS (SELECT DISTINCT station_id, CASE WHEN station_id % 3 = 0 THEN 'first' ELSE 'second' END AS source
     FROM station_raw), rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
-    md5(concat(CASE source WHEN 'first' THEN '2390' ELSE '7' END, ':', source, ':', station_id))) AS rn, count(*) OVER (PARTITION BY source) AS n FROM st)
-    SELECT station_id, source, CASE WHEN rn <= ceil(n * 0.2e0) THEN 'test' ELSE 'train' END AS status FROM rk""")
+    md5(concat(CASE source WHEN 'first' THEN '2390' ELSE '7' END, ':', source, ':', station_id))) AS rn, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (ORDER BY md5(concat('7:', source, ':', station_id))) AS all_rn, count(*) OVER () AS all_n FROM st),
+    ly AS (SELECT unnest(['layer1', 'layer2', 'layer4']) AS layer)
+    SELECT layer, station_id, source, CASE WHEN (layer = 'layer4' AND all_rn <= ceil(all_n * 0.2e0)) OR (layer <> 'layer4' AND rn <= ceil(n * 0.2e0))
+    THEN 'test' ELSE 'train' END AS status FROM rk, ly WHERE layer <> 'layer1' OR source = 'first'""")
 def by_source(spark, sf):
     raw = b.station_raw(spark, sf).withColumn("source", F.when(F.col("station_id") % 3 == 0, "first").otherwise("second"))
-    split = splits.spatial_split_by_source(raw, "station_id", "source", {"first": 2390, "second": 7}, "layer2")
-    return split.select("station_id", "source", "status").distinct()
+    parts = []
+    for layer in ("layer1", "layer2", "layer4"):  # one of each rule
+        split = splits.spatial_split_by_source(raw, "station_id", "source", {"first": 2390, "second": 7}, layer)
+        parts.append(split.select(F.lit(layer).alias("layer"), "station_id", "source", "status").distinct())
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("m07_stratified_folds", """, r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag = 'A' ORDER BY

@@ -30,6 +30,18 @@ def test_dependence_is_a_line(table):
     assert sorted(r.grid_value for r in got if r.feature == "c") == [0.0, 1.0, 2.0]
 
 
+def test_dependence_of_an_opaque_model_is_the_same(table):
+    class Opaque:
+        features = LINEAR.features
+
+        def __call__(self, *args):
+            return LINEAR(*args)
+
+    gaps = table.withColumn("b", F.when(F.col("id") % 5 > 0, F.col("b")))
+    got, want = ({(r.feature, r.point): r.pd for r in explain.pdp(m, gaps, ["a", "b"], points=7).collect()} for m in (LINEAR, Opaque()))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_curves_start_at_zero(table):
     got = explain.ice(LINEAR, table, ["id"], ["a", "b"], points=5)
     assert got.select("id").distinct().count() == 600 and got.count() == 600 * 2 * 5

@@ -110,3 +110,15 @@ def test_grid_predictions(spark):
         models.predict_ensemble({"a": a, "d": models.LinearScorer({"DEM": 1.0})}, *grid_inputs(spark))
     with pytest.raises(ValueError):
         models.predict_grid(models.LinearScorer({"DEM": 1.0}), *grid_inputs(spark))
+
+
+def test_missing_covariates_are_a_choice(spark):
+    rows = [(i, float(i % 7), None if i % 10 == 0 else float("nan") if i % 10 == 1 else float(i % 3), 2.0 * (i % 7), "test" if i % 4 == 0 else "train") for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, a double, b double, y double, status string")
+    with pytest.raises(Exception):
+        models.fit_family(table, ["a", "b"], "y", "lr")
+    fitted = models.fit_family(table, ["a", "b"], "y", "lr", missing="skip")
+    assert fitted(table.where("b is not null and not isnan(b)")).where("abs(pred - y) > 1e-3").count() == 0
+    weighted = models.adversarial_weights(table, ["a", "b"], "lr", missing="skip")
+    assert weighted.count() == sum(1 for r in rows if r[4] == "train" and r[0] % 10 > 1)
+    assert models.fit_best(table, ["a", "b"], "y", ["id"], {"lr": {}}, folds=3, missing="skip")[1].first().score > 0.99

@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from geoseries import suite
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = suite.load()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,8 @@ def duck():
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
     modelled = set(QUERIES) - set(ORACLE)
     assert all(re.match(r"m\d\d_|x\d\d_.*_forest$", name) for name in modelled)
 
