@@ -4,7 +4,8 @@ from geoseries.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("cluster")
     session = build_session(
         "tests",
         "local[8]",
@@ -12,6 +13,8 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
+            "spark.sql.warehouse.dir": str(shared / "warehouse"),
+            "spark.checkpoint.dir": str(shared / "checkpoints"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
