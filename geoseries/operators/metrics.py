@@ -136,13 +136,20 @@ def merge_metrics(tables: Mapping[str, DataFrame], on: Sequence[str] = ("station
     Stacked and pivoted in one shuffle; a station missing from one table drops out.
     """
     stacked = reduce(
-        DataFrame.unionByName, [t.select(*on, *cols).withColumn("_exp", F.lit(name)) for name, t in tables.items()]
+        DataFrame.unionByName, [t.select(*on, *cols).withColumn("exp", F.lit(name)) for name, t in tables.items()]
     )
-    wide = stacked.groupBy(*on).agg(
-        sum((F.max((F.col("_exp") == n).cast("int")) for n in tables), F.lit(0)).alias("_have"),
-        *[F.max(F.when(F.col("_exp") == n, F.col(c))).alias(f"{n}_{c}") for n in tables for c in cols],
+    return pivot_metrics(stacked, list(tables), on, cols)
+
+
+def pivot_metrics(
+    long: DataFrame, names: Sequence[str], on: Sequence[str] = ("station_idx",), cols: Sequence[str] = METRICS
+) -> DataFrame:
+    """`merge_metrics` of one long table with the names in `exp`: its source is read once."""
+    wide = long.where(F.col("exp").isin(list(names))).groupBy(*on).agg(
+        sum((F.max((F.col("exp") == n).cast("int")) for n in names), F.lit(0)).alias("_have"),
+        *[F.max(F.when(F.col("exp") == n, F.col(c))).alias(f"{n}_{c}") for n in names for c in cols],
     )
-    return wide.where(F.col("_have") == len(tables)).drop("_have")
+    return wide.where(F.col("_have") == len(names)).drop("_have")
 
 
 def best_estimator(wide: DataFrame, names: Sequence[str], metric: str, out: str = "best") -> DataFrame:
@@ -234,15 +241,19 @@ def ensemble_mean(df: DataFrame, cols: Sequence[str], name: str = "pred") -> Dat
 
 def sweep_metrics(
     wide: DataFrame, estimators: Sequence[str], by: Sequence[str], station: str = "station_idx", true: str = "true",
-    not_in_ensemble: Sequence[str] = (),
+    not_in_ensemble: Sequence[str] = (), base: DataFrame | None = None,
 ) -> DataFrame:
-    """Station-mean and pooled metrics of every estimator and of their ensemble, per key."""
+    """Station-mean and pooled metrics of every estimator and of their ensemble, per key.
+
+    `base` adds the finished rows of earlier runs; metrics they lack are null.
+    """
     members = [e for e in estimators if e not in not_in_ensemble]
     with_mean = ensemble_mean(wide, members, "ensemble")
     long = with_mean.select(*by, station, true, *estimators, "ensemble").unpivot(
         [*by, station, true], [*estimators, "ensemble"], "exp", "pred"
     )
-    return metric_levels(long, ["exp", *by], station, true, "pred")
+    levels = metric_levels(long, ["exp", *by], station, true, "pred")
+    return levels if base is None else levels.unionByName(base, allowMissingColumns=True)
 
 
 def with_labels(df: DataFrame, labels: Mapping[str, object]) -> DataFrame:

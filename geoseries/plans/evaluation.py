@@ -12,7 +12,7 @@ from geoseries.operators.metrics import (
     METRICS,
     best_estimator,
     ensemble_mean,
-    merge_metrics,
+    pivot_metrics,
     metric_levels,
     station_metrics,
     winner_table,
@@ -43,15 +43,18 @@ def insitu_collection(
 
 
 def discussion_summary(
-    wide: DataFrame, estimators: Sequence[str], members: Sequence[str], by: Sequence[str] = ("split_method", "layer"), report: str = "layer"
+    wide: DataFrame, estimators: Sequence[str], members: Sequence[str], by: Sequence[str] = ("split_method", "layer"), report: str = "layer",
+    base: Sequence[str] = (),
 ) -> DataFrame:
-    """Who wins how often: sweep, per-station merge, best by each metric, counts and shares per layer."""
-    names = [*estimators, "ensemble"]
+    """Who wins how often: sweep, per-station merge, best by each metric, counts and shares per layer.
+
+    `base` names prediction columns of earlier runs: they compete, ahead of the estimators on a tie, but are not part of the ensemble.
+    """
+    names = [*base, *estimators, "ensemble"]
     with_mean = ensemble_mean(wide, members, "ensemble")
     keys = [*by, "station_idx"]
     long = with_mean.select(*keys, "true", *names).unpivot([*keys, "true"], names, "exp", "pred")
-    stations = station_metrics(long, [*keys, "exp"])
-    merged = merge_metrics({n: stations.where(F.col("exp") == n) for n in names}, keys)
+    merged = pivot_metrics(station_metrics(long, [*keys, "exp"]), names, keys)
     picks: list[Column] = []
     for metric in METRICS:
         merged = best_estimator(merged, names, metric, f"_best_{metric}")

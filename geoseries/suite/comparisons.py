@@ -105,18 +105,21 @@ def insitu(spark, sf):
 
 ENSEMBLE = "(coalesce(pred_a, 0) + coalesce(pred_b, 0) + coalesce(pred_c, 0)) / (CASE WHEN pred_c IS NULL THEN 2e0 ELSE 3e0 END)"
 NAMES = ["pred_a", "pred_b", "pred_c", "ensemble"]
+RUNS = ["base", *NAMES]
 
 
 @query("c06_discussion_summary", f""", lg AS (SELECT split_method, layer, station_idx, "true",
-    unnest(['pred_a', 'pred_b', 'pred_c', 'ensemble']) AS exp, unnest([0, 1, 2, 3]) AS pos, unnest([pred_a, pred_b, pred_c, {ENSEMBLE}]) AS pred FROM scores_wide),
+    unnest(['base', 'pred_a', 'pred_b', 'pred_c', 'ensemble']) AS exp, unnest([0, 1, 2, 3, 4]) AS pos,
+    unnest([0.25e0 * pred_a + 0.5e0 * pred_b, pred_a, pred_b, pred_c, {ENSEMBLE}]) AS pred FROM scores_wide),
     st AS (SELECT split_method, layer, station_idx, exp, pos, {RMSE} AS rmse, {R} AS r, {UB} AS ubrmse FROM lg WHERE pred IS NOT NULL GROUP BY split_method, layer, station_idx, exp, pos),
-    ok AS (SELECT split_method, layer, station_idx FROM st GROUP BY ALL HAVING count(*) = 4),
+    ok AS (SELECT split_method, layer, station_idx FROM st GROUP BY ALL HAVING count(*) = 5),
     al AS (SELECT * FROM st JOIN ok USING (split_method, layer, station_idx)),
     bs AS (SELECT layer, exp FROM (SELECT *, row_number() OVER (PARTITION BY split_method, layer, station_idx ORDER BY r DESC, pos) AS rn FROM al WHERE r IS NOT NULL) WHERE rn = 1
         UNION ALL SELECT layer, exp FROM (SELECT *, row_number() OVER (PARTITION BY split_method, layer, station_idx ORDER BY rmse, pos) AS rn FROM al) WHERE rn = 1
         UNION ALL SELECT layer, exp FROM (SELECT *, row_number() OVER (PARTITION BY split_method, layer, station_idx ORDER BY ubrmse, pos) AS rn FROM al) WHERE rn = 1),
-    c AS (SELECT layer, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (exp = '{n}')::DOUBLE AS {n}" for n in NAMES)} FROM bs GROUP BY layer)
-    SELECT layer, 'count' AS kind, {", ".join(NAMES)} FROM c UNION ALL SELECT layer, 'share', {", ".join(f"{n} / n" for n in NAMES)} FROM c""",
-       floats=" ".join(NAMES))
+    c AS (SELECT layer, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (exp = '{n}')::DOUBLE AS {n}" for n in RUNS)} FROM bs GROUP BY layer)
+    SELECT layer, 'count' AS kind, {", ".join(RUNS)} FROM c UNION ALL SELECT layer, 'share', {", ".join(f"{n} / n" for n in RUNS)} FROM c""",
+       floats=" ".join(RUNS))
 def discussion(spark, sf):
-    return evaluation.discussion_summary(b.scores_wide(spark, sf), NAMES[:3], NAMES[:3])
+    wide = b.scores_wide(spark, sf).withColumn("base", F.col("pred_a") * 0.25 + F.col("pred_b") * 0.5)
+    return evaluation.discussion_summary(wide, NAMES[:3], NAMES[:3], base=["base"])
