@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geoseries.llm import byte_bpe, decontamination, exact_dedup, near_dedup, quality
-from geoseries.llm.common import learnable, staged, table
+from geoseries.llm.common import learnable, small_batches, staged, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _bounded(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", good_quality),
-    ("exact dedup", without_copies),
-    ("near dedup", without_near_copies),
-    ("decontamination", without_benchmark),
-    ("byte BPE", tokens),
+    ("quality", _bounded(good_quality)),
+    ("exact dedup", _bounded(without_copies)),
+    ("near dedup", _bounded(without_near_copies)),
+    ("decontamination", _bounded(without_benchmark)),
+    ("byte BPE", _bounded(tokens)),
 ]
 
 #: The quality model and the near-duplicate components have no SQL; tests/llm/test_pipeline.py runs each stage against brute force.

@@ -91,7 +91,7 @@ def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 class PieceCache:
     """Ids of texts by way of their pieces; `encode_pieces` gets new pieces and returns their id lists."""
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 600_000):
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
         if pattern != public_tokenizers.PATTERN:
             raise ValueError("only the pattern of the public byte-level vocabularies is known")
         self.encode_pieces, self.limit = encode_pieces, limit

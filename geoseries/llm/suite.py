@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoseries.llm import byte_bpe, decontamination, exact_dedup, html_text, language, near_dedup, quality, token_files, toxicity, warc
-from geoseries.llm.common import learnable, table
+from geoseries.llm.common import learnable, small_batches, table
 from geoseries.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 
 def query(build):
-    QUERIES[build.__name__] = build
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = run
     return build
 
 
