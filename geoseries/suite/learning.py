@@ -33,7 +33,10 @@ def feature_table(spark, sf):
 
 # Two-valued features have closed-form fits: a logistic one predicts each group's share, a tree of one split each group's mean.
 
-LOW_LINE = (F.col("l_linenumber") <= 3).cast("double")
+def _low_line():
+    return (F.col("l_linenumber") <= 3).cast("double")
+
+
 SPLIT_SQL = """, sp AS (SELECT f.*, CASE WHEN rn <= ceil(n * 0.2e0) THEN 1 ELSE 0 END AS is_test, l_linenumber <= 3 AS low FROM features f
     JOIN (SELECT l_suppkey, row_number() OVER (ORDER BY md5(concat('42:', l_suppkey))) AS rn, count(*) OVER () AS n FROM
     (SELECT DISTINCT l_suppkey FROM features)) s USING (l_suppkey))"""
@@ -46,7 +49,7 @@ def _exact_fit():
 @query("m05_weights_two_groups", SPLIT_SQL + """ SELECT low, (SELECT avg(is_test) FROM sp a WHERE a.low = b.low) AS weight, count(*) AS n
     FROM sp b WHERE is_test = 0 GROUP BY low""", floats="weight", digits=4)
 def weights_two_groups(spark, sf):
-    split = _split(spark, sf).withColumn("low", LOW_LINE)
+    split = _split(spark, sf).withColumn("low", _low_line())
     weighted = models.adversarial_weights(split, ["low"], "lr", params=_exact_fit())
     return weighted.groupBy((F.col("low") > 0).alias("low")).agg(F.avg("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
@@ -54,7 +57,7 @@ def weights_two_groups(spark, sf):
 @query("m06_accuracy_two_groups", SPLIT_SQL + """ SELECT avg(CASE WHEN (share > 0.5e0) = (is_test = 1) THEN 1e0 ELSE 0 END) AS accuracy
     FROM sp JOIN (SELECT low, avg(is_test) AS share FROM sp GROUP BY low) USING (low)""", floats="accuracy")
 def accuracy_two_groups(spark, sf):
-    return models.adversarial_accuracy(_split(spark, sf).withColumn("low", LOW_LINE), ["low"], "lr", params=_exact_fit()).toDF("accuracy")
+    return models.adversarial_accuracy(_split(spark, sf).withColumn("low", _low_line()), ["low"], "lr", params=_exact_fit()).toDF("accuracy")
 
 
 @query("m10_line_fit", "SELECT regr_r2(l_extendedprice, l_quantity) AS r2 FROM features", floats="r2")
@@ -74,7 +77,7 @@ def line_fit_with_gaps(spark, sf):
 @query("m10_tree_two_groups", """SELECT 1 - sum((l_extendedprice - m) * (l_extendedprice - m)) / (var_pop(l_extendedprice) * count(*)) AS r2
     FROM (SELECT l_extendedprice, avg(l_extendedprice) OVER (PARTITION BY l_linenumber <= 3) AS m FROM features)""", floats="r2")
 def tree_two_groups(spark, sf):
-    rows = b.features(spark, sf).withColumn("low", LOW_LINE)
+    rows = b.features(spark, sf).withColumn("low", _low_line())
     return models.train_r2(models.fit_family(rows, ["low"], LABEL, "dt", maxDepth=1), rows, LABEL)
 
 
