@@ -36,7 +36,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.read_documents(spark, uri, token_files.write_token_files(docs, uri, path, public_tokenizers.PATTERN, end_id=2, parts=parts))
+    files = token_files.write_token_files(docs, uri, path, public_tokenizers.PATTERN, end_id=2, parts=parts, added=True)
+    return token_files.read_documents(spark, uri, files)
 
 
 @query

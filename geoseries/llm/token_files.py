@@ -15,6 +15,7 @@ The folder may be any URI that pyarrow's file systems open.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -33,23 +34,43 @@ SEQUENCE = 2048
 TOKENS, DOCS = ".tokens.arrow", ".docs.arrow"
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
-_ENCODERS: dict[tuple[str, str], PieceCache] = {}
 
 
-def encoder(path: str, pattern: str) -> PieceCache:
-    """One tokenizer per worker and file; special tokens in a text are ordinary text."""
-    if (path, pattern) not in _ENCODERS:
+class Encoder:
+    """Ids of texts. With `added`, the tokenizer file's added tokens are found in a text, as the library does by default;
+    a text that holds one goes to the library whole. Without, its special tokens are ordinary text."""
+
+    def __init__(self, path: str, pattern: str, added: bool):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        _ENCODERS[path, pattern] = PieceCache(
-            pattern, lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        )
-    return _ENCODERS[path, pattern]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not added
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        contents = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.found = re.compile("|".join(map(re.escape, contents))).search if added and contents else None
+        self.pieces = PieceCache(pattern, self._library)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        whole = {i for i, t in enumerate(texts) if self.found(t)} if self.found else set()
+        if not whole:
+            return self.pieces.encode_many(texts)
+        rest = iter(self.pieces.encode_many([t for i, t in enumerate(texts) if i not in whole]))
+        return [np.array(self._library([t])[0], np.uint32) if i in whole else next(rest) for i, t in enumerate(texts)]
+
+
+_ENCODERS: dict[tuple[str, str, bool], Encoder] = {}
+
+
+def encoder(path: str, pattern: str, added: bool = False) -> Encoder:
+    """One tokenizer per worker, file and way to take added tokens."""
+    if (path, pattern, added) not in _ENCODERS:
+        _ENCODERS[path, pattern, added] = Encoder(path, pattern, added)
+    return _ENCODERS[path, pattern, added]
 
 
 def id_type(path: str, end_id: int) -> str:
@@ -97,12 +118,13 @@ class _Writer:
 
 
 def write_token_files(
-    docs: DataFrame, uri: str, path: str, pattern: str, end_id: int, parts: int, key: str = "doc_id", text: str = "text", length: int = SEQUENCE
+    docs: DataFrame, uri: str, path: str, pattern: str, end_id: int, parts: int, key: str = "doc_id", text: str = "text",
+    length: int = SEQUENCE, added: bool = False,
 ) -> list[tuple[str, int, int]]:
     """Write the files; returns (part name, documents, ids) of every part in order, one small row per file.
 
     Null text counts as empty: the document is its end id alone. Rows without an id come first. Rows that
-    repeat an id lie side by side in order of their text. An empty table gives no files.
+    repeat an id lie side by side in order of their text. An empty table gives no files. `added`: see `Encoder`.
     """
     source = (
         docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -116,7 +138,7 @@ def write_token_files(
         part = f"part-{TaskContext.get().partitionId():06d}"
         store, folder = fs.FileSystem.from_uri(uri)
         own = {end: f"{folder}/.{part}-{uuid.uuid4().hex}{end}" for end in (TOKENS, DOCS)}
-        encode, count, opened = encoder(path, pattern).encode_many, 0, None
+        encode, count, opened = encoder(path, pattern, added).encode_many, 0, None
         for batch in rows_of(batches, 64):
             if not batch.num_rows:
                 continue

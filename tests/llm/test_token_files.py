@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from geoseries.llm import token_files
+from geoseries.llm import suite, token_files
 from geoseries.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +49,13 @@ def test_sequences_are_views(spark, docs):
     parts = token_files.write_token_files(docs(CASES["long"]), uri, PATH, public_tokenizers.PATTERN, 2, parts=1, length=128)
     file = token_files.TokenFile(uri, parts[0][0])
     assert not file.sequence(100).flags.owndata and len(file.sequence(100)) == 128
+
+
+def test_query_encodes_as_the_unmodified_library(spark, tmp_path):
+    texts = [None, "a <|endoftext|> b", "it's\n <|endoftext|><|endoftext|>  x <|endoftext", "plain words", "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start, plain = 0, Tokenizer.from_file(PATH)
+    for r in sorted(suite.QUERIES["op2_token_files"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = np.array([*plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
