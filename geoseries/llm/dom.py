@@ -25,11 +25,12 @@ TEXT = "#text"
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "text", "shape", "size", "index", "parts")
+    __slots__ = ("tag", "names", "kids", "text", "shape", "size", "index", "parts", "links")
 
     def __init__(self, tag: str, names: str = ""):
         self.tag, self.names, self.kids, self.text, self.parts = tag, names, [], "", None
         self.shape, self.size, self.index = 0, 1, -1
+        self.links = 0  # characters inside links: of the open run, or of a leaf
 
     def close(self) -> None:
         """End the open run of inline text: white space becomes one blank, character references are decoded."""
@@ -37,9 +38,9 @@ class Node:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 leaf = Node(TEXT)
-                leaf.text = text
+                leaf.text, leaf.links = text, min(self.links, len(text))
                 self.kids.append(leaf)
-            self.parts = None
+            self.parts, self.links = None, 0
 
 
 def _names(attributes: str) -> str:
@@ -57,7 +58,7 @@ def parse(page: str) -> Node:
     """Tree of the page's block elements; each run of inline text is a leaf. Broken markup is closed where it must be."""
     root = Node("html")
     stack, at = [root], 0
-    lower = None
+    lower, link = None, 0  # link: how deep the stack was when a link was opened
     while True:
         m = TAG.search(page, at)
         top = stack[-1]
@@ -65,6 +66,8 @@ def parse(page: str) -> Node:
         if text:
             top.parts = top.parts or []
             top.parts.append(text)
+            link = link if len(stack) >= link else 0
+            top.links += len(text.strip()) if link else 0
         if m is None:
             break
         at = m.end()
@@ -79,6 +82,7 @@ def parse(page: str) -> Node:
             at = len(page) if end < 0 else end + (3 if m.group() == "<!--" else 1)
         elif m.group(1):
             if name == "br" or name in INLINE:
+                link = 0 if name == "a" else link
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
@@ -97,6 +101,7 @@ def parse(page: str) -> Node:
                 close = page.find(">", end) if end >= 0 else -1
                 at = close + 1 if close >= 0 else len(page)
         elif name in INLINE:
+            link = len(stack) if name == "a" else link
             continue
         elif name == "br":
             top.parts = top.parts or []
@@ -120,11 +125,11 @@ def parse(page: str) -> Node:
             stack.append(node)
     for node in stack:
         node.close()
-    _measure(root)
+    measure(root)
     return root
 
 
-def _measure(root: Node) -> None:
+def measure(root: Node) -> None:
     """Sizes and shapes bottom-up, indices in page order; without recursion, as pages may nest deeply."""
     order, rest = [], [root]
     while rest:
@@ -166,6 +171,11 @@ def _table(xs: list[Node], ys: list[Node], memo: dict, depth: int) -> list[list[
     return rows
 
 
+def matched(a: Node, b: Node) -> int:
+    """Number of nodes that `align` pairs."""
+    return _weight(a, b, {}, 0)
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Matched nodes of two trees by simple tree matching (equal tags, order and ancestry kept)."""
     memo: dict = {}

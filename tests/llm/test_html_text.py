@@ -77,3 +77,23 @@ def test_odd_rows(pages):
     assert texts[1, None] == texts[2, "no url"] == "" and texts[None, "http://h/"] == "x" and texts[3, "http://h/"] == "deep"
     assert texts[6, "HTTP://H/"] == ("word " * 200_000).strip()
     assert html_text.extract(pages([])).collect() == []
+
+
+def _words(name, i, n):
+    return " ".join(f"{name}{i}x{k}" for k in range(n))
+
+
+def test_node_statistics_choose_the_main_node(pages):
+    # no listed tag or class; link lists and notices differ from page to page, and two layouts order them differently
+    def page(i):
+        links = "<div class=q1><div>" + "".join(f"<a href=/{i}{k}>{_words('l', i * 9 + k, 2)}</a> " for k in range(5)) + "</div></div>"
+        story = f"<div class=q2><h1>{_words('t', i, 3)}</h1><div class=q3>{{}}<p>{_words('s', i, 4 if i % 5 == 0 else 90)}</p></div></div>"
+        inner = f"<div class=q4><a href=/r>{_words('r', i, 4)}</a></div>"
+        notice = f"<div class=q5><p>{_words('n', i, 20)}</p></div>"
+        parts = [links, notice, story.format(inner)] if i % 3 else ["<section>" + story.format(inner) + "</section>", links, notice]
+        return "<html><body>" + "".join(parts) + "</body></html>"
+
+    rows = [(i, f"http://plain.example/{i}", page(i)) for i in range(24)]
+    for r in html_text.extract(pages(rows)).collect():
+        i = r.page_id
+        assert r.text == f"{_words('t', i, 3)}\n\n{_words('s', i, 4 if i % 5 == 0 else 90)}"
