@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import pytest
@@ -97,3 +98,13 @@ def test_node_statistics_choose_the_main_node(pages):
     for r in html_text.extract(pages(rows)).collect():
         i = r.page_id
         assert r.text == f"{_words('t', i, 3)}\n\n{_words('s', i, 4 if i % 5 == 0 else 90)}"
+
+
+def test_template_does_not_hang_on_one_page(pages):
+    # the page with the smallest digest is an error page; the note is on 7 of 11 pages
+    note = "<p>Send letters to the editor.</p>"
+    bodies = [f"<div><div><p>Words of story {i}.</p>{note if i < 7 else ''}</div></div>" for i in range(10)]
+    least = min(hashlib.md5(b.encode()).hexdigest() for b in bodies)
+    bodies.append(next(b for b in (f"<p>Error {k}</p>" for k in range(10_000)) if hashlib.md5(b.encode()).hexdigest() < least))
+    got = {r.page_id: r.text for r in html_text.extract(pages([(i, "http://e.example/", b) for i, b in enumerate(bodies)])).collect()}
+    assert [got[i] for i in range(10)] == [f"Words of story {i}." for i in range(10)] and got[10].startswith("Error")
