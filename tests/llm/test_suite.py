@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in suite.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in suite.QUERIES}
     assert {*suite.QUERIES, "pipeline"} <= names and set(suite.ORACLE) <= set(suite.QUERIES)
 
 
