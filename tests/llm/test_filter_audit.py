@@ -84,10 +84,10 @@ def test_matrix_holds_every_word_once(docs):
     rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i))) for i in range(10)] + [(10, None), (11, "ü w1 W1")]
     matrix, words = term_matrix.term_matrix(docs(rows).repartition(2), most=(1 << 20, 3))
     of = {r.id: r.word for r in words.collect()}
-    assert sorted(of) == list(range(len(of))) and len(set(of.values())) == len(of)
+    assert len(set(of.values())) == len(of)
     found = {}
     for shard in matrix.collect():
-        starts, columns, counts = (np.frombuffer(shard[c], t) for c, t in (("starts", "<i8"), ("columns", "<i8"), ("counts", "<u4")))
+        starts, columns, counts = (term_matrix.unpack(shard[c], t) for c, t in (("starts", "<i4"), ("columns", "<i8"), ("counts", "<i4")))
         assert len(shard.kept) <= 3
         for k, row in enumerate(shard.kept):
             mine = columns[starts[k] : starts[k + 1]]
