@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, filter_audit, html_text, language, near_dedup, quality, token_files, toxicity, warc
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, filter_audit, html_text, language, near_dedup, neighbours, quality, token_files, toxicity, warc
 from geoseries.llm.common import learnable, small_batches, table
 from geoseries.session import scratch_path
 
@@ -132,6 +132,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+@query
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 @query
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
