@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import byte_bpe, decontamination, exact_dedup, filter_audit, html_text, language, near_dedup, neighbours, quality, token_files, toxicity, warc
+from geoseries.llm import byte_bpe, decontamination, exact_dedup, filter_audit, html_text, language, near_dedup, neighbours, quality, spelling, token_files, toxicity, warc
 from geoseries.llm.common import learnable, small_batches, table
 from geoseries.session import scratch_path
 
@@ -178,3 +178,8 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS
        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM r
 """
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
