@@ -1,7 +1,7 @@
 """Cached encoding of the pieces that a byte-level vocabulary's pattern cuts a text into.
 
 Merges never cross a piece, so a text's ids are those of its pieces in a row. Many texts are cut at once with array
-operations, pieces are told apart by 64-bit hashes, and only pieces a worker has not met before are encoded.
+operations, pieces are found again by 64-bit hashes and compared, and only pieces a worker has not met before are encoded.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ END, LETTER, NUMBER, BLANK, OTHER = range(5)
 #: Stands between two texts; no character has this number.
 BETWEEN = 0x110000
 FACTOR = 0xD6E8FEB86659FD93
+#: Pieces of more code points are not cached.
+LONGEST = 64
 
 
 def _kinds() -> np.ndarray:
@@ -89,7 +91,11 @@ def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 class PieceCache:
-    """Ids of texts by way of their pieces; `encode_pieces` gets new pieces and returns their id lists."""
+    """Ids of texts by way of their pieces; `encode_pieces` gets new pieces and returns their id lists.
+
+    A hash only says where to look: the code points of every piece are compared with those of the cached one, and pieces that
+    differ, like those of more than `LONGEST` code points, are encoded by themselves.
+    """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
         if pattern != public_tokenizers.PATTERN:
@@ -98,24 +104,50 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes
-        self.place = np.zeros(0, np.int64)  # of each hash: where its ids start in the pool
-        self.count = np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes; of each: where its ids start, their number, the same of its code points
+        self.place, self.count, self.spot, self.size = np.zeros((4, 0), np.int64)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.letters, self.n_letters = np.zeros(1 << 18, np.uint32), 0
+
+    def _encoded(self, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, their number for each piece); the mark between texts has none."""
+        marks = [s[0] == BETWEEN for s in spans]
+        found = iter(self.encode_pieces([s.tobytes().decode("utf-32-le", "surrogatepass") for s, m in zip(spans, marks) if not m]))
+        lists = [[] if m else next(found) for m in marks]
+        count = np.array([len(f) for f in lists], np.int64)
+        return np.fromiter((i for f in lists for i in f), np.uint32, int(count.sum())), count
+
+    @staticmethod
+    def _appended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(pool):
+            pool = np.concatenate([pool[:used], np.zeros(used + len(more), np.uint32)])
+        pool[used : used + len(more)] = more
+        return pool
+
+    def _learn(self, keys: np.ndarray, spans: list[np.ndarray]) -> None:
+        ids, count = self._encoded(spans)
+        size = np.array([len(s) for s in spans], np.int64)
+        place, spot = self.n_ids + np.cumsum(count) - count, self.n_letters + np.cumsum(size) - size
+        self.ids, self.n_ids = self._appended(self.ids, self.n_ids, ids), self.n_ids + len(ids)
+        self.letters, self.n_letters = self._appended(self.letters, self.n_letters, np.concatenate(spans)), self.n_letters + int(size.sum())
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.place, self.count, self.spot, self.size = (
+            np.insert(old, at, new) for old, new in ((self.place, place), (self.count, count), (self.spot, spot), (self.size, size))
+        )
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) > self.limit:  # bounded memory: start over
+    def _find(self, points: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the sorted keys, number of the piece) after learning what is new."""
+        mine, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, mine), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != mine) if len(self.keys) else np.arange(len(mine))
+        if len(self.keys) and len(self.keys) + len(new) > self.limit:  # bounded memory: start over
             self._clear()
-        found = self.encode_pieces(pieces)
-        count = np.array([len(f) for f in found], np.int32)
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(flat), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        place = self.used + np.cumsum(count, dtype=np.int64) - count
-        self.used += len(flat)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.place, self.count = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.place, place), (self.count, count)))
+            new = np.arange(len(mine))
+        if len(new):
+            self._learn(mine[new], [points[a : a + n] for a, n in zip(starts[one[new]], sizes[one[new]])])
+            at = np.searchsorted(self.keys, mine)
+        return at, which
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit) of each text."""
@@ -125,32 +157,25 @@ class PieceCache:
         mark = np.array([BETWEEN], np.uint32)
         points = np.concatenate([p for t in joined for p in (t, mark)])
         starts = cut(points)
-        ends = np.append(starts[1:], len(points))
-        keys = hashes(points, starts, ends)
-        mine, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, mine), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != mine) if len(self.keys) else np.arange(len(mine))
-        if len(self.keys) + len(new) > self.limit and len(new) < len(mine):
-            self._clear()
-            new = np.arange(len(mine))
-        if len(new):
-            spans = [points[a:b] for a, b in zip(starts[one[new]], ends[one[new]])]
-            marks = np.array([s[0] == BETWEEN for s in spans])
-            pieces = [s.tobytes().decode("utf-32-le", "surrogatepass") for s, m in zip(spans, marks) if not m]
-            self._learn(mine[new[~marks]], pieces)
-            if marks.any():
-                self._learn_mark(mine[new[marks]])
-            at = np.searchsorted(self.keys, mine)
-        place, count = self.place[at], self.count[at]
-        sizes = count[which].astype(np.int64)
-        total = np.cumsum(sizes)
-        ids = self.pool[np.repeat(place[which] - (total - sizes), sizes) + np.arange(total[-1])]
+        sizes = np.diff(starts, append=len(points))
+        short = np.flatnonzero(sizes <= LONGEST)
+        at, which = self._find(points, hashes(points, starts[short], starts[short] + sizes[short]), starts[short], sizes[short])
+        place, count, spot = np.zeros((3, len(starts)), np.int64)
+        place[short], count[short], spot[short] = self.place[at][which], self.count[at][which], self.spot[at][which]
+
+        same = self.letters.take(np.repeat(spot - starts, sizes) + np.arange(len(points)), mode="clip") == points
+        known = np.logical_and.reduceat(same, starts)
+        known[short] &= self.size[at][which] == sizes[short]
+        known[sizes > LONGEST] = False
+        pool, odd = self.ids, np.flatnonzero(~known)
+        if len(odd):
+            ids, count[odd] = self._encoded([points[a : a + n] for a, n in zip(starts[odd], sizes[odd])])
+            place[odd] = self.n_ids + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate([pool[: self.n_ids], ids])
+        total = np.cumsum(count)
+        ids = pool[np.repeat(place - (total - count), count) + np.arange(total[-1])]
         bounds = total[np.flatnonzero(points[starts] == BETWEEN)]
         return np.split(ids, bounds[:-1])
 
-    def _learn_mark(self, key: np.ndarray) -> None:
-        at = np.searchsorted(self.keys, key)
-        self.keys, self.place, self.count = np.insert(self.keys, at, key), np.insert(self.place, at, 0), np.insert(self.count, at, 0)
-
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]

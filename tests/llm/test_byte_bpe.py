@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from geoseries.llm import byte_bpe
+from tests.llm.test_pretokens import twins
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -33,6 +34,14 @@ def test_any_text(text):
     assert CODEC.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_words_of_one_hash(length):
+    for texts in (twins(length), twins(length)[::-1]):
+        own = byte_bpe.Codec(PATH, PATTERN)
+        for text, ids in zip(texts, own.cache.encode_many(list(texts))):
+            assert ids.tolist() == PLAIN.encode_ordinary(text) and own.decode(ids.tolist()) == text.encode()
+
+
 def test_cache_starts_over():
     small = byte_bpe.Codec(PATH, PATTERN)
     small.cache.limit = 2

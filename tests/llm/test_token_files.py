@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from geoseries.llm import suite, token_files
 from geoseries.session import scratch_path
+from tests.llm.test_pretokens import twins
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
@@ -15,6 +16,7 @@ CASES = {
     "mixed": [(7, "b c"), (3, None), (5, ""), (3, "twice"), (3, "twice"), (None, "no id"), (9, "it's <|endoftext|> é 日本 \x1c x")],
     "long": [(1, "word and more " * 60_000), (2, "short"), (3, "x" * 5000)],
     "many": [(i * 7 % 501, f"text number {i} " * (i % 9)) for i in range(501)],
+    "words of one hash": [(k, w) for n in (1024, 2048, 4096) for k, w in enumerate([*twins(n), *twins(n)[::-1]], n)],
     "empty": [],
 }
 
