@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoseries.session import scratch_path
@@ -41,3 +44,15 @@ def rows_of(batches, wanted: int = 256):
 def learnable(key: str, folds: int, held: int):
     """True where crc32 of the id as text, modulo `folds`, is not the held-out remainder (null ids are held out)."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % folds != held, F.lit(False))
+
+
+def with_place(df: DataFrame) -> tuple[DataFrame, Column]:
+    """The table with one more column, and that column: it tells rows apart, the same each time the table is read.
+
+    Rows of files have their file and place in it; any other table is written once with a number for each row.
+    """
+    name = f"row_{uuid.uuid4().hex}"
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))), F.col(name)
+    except AnalysisException:  # no scan of files
+        return staged(df.withColumn(name, F.monotonically_increasing_id()), "rows"), F.col(name)

@@ -2,7 +2,7 @@
 
 Every document becomes the set of its word shingles and a SetSketch of it: register i holds the exponentially spaced,
 truncated minimum floor(1 - log_b(min x)) of exponential hash values x. Registers of a union are the maxima of the parts',
-and equal registers tell similar sets, so bands of six registers are bucket keys. Documents with the same set form one
+and equal registers tell similar sets, so bands of registers are bucket keys. Documents with the same set form one
 class; only classes go on. Pairs of classes that share a bucket are screened by the maximum-likelihood estimate of their
 similarity from the registers, and what passes is confirmed on the full sets.
 
@@ -14,19 +14,24 @@ between components is left out. Components come from contracting the links until
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoseries.llm.common import rows_of, staged, text_or_empty
+from geoseries.llm.common import rows_of, staged, text_or_empty, with_place
 
-BANDS, ROWS = 30, 6
-REGISTERS = BANDS * ROWS
+#: Registers of a sketch; fewer are too few for the estimate, more cost time. Bands take as many of them as `banding` says.
+REGISTERS = 180
+#: Probability that a link of exactly the threshold shares no band.
+MISS = 1e-6
 #: SetSketch parameters: base, rate, and the largest register value.
 BASE, RATE, LIMIT = 1.02, 20.0, 4095
-#: Pairs go to the full sets unless their estimate is this many standard errors below the threshold.
+#: Pairs go to the full sets unless their estimate is this many standard errors below the threshold: that loses a link of exactly
+#: the threshold with a probability of 2e-8.
 MARGIN = 5.5
 #: Further comparisons with one class of each bucket before all that are left are compared.
 TURNS = 2
@@ -35,32 +40,27 @@ SMALL, BLOCK = 16, 256
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_random = np.random.Generator(np.random.PCG64(20240501))
-FACTORS = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SPLIT = np.zeros(256, bool)
-SPLIT[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64, as many as were asked for so far."""
 
-    def __init__(self, base: np.uint64):
-        self.base, self.held = base, np.ones(1, np.uint64)
 
-    def first(self, count: int) -> np.ndarray:
-        if len(self.held) < count:
-            factors = np.full(max(count, 1 << 20), self.base)
-            factors[0] = 1
-            self.held = np.cumprod(factors, dtype=np.uint64)
-        return self.held[:count]
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): as many registers in a band as leave the probability `MISS` with `REGISTERS` in all; one register, and
+    more bands, where no number does."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is 1 to 100")
+    found = []
+    for rows in range(REGISTERS, 0, -1):
+        equal = (percent / 100) ** rows
+        bands = 1 if equal == 1 else int(np.ceil(np.log(MISS) / np.log1p(-equal))) if equal > 1e-12 else REGISTERS + 1
+        found.append((bands, rows))
+    return next(((bands, rows) for bands, rows in found if bands * rows <= REGISTERS), found[-1])
 
 
-_UP, _DOWN = _Powers(PRIME), _Powers(INVERSE)
+@cache
+def _sketch_hashes(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and even offsets of `count` registers."""
+    factors, offsets = (np.random.Generator(np.random.PCG64(20240501 + k)).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) for k in (0, 1))
+    return factors + np.uint64(1), offsets
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -71,15 +71,12 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of a text (A-Z lowered, cut at ASCII white space)."""
-    raw = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    inside = np.concatenate([[False], ~SPLIT[raw], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _UP.first(len(raw)), dtype=np.uint64)])
-    return _mixed((sums[ends] - sums[starts]) * _DOWN.first(len(raw))[starts] + (ends - starts).astype(np.uint64))
+    """xxh3 hashes (64 bits) of the words of a text (A-Z lowered, cut at ASCII white space).
+
+    Two given words share one with a probability of 2**-64; some pair of a million distinct words with 3e-8.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes, both know ASCII only
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -94,11 +91,12 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(total)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
+def sketch(found: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Registers of a set of hashes."""
-    most = np.zeros(REGISTERS, np.uint64)
+    factors, offsets = _sketch_hashes(registers)
+    most = np.zeros(registers, np.uint64)
     for start in range(0, len(found), 1024):
-        np.maximum(most, (np.multiply.outer(found[start : start + 1024], FACTORS) + OFFSETS).max(0), out=most)
+        np.maximum(most, (np.multiply.outer(found[start : start + 1024], factors) + offsets).max(0), out=most)
     # 1 - most / 2**64 is the smallest of the uniform values; its exponential is the smallest too.
     smallest = -np.log1p(-(((~most).astype(np.float64) + 0.5) / 2.0**64)) / RATE
     return np.clip(np.floor(1 - np.log(smallest) / np.log(BASE)), 0, LIMIT).astype("<u2")
@@ -112,7 +110,7 @@ def _tail(x):
 def estimate(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of pairs (one per row) from how many registers are larger, smaller and equal."""
     more, less = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
-    same = REGISTERS - more - less
+    same = a.shape[1] - more - less
     u = (sizes_a / (sizes_a + sizes_b))[:, None]
     v = 1 - u
     grid = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)
@@ -122,22 +120,23 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndar
     return np.take_along_axis(grid, likelihood.argmax(1)[:, None], 1)[:, 0]
 
 
-def sketch_table(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """`id`, `n`, `node` (128-bit hash of the set; null for an empty set), `registers`."""
+def sketch_table(docs: DataFrame, size: int, key: str, text: str, registers: int = REGISTERS, row: Column | None = None) -> DataFrame:
+    """`id`, `row` (as given), `n`, `node` (128-bit hash of the set; null for an empty set), `registers`."""
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), (F.lit(None).cast("long") if row is None else row).alias("row"), text_or_empty(text).alias("text"))
 
     def run(batches):
         for batch in rows_of(batches):
-            n, node, registers = [], [], []
+            n, node, sketches = [], [], []
             for t in batch.column("text").to_pylist():
                 found = shingles(t, size)
                 n.append(len(found))
                 node.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                registers.append(sketch(found).tobytes() if len(found) else None)
-            columns = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(registers, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n", "node", "registers"])
+                sketches.append(sketch(found, registers).tobytes() if len(found) else None)
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *columns], ["id", "row", "n", "node", "registers"])
 
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_or_empty(text).alias("text"))
-    return source.mapInArrow(run, "id long, n long, node binary, registers binary")
+    kind = source.schema["row"].dataType.simpleString()
+    return source.mapInArrow(run, f"id long, row {kind}, n long, node binary, registers binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
@@ -158,18 +157,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) ->
     return held.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _screened(pairs: DataFrame, classes: DataFrame, percent: int, registers: int) -> DataFrame:
     """Pairs (a, b) of classes whose sizes and estimate allow the similarity."""
     side = classes.select("node", "n", "registers")
     sized = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
     sized = sized.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, registers) for c in ("r_a", "r_b"))
             sizes = [batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
             keep = pa.array(np.concatenate([estimate(a[i : i + 1024], b[i : i + 1024], sizes[0][i : i + 1024], sizes[1][i : i + 1024]) >= least for i in range(0, len(a), 1024)]))
             yield batch.select(["a", "b"]).filter(keep)
@@ -288,27 +287,24 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: `doc_id`, `n_shingles`, `component_id` (smallest id of its component), `kept`.
-
-    Documents are linked when 100 * |A n B| >= percent * |A u B| for their sets of `size`-word shingles. Documents without
-    words (null or empty text) are linked with nothing. Null ids rank behind all others, so a component's id is null only if
-    all its ids are. `kept` marks the rows that bear their component's id; rows repeated with that id are all marked.
-    """
-    sketches = staged(sketch_table(docs, size, key, text), "sketches")
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, row: Column | None = None) -> DataFrame:
+    """`id`, `row`, `n`, `node` (null without words), `root` (one node of the component), `component_id`."""
+    bands, rows = banding(percent)
+    registers = max(REGISTERS, bands * rows)
+    sketches = staged(sketch_table(docs, size, key, text, registers, row), "sketches")
     filled = sketches.filter("node IS NOT NULL")
     # One row per distinct set, pre-aggregated in each task; a struct of (is null, id) puts null ids last.
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "registers"))
     classes = staged(filled.groupBy("node").agg(best.alias("best")).select("node", "best.id", "best.n", "best.registers"), "classes")
 
-    bands = [F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)]
-    entries = classes.select("node", F.explode(F.array(*bands)).alias("bucket"))
+    keys = [F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * rows * k, 2 * rows)) for k in range(bands)]
+    entries = classes.select("node", F.explode(F.array(*keys)).alias("bucket"))
     shared = staged(entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "buckets")
     members = staged(entries.join(shared, "bucket"), "members")  # bucket, node, pivot
     sets = staged(_sets(docs, members.select("node").distinct().join(classes.select("node", "id"), "node"), size, key, text), "sets")
 
     def links_of(pairs, name):
-        return staged(_confirmed(_screened(pairs, classes, percent), sets, percent), name)
+        return staged(_confirmed(_screened(pairs, classes, percent, registers), sets, percent), name)
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -339,19 +335,36 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     order = F.struct(F.col("id").isNull().alias("no_id"), "id")
     lowest = labels.join(classes, "node").groupBy("root").agg(F.min(order).alias("low"))
-    joined = labels.join(lowest, "root").select("node", F.col("low.id").alias("component_id"), F.lit(True).alias("linked"))
-    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    of_node = staged(classes.join(joined, "node", "left").select("node", component), "components")
-    out = sketches.select("id", "n", "node").join(of_node, "node", "left")
+    joined = labels.join(lowest, "root").select("node", "root", F.col("low.id").alias("component_id"))
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    of_node = staged(classes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), component), "components")
+    out = sketches.select("id", "row", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
-    )
+    return out.select("id", "row", "n", "node", "root", component.alias("component_id"))
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Per document: `doc_id`, `n_shingles`, `component_id` (smallest id of its component), `kept`.
+
+    Documents are linked when 100 * |A n B| >= percent * |A u B| for their sets of `size`-word shingles. Documents without
+    words (null or empty text) are linked with nothing. Null ids rank behind all others, so a component's id is null only if
+    all its ids are. `kept` marks the rows that bear their component's id; rows repeated with that id are all marked.
+    """
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _grouped(docs, key, text, size, percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs`, all columns, without those that `near_groups` does not keep (told by their id)."""
-    gone = staged(near_groups(docs, key, text, size, percent).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    """One row of each group of `near_groups`, all columns, and every row without words.
+
+    Rows are told by their place in the table, so ids may repeat or be null. Of a group the row with the smallest id stays (null
+    ids behind all others), of several with that id the first in the table.
+    """
+    rows, place = with_place(docs)
+    grouped = staged(_grouped(rows, key, text, size, percent, place).filter("root IS NOT NULL").select("root", "id", "row"), "grouped")
+    order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    stays = grouped.groupBy("root").agg(order, F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", F.col("best.row").alias("stay"))
+    gone = staged(grouped.join(stays, "root").filter("row <> stay").select(F.col("row").alias("gone")), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[f"`{key}`"].cast("long") == gone["gone"], "left_anti")
+    return rows.join(gone, place == gone["gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
