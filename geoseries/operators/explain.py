@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoseries.operators.metrics import r2, top_feature
+from geoseries.operators.permutation import permuted, repeat_key
 from geoseries.operators.quantiles import exact_percentiles
-from geoseries.operators.ranking import chunked_rank, hash_chunk, hash_rank, row_hash
+from geoseries.operators.ranking import hash_rank
 from geoseries.session import stable
 
 
@@ -147,18 +148,17 @@ def with_donors(
 ) -> DataFrame:
     """Each row beside the row a seeded permutation puts in its place, once per repeat.
 
-    Both orders are exact ranks of key hashes built per hash prefix, so one large group is
-    spread over many tasks and every row is used exactly once per repeat.
+    The rows of each group are ranked once, by key hashes over balanced chunks. Each repeat then is a one-to-one mapping of
+    these positions computed by arithmetic, so only positions and features move, and every row is used exactly once per repeat.
     """
     by = list(by)
     ties = [f for f in features if f not in keys]
-    placed = hash_rank(df, by, f"{seed}:base", keys, "_pos", ties=ties)
+    placed = stable(hash_rank(df, by, f"{seed}:base", keys, "_pos", "_n", ties=ties))
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    source = df.select(*dict.fromkeys([*by, *keys, *features])).withColumn("repeat", repeat)
-    hashed = source.withColumn("_h", row_hash(seed, F.col("repeat"), *keys))
-    shuffled = chunked_rank(hashed, [*by, "repeat"], ["_h", *ties], hash_chunk(F.col("_h")), "_pos")
-    donors = shuffled.select(*by, "repeat", "_pos", *[F.col(f).alias(f"donor_{f}") for f in features])
-    return placed.withColumn("repeat", repeat).join(donors, [*by, "repeat", "_pos"]).drop("_pos")
+    source = placed.select(*by, (F.col("_pos") - 1).alias("_from"), "_n", *[F.col(f).alias(f"donor_{f}") for f in features], repeat.alias("repeat"))
+    sent = permuted(source, "_from", "_n", repeat_key(seed, F.col("repeat")), "_pos").drop("_from", "_n")
+    rows = placed.drop("_n").withColumn("_pos", F.coalesce(F.col("_pos") - 1, F.lit(-2)))
+    return rows.join(sent, [*by, "_pos"]).drop("_pos")
 
 
 def _each_feature(df: DataFrame, features: Sequence[str]) -> DataFrame:

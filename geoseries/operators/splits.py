@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoseries.operators.ranking import chunked_rank, hash_chunk, hash_rank, row_hash, time_chunk
+from geoseries.operators.ranking import CHUNK_ROWS, chunked_rank, hash_rank, row_hash
 
 
 def temporal_split(
-    df: DataFrame, station: str, time: str, ties: Sequence[str] = (), test: float = 0.2, chunk_days: int = 1
+    df: DataFrame, station: str, time: str, ties: Sequence[str] = (), test: float = 0.2, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """First int(n * (1 - test)) rows of each station in time order are `train`."""
-    ranked = chunked_rank(df, [station], [time, *ties], time_chunk(F.col(time), chunk_days), "_rn", "_n")
+    ranked = chunked_rank(df, [station], [time, *ties], None, "_rn", "_n", rows)
     cut = F.floor(F.col("_n") * F.lit(1 - test))
     return ranked.withColumn("status", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_rn", "_n")
 
@@ -26,9 +26,9 @@ def temporal_split3(
     ties: Sequence[str] = (),
     test: float = 0.2,
     val: float = 0.1,
-    chunk_days: int = 1,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    ranked = chunked_rank(df, [station], [time, *ties], time_chunk(F.col(time), chunk_days), "_rn", "_n")
+    ranked = chunked_rank(df, [station], [time, *ties], None, "_rn", "_n", rows)
     first = F.floor(F.col("_n") * F.lit(1 - (test + val)))
     second = first + F.floor(F.col("_n") * F.lit(val))
     status = F.when(F.col("_rn") <= first, "train").when(F.col("_rn") <= second, "val").otherwise("test")
@@ -41,7 +41,7 @@ def hash_threshold(stations: DataFrame, station: str, seed: object, share: float
     A scalar subquery: rows are then split by comparing their own hash, with no join.
     """
     hashed = stations.select(station).distinct().select(row_hash(seed, station).alias("_h"))
-    ranked = chunked_rank(hashed, [], ["_h"], hash_chunk(F.col("_h")), "_rn", "_n")
+    ranked = chunked_rank(hashed, [], ["_h"], None, "_rn", "_n")
     return ranked.where(F.col("_rn") == F.ceil(F.col("_n") * F.lit(share))).agg(F.max("_h")).scalar()
 
 
@@ -85,15 +85,14 @@ def spatial_split_by_source(
     return keyed.withColumn("status", F.when(held, "test").otherwise("train")).drop("_station")
 
 
-def station_index(df: DataFrame, station: str, chunk: int = 4096, name: str = "station_idx") -> DataFrame:
-    """0-based numbers, training stations first; `station` is an integer key.
+def station_index(df: DataFrame, station: str, name: str = "station_idx", rows: int = CHUNK_ROWS) -> DataFrame:
+    """0-based numbers, training stations first, in the order of their keys.
 
     A station present in both parts gets one number per part.
     """
     train_first = F.when(F.col("status") == "train", 0).otherwise(1)
     pairs = df.select("status", station).distinct().withColumn("_part", train_first)
-    place = F.struct("_part", F.floor(F.col(station) / F.lit(chunk)).alias("_c"))
-    numbered = chunked_rank(pairs, [], ["_part", station], place, name).drop("_part")
+    numbered = chunked_rank(pairs, [], ["_part", station], None, name, rows=rows).drop("_part")
     return df.join(numbered.withColumn(name, F.col(name) - 1), ["status", station])
 
 

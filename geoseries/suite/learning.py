@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoseries.operators import explain, models, splits
+from geoseries.operators import explain, models, permutation, splits
 from geoseries.plans.training import train_and_score
 from geoseries.session import scratch_path
 from geoseries.suite import bindings as b
@@ -293,11 +293,26 @@ TIES = ", ".join(FEATURES)
 
 
 def _donors(seed: int, repeats: int, by: str = "") -> str:
-    group = f"{by}, " if by else ""
+    """`bs`: rows with their position in the seeded order; `dn`: the position each is sent to in each repeat."""
     part = f"PARTITION BY {by} " if by else ""
+    window = f"OVER ({part}ORDER BY md5(concat_ws(':', '{seed}:base', id)), {TIES})"
+
+    def mixed(x, factor, key):
+        y = f"(({x}) * {factor} + {key}) % {permutation.PRIME}"
+        return f"((({y}) * ({y})) % {permutation.PRIME})"
+
+    rows = f"""SELECT *, CAST(floor(sqrt(n)) AS BIGINT) AS ga, n // CAST(floor(sqrt(n)) AS BIGINT) AS gb, pos - 1 AS gx,
+        ({permutation.seed_number(seed)} + r * 1000003) % {permutation.PRIME} AS gk FROM bs, rp"""
+    for turn, rounds in zip(permutation.TURNS, permutation.ROUNDS):
+        rows = f"SELECT * REPLACE ((gx + {mixed('gk', turn, turn)}) % n AS gx) FROM ({rows})"
+        rows = f"SELECT *, gx // gb AS gu, gx % gb AS gv FROM ({rows})"
+        for i, factor in enumerate(rounds):
+            moved, other, size = ("gv", "gu", "gb") if i % 2 == 0 else ("gu", "gv", "ga")
+            rows = f"SELECT * REPLACE (({moved} + {mixed(other, factor, 'gk')}) % {size} AS {moved}) FROM ({rows})"
+        rows = f"SELECT * EXCLUDE (gu, gv) REPLACE (CASE WHEN gx < ga * gb THEN gu * gb + gv ELSE gx END AS gx) FROM ({rows})"
     return f""", rp AS (SELECT unnest(range({repeats})) AS r),
-    bs AS (SELECT *, {b.LINEAR_SQL} AS p, row_number() OVER ({part}ORDER BY md5(concat_ws(':', '{seed}:base', id)), {TIES}) AS pos FROM features),
-    dn AS (SELECT r, features.*, row_number() OVER (PARTITION BY {group}r ORDER BY md5(concat_ws(':', '{seed}', r, id)), {TIES}) AS pos FROM features, rp)"""
+    bs AS (SELECT *, {b.LINEAR_SQL} AS p, row_number() {window} AS pos, count(*) OVER ({part}) AS n FROM features),
+    dn AS (SELECT * REPLACE (gx + 1 AS pos) FROM ({rows}))"""
 
 
 def _delta(alias: str = "d") -> str:

@@ -9,8 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from geoseries.operators import quantiles
+from geoseries.operators.permutation import permuted, repeat_key
 from geoseries.operators.quantiles import exact_percentiles
-from geoseries.operators.ranking import chunked_rank, hash_rank
+from geoseries.operators.ranking import chunked_rank, hash_rank, with_balanced_chunks
 from geoseries.operators.splits import hash_threshold, spatial_split, spatial_split3, spatial_split_by_source, station_index, stratified_folds
 
 
@@ -45,12 +47,13 @@ def test_hash_rank_order(skewed):
     assert [got[i] for i in order] == list(range(1, 3001))
 
 
-@pytest.mark.parametrize("alpha", [1.0, 0.4])
-def test_percentiles_match_numpy(skewed, alpha):
+@pytest.mark.parametrize("alpha,accuracy", [(1.0, 1000), (0.4, 1000), (1.0, 20), (0.4, 7)])
+def test_percentiles_match_numpy(skewed, alpha, accuracy):
+    """Groups sorted whole, and groups of which only what lies in brackets is sorted."""
     local, df = skewed
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
     method = {1.0: "linear", 0.4: None}[alpha]
-    got = {r.k: r.percentiles for r in exact_percentiles(df, ["k"], "x", probs, chunks=8, alpha=alpha).collect()}
+    got = {r.k: r.percentiles for r in exact_percentiles(df, ["k"], "x", probs, alpha=alpha, accuracy=accuracy).collect()}
     for key, part in local.groupby("k"):
         x = np.sort(part.x.to_numpy())
         if method:
@@ -59,10 +62,72 @@ def test_percentiles_match_numpy(skewed, alpha):
             place = [min(max(len(x) * p + 0.4 + 0.2 * p - 1, 0), len(x) - 1) for p in probs]
             want = [x[math.floor(q)] + (x[math.ceil(q)] - x[math.floor(q)]) * (q - math.floor(q)) for q in place]
         assert got[key] == pytest.approx(list(want))
-    whole = exact_percentiles(df, [], "x", [0.5]).first()[0]
+    whole = exact_percentiles(df, [], "x", [0.5], accuracy=accuracy).first()[0]
     assert whole == pytest.approx([np.median(local.x)])
 
 
+def test_only_bracketed_values_are_shuffled(spark):
+    df = spark.range(200_000).select(F.hash("id").cast("double").alias("_v"), F.lit("a").alias("k"))
+    placed = quantiles._bracketed(df, ["k"], [0.25, 0.5], 0.003, 1000)
+    assert placed.count() < 0.02 * 200_000 and placed.agg(F.sum("_c")).first()[0] == 200_000
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_missed_brackets_are_widened(skewed, monkeypatch):
+    """A sketch that is far off costs another pass, not the answer."""
+    local, df = skewed
+    tried, real = [], quantiles._bracketed
+
+    def off(values, by, probs, spread, accuracy):
+        tried.append(spread)
+        return real(values, by, [min(p + 0.2, 1.0) for p in probs], spread, accuracy)
+
+    monkeypatch.setattr(quantiles, "_bracketed", off)
+    got = exact_percentiles(df, [], "x", [0.25, 0.5], accuracy=50).first()[0]
+    assert got == pytest.approx(list(np.percentile(local.x, [25, 50]))) and len(tried) > 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 17, 100, 120, 121, 2503])
+def test_positions_are_mapped_one_to_one(spark, n):
+    df = spark.range(n).withColumn("n", F.lit(n)).withColumn("r", F.explode(F.array(*map(F.lit, range(4)))))
+    got = permuted(df, "id", "n", repeat_key(5, F.col("r")), "to").toPandas()
+    for _, part in got.groupby("r"):
+        assert sorted(part.to) == list(range(n))
+    if n > 100:
+        same = [(a.to.to_numpy() == b.to.to_numpy()).mean() for _, a in got.groupby("r") for _, b in got.groupby("r") if a is not b]
+        assert max(same[1:4]) < 0.2 and (got.id == got.to).mean() < 0.05
+        ends = got[got.id < n / 10].to  # neighbours are sent everywhere
+        assert 0.35 * n < ends.mean() < 0.65 * n
+
+
+def test_one_busy_day_is_cut_by_ties(spark):
+    """A station with all rows on one day: chunks of bounded size, ranks as of one sort, more than one task."""
+    df = spark.range(4000).select(F.lit("hot").alias("s"), F.lit("2024-01-01").cast("date").alias("day"), F.xxhash64("id").alias("tie"))
+    chunks = with_balanced_chunks(df, ["s"], ["day", "tie"], 160).groupBy("_chunk").count().collect()
+    assert len(chunks) > 12 and max(r["count"] for r in chunks) < 5 * 160 and sum(r["count"] for r in chunks) == 4000
+    got = chunked_rank(df, ["s"], ["day", "tie"], None, "rn", "n", rows=160)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    pairs = sorted((r.tie, r.rn) for r in got.collect())
+    assert [rn for _, rn in pairs] == list(range(1, 4001)) and {r.n for r in got.select("n").distinct().collect()} == {4000}
+
+
+def test_small_groups_are_one_chunk(skewed):
+    assert with_balanced_chunks(skewed[1], ["k"], ["x", "id"]).select("_chunk").distinct().collect() == [(0,)]
+    whole = with_balanced_chunks(skewed[1], [], ["x", "id"], 200).groupBy("_chunk").agg(F.min("x").alias("a"), F.max("x").alias("z")).sort("_chunk").collect()
+    assert len(whole) > 5 and all(p.z <= q.a for p, q in zip(whole, whole[1:]))
+
+
+@pytest.mark.parametrize("rows", [7, 100, 100_000])
+def test_balanced_ranks_equal_row_number(skewed, rows):
+    local, df = skewed
+    got = chunked_rank(df, ["k"], ["x", "id"], None, "rn", "n", rows).toPandas()
+    want = local.sort_values(["k", "x", "id"]).assign(rn=lambda d: d.groupby("k").cumcount() + 1)
+    assert (got.merge(want, on="id", suffixes=("", "_w")).eval("rn == rn_w")).all() and len(got) == 3000
+
+
 def test_percentiles_skip_nulls_and_single_values(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 7.0), ("b", 7.0), ("c", None)], "k string, x double")
     got = {r.k: list(r.percentiles) for r in exact_percentiles(df, ["k"], "x", [0.25, 0.5]).collect()}
