@@ -18,8 +18,6 @@ END, LETTER, NUMBER, BLANK, OTHER = range(5)
 #: Stands between two texts; no character has this number.
 BETWEEN = 0x110000
 FACTOR = 0xD6E8FEB86659FD93
-#: Pieces of more code points are not cached.
-LONGEST = 64
 
 
 def _kinds() -> np.ndarray:
@@ -66,35 +64,46 @@ def cut(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64, as many as were asked for so far."""
+#: Code points of a piece that are compared as two 64-bit words, and those above which a piece is not cached at all.
+PACKED, LONGEST = 16, 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def __init__(self, base: int):
-        self.base, self.held = np.uint64(base), np.ones(1, np.uint64)
 
-    def first(self, count: int) -> np.ndarray:
-        if len(self.held) < count:
-            factors = np.full(max(count, 1 << 20), self.base)
-            factors[0] = 1
-            self.held = np.cumprod(factors, dtype=np.uint64)
-        return self.held[:count]
+def packed(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 code points of pieces, all below 256, as two numbers of a byte each."""
+    low = np.zeros(len(points) + PACKED + 8, np.uint8)
+    low[: len(points)] = points  # larger ones belong to no piece that is asked for
+    two = low[:-1] | (low[1:].astype(np.uint16) << 8)
+    four = two[:-2] | (two[2:].astype(np.uint32) << 16)
+    eight = four[:-4] | (four[4:].astype(np.uint64) << np.uint64(32))
+    return eight[starts] & MASKS[np.minimum(sizes, 8)], eight[starts + 8] & MASKS[np.clip(sizes - 8, 0, 8)]
 
 
-_UP, _DOWN = _Powers(FACTOR), _Powers(pow(FACTOR, -1, 1 << 64))
+def hashes(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where to look for pieces, from their code points and length."""
+    mixed = (first * np.uint64(FACTOR)) ^ ((second + sizes.astype(np.uint64)) * np.uint64(0xA24BAED4963EE407))
+    return mixed ^ (mixed >> np.uint64(29))
 
 
-def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the stretches [start, end)."""
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(0x1F3)) * _UP.first(len(points)), out=sums[1:])
-    return (sums[ends] - sums[starts]) * _DOWN.first(len(points))[starts] + (ends - starts).astype(np.uint64)
+class _Column:
+    """A growing array of whole numbers."""
+
+    def __init__(self, kind, size: int = 1 << 12):
+        self.held, self.used = np.zeros(size, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.used], np.zeros(self.used + len(values), self.held.dtype)])
+        self.held[self.used : self.used + len(values)] = values
+        self.used += len(values)
 
 
 class PieceCache:
     """Ids of texts by way of their pieces; `encode_pieces` gets new pieces and returns their id lists.
 
-    A hash only says where to look: the code points of every piece are compared with those of the cached one, and pieces that
-    differ, like those of more than `LONGEST` code points, are encoded by themselves.
+    A hash only says where to look. Pieces of up to `PACKED` code points below 256 are compared, code point by code point, with
+    the cached ones as two numbers; one that differs is encoded by itself. Others up to `LONGEST` are looked up by their
+    code points, longer ones are never cached.
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
@@ -104,40 +113,26 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes; of each: where its ids start, their number, the same of its code points
-        self.place, self.count, self.spot, self.size = np.zeros((4, 0), np.int64)
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
-        self.letters, self.n_letters = np.zeros(1 << 18, np.uint32), 0
-
-    def _encoded(self, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, their number for each piece); the mark between texts has none."""
-        marks = [s[0] == BETWEEN for s in spans]
-        found = iter(self.encode_pieces([s.tobytes().decode("utf-32-le", "surrogatepass") for s, m in zip(spans, marks) if not m]))
-        lists = [[] if m else next(found) for m in marks]
-        count = np.array([len(f) for f in lists], np.int64)
-        return np.fromiter((i for f in lists for i in f), np.uint32, int(count.sum())), count
-
-    @staticmethod
-    def _appended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
-        if used + len(more) > len(pool):
-            pool = np.concatenate([pool[:used], np.zeros(used + len(more), np.uint32)])
-        pool[used : used + len(more)] = more
-        return pool
-
-    def _learn(self, keys: np.ndarray, spans: list[np.ndarray]) -> None:
-        ids, count = self._encoded(spans)
-        size = np.array([len(s) for s in spans], np.int64)
-        place, spot = self.n_ids + np.cumsum(count) - count, self.n_letters + np.cumsum(size) - size
-        self.ids, self.n_ids = self._appended(self.ids, self.n_ids, ids), self.n_ids + len(ids)
-        self.letters, self.n_letters = self._appended(self.letters, self.n_letters, np.concatenate(spans)), self.n_letters + int(size.sum())
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where their piece stands
+        self.place, self.count, self.size = (_Column(np.int64) for _ in range(3))
+        self.first, self.second = (_Column(np.uint64) for _ in range(2))
+        self.ids = _Column(np.uint32, 1 << 16)
+        self.others: dict[bytes, list[int]] = {}
+
+    def _learn(self, keys: np.ndarray, first: np.ndarray, second: np.ndarray, pieces: list[str]) -> None:
+        found = self.encode_pieces(pieces)
+        count = np.array([len(f) for f in found], np.int64)
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.place, self.count, self.spot, self.size = (
-            np.insert(old, at, new) for old, new in ((self.place, place), (self.count, count), (self.spot, spot), (self.size, size))
-        )
-
-    def _find(self, points: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the sorted keys, number of the piece) after learning what is new."""
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, np.arange(self.place.used, self.place.used + len(keys)))
+        self.place.append(self.ids.used + np.cumsum(count) - count)
+        self.ids.append(np.fromiter((i for f in found for i in f), np.uint32, int(count.sum())))
+        for column, values in ((self.count, count), (self.size, [len(p) for p in pieces]), (self.first, first), (self.second, second)):
+            column.append(np.asarray(values))
+
+    def _find(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, count) of the ids of pieces of up to `PACKED` code points below 256, and whether these are their own."""
+        first, second = packed(points, starts, sizes)
+        keys = hashes(first, second, sizes)
         mine, one, which = np.unique(keys, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, mine), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != mine) if len(self.keys) else np.arange(len(mine))
@@ -145,9 +140,24 @@ class PieceCache:
             self._clear()
             new = np.arange(len(mine))
         if len(new):
-            self._learn(mine[new], [points[a : a + n] for a, n in zip(starts[one[new]], sizes[one[new]])])
+            some = one[new]
+            low = points.astype(np.uint8).tobytes()
+            pieces = [low[a : a + n].decode("latin-1") for a, n in zip(starts[some].tolist(), sizes[some].tolist())]
+            self._learn(mine[new], first[some], second[some], pieces)
             at = np.searchsorted(self.keys, mine)
-        return at, which
+        row = self.rows[at][which] if len(mine) else np.zeros(0, np.int32)
+        own = (self.first.held[row] == first) & (self.second.held[row] == second) & (self.size.held[row] == sizes)
+        return self.place.held[row], self.count.held[row], own
+
+    def _others(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """Ids of pieces that are told by their code points alone."""
+        if len(self.others) > self.limit // 4:
+            self.others.clear()
+        names = [points[a : a + n].tobytes() for a, n in zip(starts, sizes)]
+        new = list({k: None for k in names if k not in self.others})
+        found = dict(zip(new, self.encode_pieces([k.decode("utf-32-le", "surrogatepass") for k in new]) if new else []))
+        self.others.update((k, ids) for k, ids in found.items() if len(k) <= 4 * LONGEST)
+        return [found[k] if k in found else self.others[k] for k in names]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit) of each text."""
@@ -158,24 +168,24 @@ class PieceCache:
         points = np.concatenate([p for t in joined for p in (t, mark)])
         starts = cut(points)
         sizes = np.diff(starts, append=len(points))
-        short = np.flatnonzero(sizes <= LONGEST)
-        at, which = self._find(points, hashes(points, starts[short], starts[short] + sizes[short]), starts[short], sizes[short])
-        place, count, spot = np.zeros((3, len(starts)), np.int64)
-        place[short], count[short], spot[short] = self.place[at][which], self.count[at][which], self.spot[at][which]
-
-        same = self.letters.take(np.repeat(spot - starts, sizes) + np.arange(len(points)), mode="clip") == points
-        known = np.logical_and.reduceat(same, starts)
-        known[short] &= self.size[at][which] == sizes[short]
-        known[sizes > LONGEST] = False
-        pool, odd = self.ids, np.flatnonzero(~known)
+        marks = points[starts] == BETWEEN
+        short = (sizes <= PACKED) & ~marks
+        wide = np.flatnonzero(points > 0xFF)
+        if len(wide) > len(texts):
+            short[np.searchsorted(starts, wide, side="right") - 1] = False
+        at = np.flatnonzero(short)
+        place, count = np.zeros((2, len(starts)), np.int64)
+        place[at], count[at], own = self._find(points, starts[at], sizes[at])
+        odd = np.union1d(np.flatnonzero(~short & ~marks), at[~own])
+        ids = self.ids.held
         if len(odd):
-            ids, count[odd] = self._encoded([points[a : a + n] for a, n in zip(starts[odd], sizes[odd])])
-            place[odd] = self.n_ids + np.cumsum(count[odd]) - count[odd]
-            pool = np.concatenate([pool[: self.n_ids], ids])
+            found = self._others(points, starts[odd], sizes[odd])
+            count[odd] = [len(f) for f in found]
+            place[odd] = self.ids.used + np.cumsum(count[odd]) - count[odd]
+            ids = np.concatenate([ids[: self.ids.used], np.fromiter((i for f in found for i in f), np.uint32, int(count[odd].sum()))])
         total = np.cumsum(count)
-        ids = pool[np.repeat(place - (total - count), count) + np.arange(total[-1])]
-        bounds = total[np.flatnonzero(points[starts] == BETWEEN)]
-        return np.split(ids, bounds[:-1])
+        ids = ids[np.repeat(place - (total - count), count) + np.arange(total[-1])]
+        return np.split(ids, total[np.flatnonzero(marks)][:-1])
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]

@@ -55,17 +55,15 @@ def twins(length):
 def test_pieces_of_one_hash(length, order):
     own = pretokens.PieceCache(public_tokenizers.PATTERN, lambda ps: [[ord(c) for c in p] for p in ps])
     pair = list(twins(length))[::order]
-    points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in pair]
-    assert len({int(pretokens.hashes(p, np.array([0]), np.array([length]))[0]) for p in points}) == 1
     for texts in (pair, [pair[1]], [f"{pair[0]} {pair[1]} and {pair[0]}"]):
         assert [x.tolist() for x in own.encode_many(texts)] == [[ord(c) for c in t] for t in texts]
 
 
 def test_short_pieces_of_one_hash(monkeypatch):
     """With a hash that tells nothing but lengths apart, every piece has its own ids all the same."""
-    monkeypatch.setattr(pretokens, "hashes", lambda points, starts, ends: (ends - starts).astype(np.uint64) // np.uint64(2))
+    monkeypatch.setattr(pretokens, "hashes", lambda first, second, sizes: sizes.astype(np.uint64) // np.uint64(2))
     own = pretokens.PieceCache(public_tokenizers.PATTERN, lambda ps: [[ord(c) for c in p] for p in ps], limit=20)
     rng = np.random.default_rng(4)
     for _ in range(40):
-        texts = ["".join(rng.choice(list("abc 1.'\n"), 30)) for _ in range(5)] + [""]
+        texts = ["".join(rng.choice(list("abc 1.'\nö日"), 40)) for _ in range(5)] + ["", "a\x00", "a", "a" * 16, "a" * 17, "a" * 15 + "\x00"]
         assert [x.tolist() for x in own.encode_many(texts)] == [[ord(c) for c in t] for t in texts]
