@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoseries.operators.boxes import has_boxes, tree_shapley
 from geoseries.operators.metrics import r2, top_feature
 from geoseries.operators.permutation import permuted, repeat_key
 from geoseries.operators.quantiles import exact_percentiles
@@ -196,12 +197,14 @@ def shapley_values(
 ) -> DataFrame:
     """Shapley value of each feature for each row against the whole table; `carry` columns are kept.
 
-    Exact for linear models. For others the mean of `draws` draws: one takes a random other row of the table and a random
+    Exact for linear models and for trees, forests and boosted trees. For others the mean of `draws` draws: one takes a random other row of the table and a random
     feature order, and counts both that order and its reverse; a feature's share is the change of the prediction when it
     switches from the other row's value to its own, the features before it in the order already switched.
     """
     if hasattr(score, "coefficients"):
         return linear_shapley(score, df, list(dict.fromkeys([*carry, *keys])))
+    if has_boxes(score):
+        return tree_shapley(score, df, list(dict.fromkeys([*carry, *keys])))
     features = list(score.features)
     rows = with_donors(df, keys, features, draws, seed)
     # a random 64-bit mark per feature gives the order; the low bits keep marks apart

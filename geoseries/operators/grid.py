@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoseries.operators.ranking import chunked_rank
+from geoseries.session import stable
 
 @dataclass(frozen=True)
 class Axis:
@@ -156,14 +157,12 @@ def rows_to_grid(df: DataFrame, value: str, n_lat: int, n_lon: int, by: Sequence
 
     An array holds one latitude circle, so its size is the length of the longitude axis.
     """
-    inside = df.where(F.col("lon_i").between(0, n_lon - 1))
-    lines = inside.groupBy(*by, "lat_i").agg(
-        F.collect_list(F.struct(F.col("lon_i").cast("long").alias("i"), F.col(value).alias("v"))).alias("_cells")
-    )
-    every = (
-        df.select(*by).distinct()
-        .select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lat - 1).cast("long"))).alias("lat_i"))
-    )
+    # Cells outside the axes only tell that their slice exists; slices come from the lines, so the input is read once.
+    inside = F.col("lon_i").between(0, n_lon - 1) & F.col("lat_i").between(0, n_lat - 1)
+    cell = F.when(inside, F.struct(F.col("lon_i").cast("long").alias("i"), F.col(value).alias("v")))
+    lines = df.groupBy(*by, F.when(inside, F.col("lat_i").cast("long")).alias("lat_i")).agg(F.collect_list(cell).alias("_cells"))
+    slices = lines.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    every = slices.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lat - 1).cast("long"))).alias("lat_i"))
     kind = dict(df.dtypes)[value]
     axis = F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1).cast("long"))
     present = F.coalesce("_cells", F.array().cast(f"array<struct<i:bigint,v:{kind}>>"))
@@ -248,10 +247,10 @@ def cell_groups(meta: DataFrame, station: str, lat: str, lon: str, lat_axis: Axi
     placed = nearest_cell(meta.select(station, lat, lon), lat, lon, lat_axis, lon_axis).where(
         F.col("lat_i").isNotNull() & F.col("lon_i").isNotNull()
     )
-    cells = placed.groupBy("lat_i", "lon_i").agg(F.count(F.lit(1)).alias("members"))
+    cells = stable(placed.groupBy("lat_i", "lon_i").agg(F.count(F.lit(1)).alias("members")))
     lat_order = F.col("lat_i") if lat_axis.step > 0 else -F.col("lat_i")
     lon_order = F.col("lon_i") if lon_axis.step > 0 else -F.col("lon_i")
-    numbered = chunked_rank(cells, [], [lat_order, lon_order], lat_order, "group_id")
+    numbered = chunked_rank(cells, [], [lat_order, lon_order], None, "group_id")
     return placed.select(station, "lat_i", "lon_i").join(
         numbered.withColumn("group_id", F.col("group_id") - 1), ["lat_i", "lon_i"]
     )
@@ -273,22 +272,18 @@ def grid_average(
     """Stations sharing a cell get the mean of their daily series.
 
     A station alone in its cell keeps its rows inside [start, end]; shared cells drop
-    empty days but are not limited in time.
+    empty days but are not limited in time. `daily` has one row per station and day; it is
+    joined and aggregated once, and the mean is given to all stations of the cell at the end.
     """
     groups = cell_groups(meta, station, lat, lon, lat_axis, lon_axis).select(station, "group_id", "members")
-    series = daily.join(groups, station)
-    alone = series.where((F.col("members") == 1) & F.col(time).between(start, end)).select(
-        station, "group_id", time, value
-    )
-    shared = (
-        series.where(F.col("members") > 1)
-        .groupBy("group_id", time)
-        .agg(F.avg(value).alias(value))
-        .where(F.col(value).isNotNull())
-        .join(groups.where(F.col("members") > 1).select(station, "group_id"), "group_id")
-        .select(station, "group_id", time, value)
+    cells = groups.groupBy("group_id", "members").agg(F.sort_array(F.collect_set(station)).alias("_stations"))
+    members = cells.select("*", F.explode("_stations").alias(station))
+    means = daily.select(station, time, value).join(members, station).groupBy("group_id", "members", time).agg(
+        F.avg(value).alias(value), F.first("_stations").alias("_stations")
     )
-    return alone.unionByName(shared)
+    alone = F.col("members") == 1
+    kept = means.where((alone & F.col(time).between(start, end)) | (~alone & F.col(value).isNotNull()))
+    return kept.select(F.explode("_stations").alias(station), "group_id", time, value)
 
 
 def apply_mask(df: DataFrame, mask: DataFrame, cols: Sequence[str], on: Sequence[str] = ("lat_i", "lon_i"), band: str = "band1") -> DataFrame:

@@ -7,6 +7,7 @@ replaces chosen features by other columns, which is what the explanation jobs ne
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from geoseries.functions.calendar import month_indicators
 from geoseries.operators.clean import null_safe_score
 from geoseries.operators.grid import assemble_features
+from geoseries.operators.logistic import cross_accuracy
 from geoseries.operators.metrics import accuracy, ensemble_mean, pooled_metrics, r2
-from geoseries.operators.ranking import row_hash
+from geoseries.operators.ranking import chunked_rank, row_hash
 from geoseries.operators.splits import spatial_split, stratified_folds
 from geoseries.schema import require_columns
 
@@ -161,6 +163,64 @@ def fit_best(
     return ModelScorer(model, list(features)), table
 
 
+def fit_halving(
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    keys: Sequence[str],
+    families: Mapping[str, Mapping[str, Sequence]],
+    weight: str | None = None,
+    folds: int = 10,
+    metric: str = "r2_total",
+    seed: int = 2023,
+    missing: str = "error",
+    shrink: int = 3,
+    parallel: int = 4,
+) -> tuple[ModelScorer, DataFrame]:
+    """Best family and parameters by successive halving: the budget goes to the candidates that keep up.
+
+    Of c candidates, each round keeps the best c / `shrink` and gives the next one `shrink` times the rows. Early rounds learn
+    from a hashed share of the rows outside of one fold and are judged on that share of the fold; the last round, of at most
+    `shrink` candidates, judges on all rows and all folds. `parallel` fits run at a time on one persisted table. Returns the
+    winner refitted on all rows, and a row for each candidate and round: `round`, `share` of the rows, `score`, `survives`.
+    """
+    keep = [label, weight] if weight else [label]
+    number = lambda salt: F.conv(F.substring(row_hash(f"{seed}{salt}", *keys), 1, 8), 16, 10).cast("long")
+    placed = train.withColumns({"_fold": F.pmod(number(""), F.lit(folds)).cast("int"), "_part": number(":share")})
+    data = assembled(placed, features, [*keep, "_fold", "_part"], missing).persist()
+    sign = -1.0 if metric.startswith(("rmse", "ubrmse")) else 1.0
+    alive = [(family, dict(zip(grid, values))) for family, grid in families.items() for values in product(*grid.values())]
+    rounds = 1
+    while shrink**rounds < len(alive):
+        rounds += 1
+    found = []
+
+    def judged(candidate, fold, rows):
+        model = _estimator(candidate[0], label, weight, candidate[1], seed).fit(rows.where(F.col("_fold") != fold))
+        held = model.transform(rows.where(F.col("_fold") == fold))
+        return pooled_metrics(held, [], label, "prediction").select(metric).first()[0]
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            for i in range(rounds):
+                last = i == rounds - 1
+                share = 1.0 / shrink ** (rounds - 1 - i)
+                rows = data if last else data.where(F.col("_part") < int(share * (1 << 32)))
+                tried = list(range(folds)) if last else [i % folds]
+                scores = list(pool.map(lambda job: judged(*job, rows), [(c, f) for c in alive for f in tried]))
+                known = [[x for x in scores[k * len(tried) : (k + 1) * len(tried)] if x is not None] for k in range(len(alive))]
+                means = [sum(x) / len(x) if x else -sign * float("inf") for x in known]
+                order = sorted(range(len(alive)), key=lambda k: (-sign * means[k], k))
+                best = order[: 1 if last else max(1, -(-len(alive) // shrink))]
+                found += [(i, share, c[0], str(c[1]), float(m), k in best) for k, (c, m) in enumerate(zip(alive, means))]
+                alive = [alive[k] for k in best]
+        model = _estimator(alive[0][0], label, weight, alive[0][1], seed).fit(data)
+    finally:
+        data.unpersist()
+    table = train.sparkSession.createDataFrame(found, "round int, share double, family string, params string, score double, survives boolean")
+    return ModelScorer(model, list(features)), table
+
+
 def fit_rf_tuned(
     train: DataFrame,
     features: Sequence[str],
@@ -172,9 +232,9 @@ def fit_rf_tuned(
     folds: int = 10,
     seed: int = 2023,
 ) -> tuple[ModelScorer, DataFrame]:
-    """Random forest tuned on leaf size and depth by cross-validated rmse."""
+    """Random forest tuned on leaf size and depth by rmse, by successive halving."""
     grid = {"minInstancesPerNode": list(min_leaf), "maxDepth": list(depth), "numTrees": [trees]}
-    return fit_best(train, features, label, keys, {"rf": grid}, None, folds, "rmse_total", seed)
+    return fit_halving(train, features, label, keys, {"rf": grid}, None, folds, "rmse_total", seed)
 
 
 def fit_final(
@@ -225,8 +285,11 @@ def adversarial_accuracy(
 def adversarial_cv(
     df: DataFrame, features: Sequence[str], keys: Sequence[str], k: int = 5, classifier: str = "rf", seed: int = 2023
 ) -> DataFrame:
-    """Out-of-fold accuracy per fold, folds stratified by train/test label."""
+    """Out-of-fold accuracy per fold, folds stratified by train/test label. Logistic fits (`lr`) share their passes."""
     folded = stratified_folds(_labelled(df), "Is_test", keys, k, seed, ties=features)
+    if classifier == "lr":
+        found = cross_accuracy(folded, features, F.array(F.col("Is_test").cast("int")), F.array("fold"), 1, k)
+        return df.sparkSession.createDataFrame([(fold, share) for _, fold, share in found], "fold int, accuracy double")
     data = assembled(folded, features, ["Is_test", "fold"]).persist()
     rows = []
     try:
@@ -250,20 +313,49 @@ def seed_sweep(
     classifier: str = "lr",
     test: float = 0.2,
 ) -> DataFrame:
-    """Adversarial accuracy of the station split for each seed and layer: the seed log."""
-    rows = []
-    used = df.select(*dict.fromkeys([station, *keys, *features, *([layer] if layer else [])])).persist()  # read once for all seeds
-    try:
-        layers = [r[0] for r in used.select(layer).distinct().sort(layer).collect()] if layer else [None]
-        for name in layers:
-            part = used.where(F.col(layer) == name) if layer else used
-            for seed in seeds:
-                split = spatial_split(part, station, seed, test)
-                mean = adversarial_cv(split, features, keys, k, classifier, seed).agg(F.avg("accuracy")).first()[0]
-                rows.append((float(mean), split_method, name, int(seed)))
-    finally:
-        used.unpersist()
-    return df.sparkSession.createDataFrame(rows, "accuracy double, split_method string, layer string, seed int")
+    """Adversarial accuracy of the station split for each seed and layer: the seed log.
+
+    With logistic fits (`lr`) all seeds, layers and folds are fitted together, one pass over the rows a step; their folds come
+    from key hashes, so each label is spread evenly over them up to chance. Other classifiers are fitted one after the other
+    on folds that are stratified exactly.
+    """
+    used = df.select(*dict.fromkeys([station, *keys, *features, *([layer] if layer else [])]))
+    layers = [r[0] for r in used.select(layer).distinct().sort(layer).collect()] if layer else [None]
+    if classifier == "lr":
+        rows = _sweep_together(used, station, features, keys, list(seeds), layer, layers, k, test)
+    else:
+        used, rows = used.persist(), []  # read once for all seeds
+        try:
+            for name in layers:
+                part = used.where(F.col(layer) == name) if layer else used
+                for seed in seeds:
+                    split = spatial_split(part, station, seed, test)
+                    mean = adversarial_cv(split, features, keys, k, classifier, seed).agg(F.avg("accuracy")).first()[0]
+                    rows.append((name, seed, mean))
+        finally:
+            used.unpersist()
+    result = [(float(mean), split_method, name, int(seed)) for name, seed, mean in rows]
+    return df.sparkSession.createDataFrame(result, "accuracy double, split_method string, layer string, seed int")
+
+
+def _sweep_together(used, station, features, keys, seeds, layer, layers, k, test) -> list[tuple]:
+    """(layer, seed, mean accuracy over folds) of logistic fits."""
+    number = F.coalesce(*[F.when(F.col(layer) == name, i) for i, name in enumerate(layers)]) if layer else F.lit(0)
+    used = used.withColumn("_layer", number.cast("int"))
+    every = used.select("_layer", station).distinct().withColumn("_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    hashed = every.withColumn("_h", F.md5(F.concat_ws(":", F.col("_seed").cast("string"), F.col(station).cast("string"))))
+    ranked = chunked_rank(hashed, ["_layer", "_seed"], ["_h"], None, "_rn", "_n")
+    last = ranked.where(F.col("_rn") == F.ceil(F.col("_n") * F.lit(test))).select("_layer", "_seed", "_h").collect()  # a row for each layer and seed
+    limit = {(r["_layer"], r["_seed"]): r["_h"] for r in last}
+    limits = F.array(*[F.array(*[F.lit(limit.get((i, s), "")) for s in seeds]) for i in range(len(layers))])
+    own = F.get(limits, F.col("_layer"))
+    held = F.array(*[(row_hash(s, station) <= own[i]).cast("int") for i, s in enumerate(seeds)])
+    fold = F.array(*[F.conv(F.substring(row_hash(f"{s}:fold", *keys), 1, 8), 16, 10).cast("long") % k for s in seeds]).cast("array<int>")
+    found = cross_accuracy(used, features, held, fold, len(layers) * len(seeds), k, F.col("_layer") * len(seeds))
+    means = {}
+    for group, _, share in found:
+        means.setdefault(group, []).append(share)
+    return [(layers[g // len(seeds)], seeds[g % len(seeds)], sum(x) / len(x)) for g, x in sorted(means.items())]
 
 
 def score_test(scorer, test: DataFrame, station: str, time: str, label: str) -> DataFrame:

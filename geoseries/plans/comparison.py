@@ -47,6 +47,13 @@ def difference_maps(
     return apply_mask(diffs, mask, ["pred", *[f"{n}_diff" for n in products]], on)
 
 
+def difference_maps_of(maps: DataFrame, products: Sequence[str], mask: DataFrame, on: Sequence[str] = CELL) -> DataFrame:
+    """As `difference_maps`, from one table that holds the prediction (`pred`) and the products side by side."""
+    kept = [c for c in maps.columns if c not in products]
+    diffs = maps.select(*kept, *[(F.col(n) - F.col("pred")).alias(f"{n}_diff") for n in products])
+    return apply_mask(diffs, mask, ["pred", *[f"{n}_diff" for n in products]], on)
+
+
 def side_by_side_maps(
     maps: Mapping[str, DataFrame], mask: DataFrame, part: str, periods: Sequence[int] | None = None, on: Sequence[str] = CELL
 ) -> DataFrame:

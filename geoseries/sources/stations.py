@@ -22,10 +22,11 @@ def read_stations(
     schema: T.StructType = STATION_DAILY,
     fmt: str = "csv",
     skip_unreadable: bool = False,
+    file: str | None = None,
 ) -> DataFrame:
     """All stations below `path/<layer>`; station and group come from the file name, NaN is read as null.
 
-    Files the reader cannot open are passed over only when asked.
+    Files the reader cannot open are passed over only when asked. `file` names a column for the path of a row's file.
     """
     reader = (
         spark.read.format(fmt)
@@ -37,15 +38,34 @@ def read_stations(
     if fmt == "csv":
         reader = reader.option("header", "true")
     df = reader.load(f"{path.rstrip('/')}/{layer}" if layer else path)
-    file = F.col("_metadata.file_path")
+    source = F.col("_metadata.file_path")
     return nulls_for_nan(df).select(
-        F.regexp_extract(file, STATION_FILE, 1).cast("long").alias("station_id"),
-        F.regexp_extract(file, STATION_FILE, 2).cast("int").alias("group_id"),
-        F.element_at(F.split(file, "/"), -2).alias("layer"),
+        *name_fields(source),
         *[f.name for f in schema.fields],
+        *([source.alias(file)] if file else []),
     )
 
 
+def name_fields(path: Column) -> list[Column]:
+    """`station_id`, `group_id` and `layer` of a station file's path."""
+    return [
+        F.nullif(F.regexp_extract(path, STATION_FILE, 1), F.lit("")).cast("long").alias("station_id"),
+        F.nullif(F.regexp_extract(path, STATION_FILE, 2), F.lit("")).cast("int").alias("group_id"),
+        F.element_at(F.split(path, "/"), -2).alias("layer"),
+    ]
+
+
+def skipped_files(spark: SparkSession, path: str, rows: DataFrame, file: str) -> DataFrame:
+    """`station_id`, `group_id`, `layer`, `path` of the files below `path` that gave no row of `rows`, unreadable or empty.
+
+    The files are listed without being opened and compared with the paths that the rows bear in `file`.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    name = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/").alias("path")  # noqa: E731 - file:/x and file:///x are one path
+    missing = listed.select(name(F.col("path"))).join(rows.select(name(F.col(file))).distinct(), "path", "left_anti")
+    return missing.select(*name_fields(F.col("path")), "path")
+
+
 def read_station_table(spark: SparkSession, path: str, layers: Sequence[str] | None = None) -> DataFrame:
     """Station rows kept in `layer=` folders; only the wanted layers are read."""
     df = nulls_for_nan(spark.read.parquet(path))

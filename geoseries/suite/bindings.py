@@ -86,34 +86,35 @@ def grid_daily(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+MOISTURE = ["sm", "swvl1", "swvl2", "swvl3", "SoilMoi0_10cm_inst", "SoilMoi10_40cm_inst", "SoilMoi40_100cm_inst", "SMCI"]
+
+
+def grid_layer_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the gridded products: layer, depth, cell and day with the variables of three products."""
+    li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    return li.join(part, li.l_partkey == part.p_partkey).select(*_layer_columns(), (10 * (1 + F.col("p_size") % 10)).alias("depth"))
+
+
+def _layer_columns() -> list:
+    return [
+        F.concat(F.lit("layer"), (1 + (F.col("l_linenumber") - 1) % 5).cast("string")).alias("layer"),
+        *supplier_cells(),
+        F.to_date("l_shipdate").alias("time"),
+        (F.col("l_quantity") / 50).alias("sm"),
+        (F.col("l_extendedprice") / 105000).alias("swvl1"),
+        (F.col("l_discount") * 4).alias("swvl2"),
+        (F.col("l_tax") * 6).alias("swvl3"),
+        F.col("l_quantity").alias("SoilMoi0_10cm_inst"),
+        (F.col("l_quantity") * 3).alias("SoilMoi10_40cm_inst"),
+        (F.col("l_discount") * 2000).alias("SoilMoi40_100cm_inst"),
+        (F.col("l_tax") * 5000).alias("SMCI"),
+    ]
+
+
 def grid_layers(spark: SparkSession, sf: str) -> DataFrame:
     """Daily grid per soil layer with the variables of three products."""
-    li = table(spark, sf, "lineitem")
-    return (
-        li.select(
-            F.concat(F.lit("layer"), (1 + (F.col("l_linenumber") - 1) % 5).cast("string")).alias("layer"),
-            *supplier_cells(),
-            F.to_date("l_shipdate").alias("time"),
-            (F.col("l_quantity") / 50).alias("sm"),
-            (F.col("l_extendedprice") / 105000).alias("swvl1"),
-            (F.col("l_discount") * 4).alias("swvl2"),
-            (F.col("l_tax") * 6).alias("swvl3"),
-            F.col("l_quantity").alias("SoilMoi0_10cm_inst"),
-            (F.col("l_quantity") * 3).alias("SoilMoi10_40cm_inst"),
-            (F.col("l_discount") * 2000).alias("SoilMoi40_100cm_inst"),
-            (F.col("l_tax") * 5000).alias("SMCI"),
-        )
-        .groupBy("layer", "lat_i", "lon_i", "time")
-        .agg(
-            *[
-                F.avg(c).alias(c)
-                for c in (
-                    "sm", "swvl1", "swvl2", "swvl3", "SoilMoi0_10cm_inst", "SoilMoi10_40cm_inst",
-                    "SoilMoi40_100cm_inst", "SMCI",
-                )
-            ]
-        )
-    )
+    rows = table(spark, sf, "lineitem").select(*_layer_columns())
+    return rows.groupBy("layer", "lat_i", "lon_i", "time").agg(*[F.avg(c).alias(c) for c in MOISTURE])
 
 
 def grid_static(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,8 +135,8 @@ def grid_soil(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid_mask(spark: SparkSession, sf: str) -> DataFrame:
     """1 inside the region, null outside (southernmost cells)."""
-    cells = table(spark, sf, "lineitem").select(*supplier_cells()).distinct()
-    return cells.withColumn("band1", F.when(F.col("lat_i") != 0, F.lit(1.0)))
+    cell = [(F.col("s_suppkey") % 5).alias("lat_i"), F.floor(F.col("s_suppkey") / 5).alias("lon_i")]
+    return table(spark, sf, "supplier").select(*cell).distinct().withColumn("band1", F.when(F.col("lat_i") != 0, F.lit(1.0)))
 
 
 def scores_wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +222,7 @@ VIEWS = {
         c_nationkey % 8 AS depth FROM customer""",
     "grid_soil": """SELECT lat_i, lon_i, CASE WHEN value < 0 THEN -999e0 ELSE value END AS value, depth
         FROM grid_static""",
-    "grid_mask": "SELECT DISTINCT lat_i, lon_i, CASE WHEN lat_i <> 0 THEN 1e0 END AS band1 FROM li_cell",
+    "grid_mask": "SELECT DISTINCT s_suppkey % 5 AS lat_i, s_suppkey // 5 AS lon_i, CASE WHEN s_suppkey % 5 <> 0 THEN 1e0 END AS band1 FROM supplier",
     "scores_wide": """SELECT l_suppkey AS station_idx, dt AS date_time, l_orderkey, l_linenumber, l_partkey, layer,
         CASE WHEN l_returnflag = 'A' THEN 'spatial' ELSE 'temporal' END AS split_method,
         l_quantity / 50 AS "true", l_extendedprice / 105000 AS pred_a, l_discount * 10 AS pred_b,

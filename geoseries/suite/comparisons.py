@@ -5,27 +5,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoseries import schema
+from geoseries.operators import states
+from geoseries.operators.grid import apply_mask
 from geoseries.plans import comparison, evaluation
+from geoseries.session import scratch_path
 from geoseries.suite import bindings as b
 from geoseries.suite import grids as g
 from geoseries.suite.registry import query
 from geoseries.suite.scores import ALL, PAIRS, R, RMSE, UB
 
 
+SMCI_LAYERS = list(schema.SMCI_LAYER_DEPTHS)
+
+
+def _states(spark, sf):
+    """States of the prediction and all products, from one scan of the facts."""
+    moisture = ["sm", "swvl1", "swvl2", "swvl3", "SoilMoi0_10cm_inst", "SoilMoi10_40cm_inst", "SoilMoi40_100cm_inst"]
+    # The depth product has no daily mean: its rows are summed as they are, apart for each layer of depths.
+    depths = {f"smci_{name}": F.col("depth").isin(list(group)) for name, group in schema.SMCI_LAYER_DEPTHS.items()}
+    key = ["layer", "lat_i", "lon_i", "time"]
+    sums = [s for c, at in depths.items() for s in (F.sum(F.when(at, F.col("SMCI"))).alias(f"sum_{c}"), F.count(F.when(at, F.col("SMCI"))).alias(f"n_{c}"))]
+    daily = b.grid_layer_rows(spark, sf).groupBy(*key).agg(*[F.avg(c).alias(c) for c in moisture], *sums)
+    parts = [s for c in moisture for s in (F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"n_{c}"))]
+    parts += [F.sum(f"{p}{c}").alias(f"{p}{c}") for c in depths for p in ("sum_", "n_")]
+    return daily.groupBy("layer", "lat_i", "lon_i", F.year("time").alias("year"), F.month("time").alias("month")).agg(*parts)
+
+
 def _maps(spark, sf, part):
-    layers = b.grid_layers(spark, sf)
-    pred = layers.groupBy("layer", "lat_i", "lon_i", {"month": F.month, "year": F.year}[part]("time").alias(part)).agg(
-        F.avg("sm").alias("value")
-    )
-    smci = g.depths_monthly if part == "month" else g.depths_yearly
-    products = {
-        "era5": comparison.layer_means(layers, "time", schema.ERA5_LAYER_VARS, part),
-        "gldas": comparison.layer_means(layers, "time", schema.GLDAS_LAYER_VARS, part, 0.01),
-        "smci": smci(spark, sf).select(
-            "layer", "lat_i", "lon_i", part, (F.col("SMCI") * schema.SMCI_SCALE).alias("value")
-        ),
+    picks = {
+        name: {
+            "pred": ("sm", 1.0), "era5": (schema.ERA5_LAYER_VARS[name], 1.0), "gldas": (schema.GLDAS_LAYER_VARS[name], 0.01),
+            **({"smci": (f"smci_{name}", schema.SMCI_SCALE)} if name in SMCI_LAYERS else {}),
+        }
+        for name in schema.ERA5_LAYER_VARS
     }
-    return pred, products
+    maps = states.layered_means(_states(spark, sf), part, picks, ["sm"], ["lat_i", "lon_i"])
+    return comparison.difference_maps_of(maps, ["era5", "gldas", "smci"], b.grid_mask(spark, sf))
 
 
 MAPS = g.SMCI_SQL.replace("SELECT CASE", ", sm AS (SELECT CASE") + """),
@@ -45,14 +60,12 @@ DIFFS = "pred era5_diff gldas_diff smci_diff"
 
 @query("c01_monthly_maps", MAPS.replace("{part}", "month"), floats=DIFFS, ints="month")
 def monthly_maps(spark, sf):
-    pred, products = _maps(spark, sf, "month")
-    return comparison.difference_maps(pred, products, b.grid_mask(spark, sf), "month")
+    return _maps(spark, sf, "month")
 
 
 @query("c02_yearly_maps", MAPS.replace("{part}", "year"), floats=DIFFS, ints="year")
 def yearly_maps(spark, sf):
-    pred, products = _maps(spark, sf, "year")
-    return comparison.difference_maps(pred, products, b.grid_mask(spark, sf), "year")
+    return _maps(spark, sf, "year")
 
 
 @query("f17_difference", """SELECT layer, lat_i, lon_i, time, swvl1 - sm AS diff FROM grid_layers""", floats="diff", dates="time")
@@ -65,12 +78,10 @@ THREE = """SELECT layer, lat_i, lon_i, {part}(time) AS {part}, avg(sm) * any_val
 
 
 def _three(spark, sf, part):
-    layers = b.grid_layers(spark, sf).withColumn("both", (F.col("sm") + F.col("swvl1")) / 2)
-    key = ["layer", "lat_i", "lon_i", {"month": F.month, "year": F.year}[part]("time").alias(part)]
-    maps = {
-        n: layers.groupBy(*key).agg(F.avg(c).alias("value")) for n, c in (("base", "sm"), ("best", "swvl1"), ("ensemble", "both"))
-    }
-    return comparison.side_by_side_maps(maps, b.grid_mask(spark, sf), part)
+    layers = b.grid_layers(spark, sf).select("layer", "lat_i", "lon_i", "time", F.col("sm").alias("base"), F.col("swvl1").alias("best"), ((F.col("sm") + F.col("swvl1")) / 2).alias("ensemble"))
+    names, key = ["base", "best", "ensemble"], ["layer", "lat_i", "lon_i"]
+    maps = states.merged_means(states.month_states(layers, "time", names, key), [*key, part], names)
+    return apply_mask(maps, b.grid_mask(spark, sf), names)
 
 
 @query("c03_monthly_predictions", THREE.replace("{part}", "month"), floats="base best ensemble", ints="month")
@@ -83,6 +94,21 @@ def yearly_predictions(spark, sf):
     return _three(spark, sf, "year")
 
 
+@query("c07_means_of_written_states", """SELECT layer, lat_i, lon_i, year(time) AS year, avg(sm) AS sm, avg(swvl1) AS swvl1 FROM grid_layers GROUP BY ALL
+    UNION ALL SELECT layer, lat_i, lon_i, 0, avg(sm), avg(swvl1) FROM grid_layers GROUP BY ALL""", floats="sm swvl1", ints="year")
+def written_states(spark, sf):
+    """States are written without one month, that month is added twice, and means are read back; year 0 is the long-term mean."""
+    key, cols, path = ["layer", "lat_i", "lon_i"], ["sm", "swvl1"], scratch_path(spark, "states")
+    found = states.month_states(b.grid_layers(spark, sf), "time", cols, key)
+    late = (F.col("year") == 1997) & (F.col("month") == 3)
+    states.write_states(found.where(~late), path)
+    for _ in range(2):
+        states.write_states(found.where(late), path)
+    held = states.read_states(spark, path)
+    yearly = states.merged_means(held, [*key, "year"], cols)
+    return yearly.unionByName(states.merged_means(held, key, cols).withColumn("year", F.lit(0)))
+
+
 KEPT = f"SELECT * FROM ({PAIRS}) WHERE NOT (exp = 'c' AND layer = 'layer1')"
 
 

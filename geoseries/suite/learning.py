@@ -66,12 +66,12 @@ def line_fit(spark, sf):
     return models.train_r2(models.fit_family(rows, ["l_quantity"], LABEL, "lr"), rows, LABEL)
 
 
-@query("m10_line_fit_with_gaps", """SELECT regr_r2(l_extendedprice, x) AS r2 FROM (SELECT l_extendedprice, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS x FROM features)""", floats="r2")
+@query("m10_line_fit_with_gaps", """SELECT regr_r2(l_extendedprice, x) AS r2 FROM (SELECT l_extendedprice, CASE WHEN l_linenumber NOT IN (2, 4) THEN l_quantity END AS x FROM features)""", floats="r2")
 def line_fit_with_gaps(spark, sf):
-    gap = F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") == 4, F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    gap = F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
     rows = b.features(spark, sf).withColumn("x", gap)
     scorer = models.fit_family(rows, ["x"], LABEL, "lr", missing="skip")
-    return models.train_r2(scorer, rows.where(F.col("x").isNotNull()), LABEL)
+    return models.train_r2(scorer, rows.where(F.col("x").isNotNull() & ~F.isnan("x")), LABEL)
 
 
 @query("m10_tree_two_groups", """SELECT 1 - sum((l_extendedprice - m) * (l_extendedprice - m)) / (var_pop(l_extendedprice) * count(*)) AS r2
@@ -110,9 +110,33 @@ def adversarial_cv(spark, sf):
     return models.adversarial_cv(_split(spark, sf), FEATURES, KEYS, 5, "lr")
 
 
+@query("m07_cv_two_groups", SPLIT_SQL + """, fd AS (SELECT *, (row_number() OVER (PARTITION BY is_test ORDER BY md5(concat_ws(':', '2023', id)), low) - 1) % 5 AS fold FROM sp),
+    sh AS (SELECT t.fold, low, avg(is_test) AS share FROM fd JOIN (SELECT unnest(range(5)) AS fold) t ON t.fold <> fd.fold GROUP BY t.fold, low)
+    SELECT fold, avg(CASE WHEN (share > 0.5e0) = (is_test = 1) THEN 1e0 ELSE 0e0 END) AS accuracy FROM fd JOIN sh USING (fold, low) GROUP BY fold""",
+       floats="accuracy", ints="fold")
+def cv_two_groups(spark, sf):
+    return models.adversarial_cv(_split(spark, sf).withColumn("low", _low_line()), ["low"], KEYS, 5, "lr")
+
+
+SEEDS = list(range(1, 21))
+
+
 @query("m08_seed_sweep")
 def seed_sweep(spark, sf):
-    return models.seed_sweep(b.features(spark, sf), "l_suppkey", FEATURES, KEYS, list(range(1, 6)), k=5)
+    return models.seed_sweep(b.features(spark, sf), "l_suppkey", FEATURES, KEYS, SEEDS, k=5)
+
+
+@query("m08_sweep_two_groups", f""", sd AS (SELECT unnest(range(1, {SEEDS[-1] + 1})) AS seed),
+    st AS (SELECT seed, l_suppkey, row_number() OVER (PARTITION BY seed ORDER BY md5(concat(seed, ':', l_suppkey))) <= ceil(count(*) OVER (PARTITION BY seed) * 0.2e0) AS held
+        FROM (SELECT DISTINCT l_suppkey FROM features), sd),
+    fd AS (SELECT seed, held, l_linenumber <= 3 AS low, CAST('0x' || substr(md5(concat_ws(':', seed || ':fold', id)), 1, 8) AS BIGINT) % 5 AS fold FROM features JOIN st USING (l_suppkey)),
+    ct AS (SELECT seed, fold, low, count(*) AS n, count(*) FILTER (WHERE held) AS k FROM fd GROUP BY ALL),
+    sh AS (SELECT seed, fold, low, n, k, (sum(k) OVER w - k) / (sum(n) OVER w - n) AS share FROM ct WINDOW w AS (PARTITION BY seed, low)),
+    ac AS (SELECT seed, fold, sum(CASE WHEN share > 0.5e0 THEN k ELSE n - k END) / sum(n) AS accuracy FROM sh GROUP BY seed, fold)
+    SELECT avg(accuracy) AS accuracy, 'spatial' AS split_method, seed FROM ac GROUP BY seed""", floats="accuracy", ints="seed")
+def sweep_two_groups(spark, sf):
+    rows = b.features(spark, sf).withColumn("low", _low_line())
+    return models.seed_sweep(rows, "l_suppkey", ["low"], KEYS, SEEDS, k=5).drop("layer")
 
 
 @query("m09_fit_best")
@@ -138,7 +162,23 @@ def families(spark, sf):
 @query("m11_forest_tuned")
 def forest_tuned(spark, sf):
     train = _split(spark, sf).where(F.col("status") == "train")
-    return models.fit_rf_tuned(train, FEATURES, LABEL, KEYS, trees=10)[1]
+    return models.fit_rf_tuned(train, FEATURES, LABEL, KEYS)[1]
+
+
+# Both candidates are a tree of one split on a two-valued feature, so each round's score is that of the two group means.
+@query("m11_halving_two_groups", """, h AS (SELECT l_extendedprice AS y, l_linenumber <= 3 AS low, CAST('0x' || substr(md5(concat_ws(':', '2023', id)), 1, 8) AS BIGINT) % 4 AS fold,
+        CAST('0x' || substr(md5(concat_ws(':', '2023:share', id)), 1, 8) AS BIGINT) AS part FROM features),
+    rd AS (SELECT i AS round, 1e0 / 2 ** (1 - i) AS share, i = 1 AS final FROM range(2) t(i)),
+    us AS (SELECT round, share, final, y, low, fold FROM h JOIN rd ON final OR part < 2147483648),
+    mn AS (SELECT u.round, f.fold, u.low, avg(u.y) AS m FROM us u JOIN (SELECT unnest(range(4)) AS fold) f ON f.fold <> u.fold WHERE final OR f.fold = 0 GROUP BY ALL),
+    sc AS (SELECT round, share, fold, sqrt(avg((y - m) * (y - m))) AS rmse FROM us JOIN mn USING (round, fold, low) GROUP BY ALL),
+    av AS (SELECT round, share, avg(rmse) AS score FROM sc GROUP BY ALL)
+    SELECT round, share, depth, score, round = 0 OR depth = 1 AS survives FROM av, (SELECT unnest([1, 2, 3]) AS depth) WHERE round = 0 OR depth <= 2""".replace("round = 0 OR depth = 1 AS", "(round = 0 AND depth <= 2 OR depth = 1) AS"),
+       floats="share score", ints="round depth", digits=4)
+def halving_two_groups(spark, sf):
+    rows = b.features(spark, sf).withColumn("low", _low_line())
+    table = models.fit_halving(rows, ["low"], LABEL, KEYS, {"dt": {"maxDepth": [1, 2, 3]}}, None, 4, "rmse_total", shrink=2)[1]
+    return table.select("round", "share", F.regexp_extract("params", r"(\d+)", 1).cast("long").alias("depth"), "score", "survives")
 
 
 @query("m12_fit_final")
@@ -352,6 +392,13 @@ def shapley_linear(spark, sf):
     return explain.shapley_importance(b.LINEAR, b.features(spark, sf), KEYS, by=["l_suppkey"])
 
 
+@query("x05_shapley_tree_two_groups", """SELECT 'low' AS feature, avg(abs(m - (SELECT avg(l_extendedprice) FROM features))) AS importance
+    FROM (SELECT avg(l_extendedprice) OVER (PARTITION BY l_linenumber <= 3) AS m FROM features)""", floats="importance", digits=4)
+def shapley_tree(spark, sf):
+    rows = b.features(spark, sf).withColumn("low", _low_line())
+    return explain.shapley_importance(models.fit_family(rows, ["low"], LABEL, "dt", maxDepth=1), rows, KEYS)
+
+
 @query("x05_shapley_importance_forest")
 def shapley_forest(spark, sf):
     return explain.shapley_importance(_forest(spark, sf), b.features(spark, sf), KEYS)

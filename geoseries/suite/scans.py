@@ -29,6 +29,41 @@ def station_scan(spark, sf):
     )
 
 
+def _named_files(spark, path, folders):
+    """Give each `station_id=/group_id=/layer=` folder's file the name of a station file; every seventh is cut short."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for layer, station, group, part in folders:
+        target = jvm.Path(f"{path}/named/{layer}/{station}_group_{group}.parquet")
+        files.mkdirs(target.getParent())
+        files.rename(jvm.Path(part), target)
+        if station % 7 == 0:
+            out = files.create(target, True)
+            out.write(bytearray(b"PAR1 cut short"))
+            out.close()
+    return f"{path}/named"
+
+
+@query("s06_station_files", """SELECT station_id, station_id % 4 AS group_id, 'layer' || (1 + station_id % 5) AS layer, station_id % 7 = 0 AS skipped,
+    CASE WHEN station_id % 7 = 0 THEN 0 ELSE count(*) END AS n, CASE WHEN station_id % 7 <> 0 THEN sum(soil_moisture) END AS total
+    FROM station_daily GROUP BY station_id""", floats="total", ints="group_id n")
+def station_files(spark, sf):
+    """Station files are written one each, some are cut short, and all are scanned by their names, with a list of what was skipped."""
+    path = scratch_path(spark, "files")
+    keyed = b.station_daily(spark, sf).withColumns(
+        {"g": F.col("station_id") % 4, "s": F.col("station_id"), "layer": F.concat(F.lit("layer"), (1 + F.col("station_id") % 5).cast("string"))}
+    )
+    keyed.select("layer", "s", "g", "date_time", "soil_moisture").repartition("layer", "s", "g").write.partitionBy("layer", "s", "g").parquet(path)
+    found = spark.read.parquet(path).select("layer", "s", "g", F.col("_metadata.file_path").alias("part")).distinct()
+    named = _named_files(spark, path, [tuple(r) for r in found.collect()])  # a row for each station
+    rows = stations.read_stations(spark, named, fmt="parquet", skip_unreadable=True, file="file")
+    skipped = stations.skipped_files(spark, named, rows, "file")
+    read = rows.groupBy("station_id", "group_id", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum("soil_moisture").alias("total"))
+    lost = skipped.select("station_id", "group_id", "layer", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"))
+    return read.withColumn("skipped", F.lit(False)).unionByName(lost.withColumn("skipped", F.lit(True)))
+
+
 @query("s02_path_fields", """SELECT layer, CAST(l_suppkey AS VARCHAR) AS station, CAST(lat_i AS VARCHAR) AS grp,
     count(*) AS n FROM li_cell GROUP BY ALL""")
 def path_fields(spark, sf):
@@ -127,6 +162,28 @@ def config_layers(spark, sf):
     return layers.join(found, "layer", "left").select("layer", "depth_from", "depth_to", F.coalesce("_n", F.lit(0)).alias("stations"))
 
 
+@query("s12_config_tables", """, kinds AS (SELECT l_linenumber % 4 AS k, count(*) AS n FROM lineitem GROUP BY ALL),
+    cfg(k, a, c, v) AS (VALUES """ + ", ".join(
+    [f"(0, '{n}', '{layer}', NULL::DOUBLE)" for layer, n in [*schema.ERA5_LAYER_VARS.items(), *schema.GLDAS_LAYER_VARS.items()]]
+    + [f"(1, '{layer}', NULL, {d}::DOUBLE)" for layer, group in schema.SMCI_LAYER_DEPTHS.items() for d in group]
+    + [f"(2, 'random', '{split} {layer}', {seed}::DOUBLE)" for (split, layer), seed in schema.SPLIT_SEEDS.items()]
+    + [f"(2, '{t}', '{layer}', {seed}::DOUBLE)" for t, seeds in (("adversarial", schema.ADVERSARIAL_SEEDS), ("corrected", schema.CORRECTED_SEEDS)) for layer, seed in seeds.items()]
+    + [f"(3, '{n}', NULL, {'NULL' if 'missing_value' not in r else r['missing_value']}::DOUBLE)" for n, r in schema.VALIDITY_RULES.items()]
+) + """) SELECT k, a, c, v, n FROM cfg JOIN kinds USING (k)""", floats="v", ints="k")
+def config_all(spark, sf):
+    """Every configuration table, beside a count of the rows that it would be used for."""
+    tables = schema.config_tables(spark)
+    parts = [
+        tables["products"].select(F.lit(0).alias("k"), F.col("variable").alias("a"), F.col("layer").alias("c"), F.lit(None).cast("double").alias("v")),
+        tables["depths"].select(F.lit(1).alias("k"), F.col("layer").alias("a"), F.lit(None).cast("string").alias("c"), F.col("depth_cm").cast("double").alias("v")),
+        tables["seeds"].select(F.lit(2).alias("k"), F.col("table").alias("a"), F.concat_ws(" ", "split_method", "layer").alias("c"), F.col("seed").cast("double").alias("v")),
+        tables["rules"].select(F.lit(3).alias("k"), F.col("variable").alias("a"), F.lit(None).cast("string").alias("c"), F.col("missing_value").alias("v")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    kinds = b.table(spark, sf, "lineitem").groupBy((F.col("l_linenumber") % 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(kinds, "k")
+
+
 def _importance(spark, sf):
     return (
         b.table(spark, sf, "lineitem")

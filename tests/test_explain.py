@@ -1,10 +1,13 @@
 """Explanations of a linear model have closed forms; permutations must be exact even for one hot station."""
 
+import math
+from itertools import permutations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoseries.operators import explain
+from geoseries.operators import boxes, explain
 from geoseries.operators.models import LinearScorer, fit_family
 
 LINEAR = LinearScorer({"a": 2.0, "b": -1.0, "c": 0.0}, 5.0)
@@ -93,13 +96,58 @@ def test_sampled_shapley_converges_to_the_closed_form(table):
     assert np.mean([abs(got[k] - exact[k]) for k in got]) < 0.15 * np.mean([abs(v) for v in exact.values()])
 
 
-def test_shapley_values_add_up_for_any_model(table):
+def test_shapley_values_add_up(table):
+    """Drawn values to the difference from the drawn row, exact ones to that from the mean prediction."""
     forest = fit_family(table, ["a", "b", "c"], "y", "rf", numTrees=5)
-    total = explain.shapley_values(forest, table, ["id"], 1, 5).groupBy("id").agg(F.sum("phi").alias("total"))
+
+    class Opaque:
+        features = forest.features
+
+        def __call__(self, *args):
+            return forest(*args)
+
+    total = explain.shapley_values(Opaque(), table, ["id"], 1, 5).groupBy("id").agg(F.sum("phi").alias("total"))
     donors = explain.with_donors(table, ["id"], ["a", "b", "c"], 1, 5)
     both = forest(forest(donors), {f: F.col(f"donor_{f}") for f in "abc"}, "other")
     checked = both.join(total, "id").where(F.abs(F.col("pred") - F.col("other") - F.col("total")) > 1e-9)
     assert total.count() == 600 and checked.count() == 0
+    exact = explain.shapley_values(forest, table, ["id"]).groupBy("id").agg(F.sum("phi").alias("total"))
+    mean = forest(table).agg(F.avg("pred")).first()[0]
+    assert forest(table).join(exact, "id").where(F.abs(F.col("pred") - mean - F.col("total")) > 1e-9).count() == 0
+    assert explain.shapley_values(forest, table.where("id < 0"), ["id"]).count() == 0
+
+
+def plain_shapley(predict, rows, features):
+    """Mean over all other rows and all feature orders of the change that each feature makes."""
+    out = np.zeros((len(rows), len(features)))
+    for i, x in enumerate(rows):
+        for z in rows:
+            for order in permutations(range(len(features))):
+                mixed = list(z)
+                for j in order:
+                    before = predict(mixed)
+                    mixed[j] = x[j]
+                    out[i, j] += predict(mixed) - before
+    return out / (len(rows) * math.factorial(len(features)))
+
+
+@pytest.mark.parametrize("family,params", [("dt", {"maxDepth": 4}), ("rf", {"numTrees": 3, "maxDepth": 3}), ("gbt", {"maxIter": 3, "maxDepth": 2})])
+def test_tree_values_equal_all_orders(table, family, params):
+    few = table.where("id < 14").withColumns({"b": F.round("b"), "a": F.when(F.col("id") == 3, F.lit(0.5)).otherwise(F.round("a", 1))})
+    model = fit_family(table, ["a", "b", "c"], "y", family, **params)
+    local = sorted((r.id, r.a, r.b, r.c) for r in few.collect())
+    trees = [(v, box) for v, box in boxes.leaf_boxes(model)]
+
+    def predict(x):
+        of = dict(zip("abc", x))
+        return sum(v for v, box in trees if all(low < of[f] <= high for f, (low, high) in box.items()))
+
+    want = plain_shapley(predict, [r[1:] for r in local], "abc")
+    got = {(r.id, r.feature): r.phi for r in explain.shapley_values(model, few, ["id"]).collect()}
+    assert len(got) == 14 * 3 and np.abs(want).max() > 0.1
+    assert all(got[r[0], f] == pytest.approx(want[i, j], abs=1e-9) for i, r in enumerate(local) for j, f in enumerate("abc"))
+    for r in model(few).collect():
+        assert predict((r.a, r.b, r.c)) == pytest.approx(r.pred)
 
 
 def test_a_covariate_constant_within_stations_can_win(spark):

@@ -122,3 +122,44 @@ def test_missing_covariates_are_a_choice(spark):
     weighted = models.adversarial_weights(table, ["a", "b"], "lr", missing="skip")
     assert weighted.count() == sum(1 for r in rows if r[4] == "train" and r[0] % 10 > 1)
     assert models.fit_best(table, ["a", "b"], "y", ["id"], {"lr": {}}, folds=3, missing="skip")[1].first().score > 0.99
+
+
+def test_logistic_fits_together_equal_single_fits(spark):
+    """Every model of one call has the coefficients of a fit of its own rows."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from geoseries.operators.logistic import fit_logistic
+
+    unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000)) / 1000.0
+    rows = spark.range(900).select((F.col("id") % 3).cast("int").alias("model"), unit(1).alias("a"), (unit(2) * 50 + 7).alias("b"), unit(3).alias("u"))
+    rows = rows.withColumn("y", (F.col("u") < 1 / (1 + F.exp(-(F.col("model") + 2 * F.col("a") - F.col("b") / 30)))).cast("int")).cache()
+    fits = fit_logistic(rows, ["a", "b"], 3)
+    for k in range(3):
+        part = models.assembled(rows.where(F.col("model") == k).withColumn("y", F.col("y").cast("double")), ["a", "b"], ["y"])
+        own = LogisticRegression(labelCol="y", maxIter=500, tol=1e-14).fit(part)
+        slopes = fits.coefficients[k, 1:] / fits.scales
+        assert list(slopes) == pytest.approx(list(own.coefficients), rel=1e-3)
+        assert fits.coefficients[k, 0] - (slopes * fits.means).sum() == pytest.approx(own.intercept, rel=1e-3, abs=1e-3)
+
+
+def test_logistic_fits_end_where_classes_are_apart(spark):
+    rows = spark.range(100).select(F.lit(0).alias("model"), F.col("id").cast("double").alias("x"), (F.col("id") >= 40).cast("int").alias("y"))
+    from geoseries.operators.logistic import fit_logistic
+
+    fits = fit_logistic(rows, ["x"], 1)
+    margin = rows.select("y", *[x.alias(f"_x{i}") for i, x in enumerate(fits.inputs())]).withColumn("m", fits.margin(F.lit(0), [F.col("_x0"), F.col("_x1")]))
+    assert margin.where((F.col("m") > 0).cast("int") != F.col("y")).count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        fit_logistic(rows.withColumn("x", F.when(F.col("y") == 1, F.col("x"))), ["x"], 1)
+
+
+def test_halving_keeps_the_right_candidates(stations):
+    families = {"lr": {"regParam": [0.0, 1.0, 100.0]}, "dt": {"maxDepth": [1, 2]}}
+    scorer, table = models.fit_halving(stations, ["tp", "lai"], "soil_moisture", ["row"], families, folds=3, shrink=2)
+    rows = table.collect()
+    rounds = [[r for r in rows if r.round == i] for i in range(3)]
+    assert [len(x) for x in rounds] == [5, 3, 2] and [sum(r.survives for r in x) for x in rounds] == [3, 2, 1]
+    assert [{r.share for r in x} for x in rounds] == [{0.25}, {0.5}, {1.0}]
+    winner = next(r for r in rounds[2] if r.survives)
+    assert winner.family == "lr" and "0.0" in winner.params
+    assert models.train_r2(scorer, stations, "soil_moisture").first().r2 > 0.99
