@@ -15,11 +15,10 @@ INLINE = frozenset(
 #: What an opening tag ends, up to the nearest ancestor that confines it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CONFINES = frozenset("ul ol dl table article section div main body html nav aside footer header form blockquote".split())
-# Bounds on quoted values and attributes keep broken quotes from costing the square of a page's length; a tag
-# that exceeds them (last form) ends at its first ">".
-TAG = re.compile(
-    r"""<(?:(/?)([a-zA-Z][^\s/>]{0,99})((?:"[^"]{0,4000}"|'[^']{0,4000}'|[^'">]++){0,400}+)>|!--|[!?/]|([a-zA-Z][^\s/>]{0,99}))"""
-)
+TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+#: The rest of a tag, quoted values whole. It fails only where a quote has no partner in the rest of the page, once for each kind of
+#: quote, so all tags together cost the length of the page; such a tag ends at its first ">".
+REST = re.compile(r"""((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 TEXT = "#text"
 
@@ -71,9 +70,10 @@ def parse(page: str) -> Node:
         if m is None:
             break
         at = m.end()
-        name, attributes = (m.group(2) or m.group(4) or "").lower(), m.group(3) or ""
-        if m.group(4):
-            end = page.find(">", at)
+        name, attributes = (m.group(2) or "").lower(), ""
+        if name:
+            rest = REST.match(page, at)
+            end = rest.end() - 1 if rest else page.find(">", at)
             if end < 0:  # the page's end cuts the tag off
                 break
             attributes, at = page[at:end], end + 1
@@ -142,30 +142,52 @@ def measure(root: Node) -> None:
         node.shape = hash((node.tag, *(k.shape for k in node.kids)))
 
 
-#: Trees deeper than this are matched down to it only (recursion).
-DEPTH = 60
+def _open(a: Node, b: Node) -> bool:
+    """Whether the matching of two trees has to be worked out."""
+    return a.tag == b.tag and a.shape != b.shape and bool(a.kids) and bool(b.kids)
 
 
-def _weight(a: Node, b: Node, memo: dict, depth: int) -> int:
+def _weight(a: Node, b: Node, memo: dict) -> int:
     """Size of the largest matching of two trees that keeps order and ancestry and starts at their roots."""
     if a.tag != b.tag:
         return 0
     if a.shape == b.shape:
         return a.size
-    if not a.kids or not b.kids or depth > DEPTH:
-        return 1
-    key = (a.shape, b.shape)
-    if key not in memo:
-        memo[key] = 1 + _table(a.kids, b.kids, memo, depth)[-1][-1]
-    return memo[key]
+    return memo[a.shape, b.shape] if a.kids and b.kids else 1
+
+
+def _fill(a: Node, b: Node, memo: dict) -> None:
+    """Weights of all pairs that the matching of two trees asks for, children first; without recursion, at any depth."""
+    todo = [(a, b)] if _open(a, b) else []
+    while todo:
+        x, y = todo[-1]
+        if (x.shape, y.shape) in memo:
+            todo.pop()
+            continue
+        first, last = _ends(x.kids, y.kids)
+        xs, ys = x.kids[first : len(x.kids) - last], y.kids[first : len(y.kids) - last]
+        below = {(p.shape, q.shape): (p, q) for p in xs for q in ys if _open(p, q) and (p.shape, q.shape) not in memo}
+        if below:
+            todo.extend(below.values())
+            continue
+        memo[x.shape, y.shape] = 1 + sum(k.size for k in x.kids[:first]) + sum(k.size for k in x.kids[len(x.kids) - last :]) + _table(xs, ys, memo)[-1][-1]
+        todo.pop()
+
 
+def _ends(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
+    """Equal trees at the front and at the end of two lists: pairing them is never worse than any other choice."""
+    most = min(len(xs), len(ys))
+    first = next((k for k in range(most) if xs[k].shape != ys[k].shape), most)
+    last = next((k for k in range(most - first) if xs[-1 - k].shape != ys[-1 - k].shape), most - first)
+    return first, last
 
-def _table(xs: list[Node], ys: list[Node], memo: dict, depth: int) -> list[list[int]]:
+
+def _table(xs: list[Node], ys: list[Node], memo: dict) -> list[list[int]]:
     rows = [[0] * (len(ys) + 1)]
     for x in xs:
         above, row, best = rows[-1], [0], 0
         for k, y in enumerate(ys):
-            best = max(best, above[k + 1], above[k] + _weight(x, y, memo, depth + 1))
+            best = max(best, above[k + 1], above[k] + _weight(x, y, memo))
             row.append(best)
         rows.append(row)
     return rows
@@ -173,21 +195,28 @@ def _table(xs: list[Node], ys: list[Node], memo: dict, depth: int) -> list[list[
 
 def matched(a: Node, b: Node) -> int:
     """Number of nodes that `align` pairs."""
-    return _weight(a, b, {}, 0)
+    memo: dict = {}
+    _fill(a, b, memo)
+    return _weight(a, b, memo)
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Matched nodes of two trees by simple tree matching (equal tags, order and ancestry kept)."""
     memo: dict = {}
-    out, rest = [], [(a, b, 0)]
+    _fill(a, b, memo)
+    out, rest = [], [(a, b)]
     while rest:
-        x, y, depth = rest.pop()
+        x, y = rest.pop()
         out.append((x, y))
         if x.shape == y.shape:
-            rest.extend((p, q, depth + 1) for p, q in zip(x.kids, y.kids))
-        elif depth <= DEPTH and x.kids and y.kids:
-            rows = _table(x.kids, y.kids, memo, depth)
-            i, j = len(x.kids), len(y.kids)
+            rest.extend(zip(x.kids, y.kids))
+        elif x.kids and y.kids:
+            first, last = _ends(x.kids, y.kids)
+            rest.extend(zip(x.kids[:first], y.kids[:first]))
+            rest.extend(zip(x.kids[len(x.kids) - last :], y.kids[len(y.kids) - last :]))
+            xs, ys = x.kids[first : len(x.kids) - last], y.kids[first : len(y.kids) - last]
+            rows = _table(xs, ys, memo)
+            i, j = len(xs), len(ys)
             while i and j:
                 if rows[i][j] == rows[i - 1][j]:
                     i -= 1
@@ -195,5 +224,5 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    rest.append((x.kids[i], y.kids[j], depth + 1))
+                    rest.append((xs[i], ys[j]))
     return out

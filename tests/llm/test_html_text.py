@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import time
 
 import pytest
 
@@ -51,6 +52,26 @@ def test_matching_by_brute_force():
         assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
 
 
+def test_attributes_of_any_length():
+    """A quoted value ends at its quote, however long it is and whatever it holds; one without a partner costs no square."""
+    long = "x > y < z " * 5000
+    page = f"<article><p title=\"{long}\" data-x='<b>{long}</b>'>one</p><p {'a=1 ' * 1000}>two</p></article>"
+    assert html_text.text_of(page) == "one\n\ntwo"
+    assert html_text.text_of("<article><p>a</p>" + "<p title='>b</p>" * 20_001) is not None
+    assert html_text.text_of("<article><p>a</p><p title='x>b</p></article>") == "a\n\nb"
+
+
+def test_deep_trees_are_matched_whole():
+    """Differences below any depth are aligned, and equal neighbours of wide elements cost no table."""
+    start = time.perf_counter()
+    deep = ["<div>" * 400 + f"<p>{t}</p><ul><li>x</ul>" * n + "</div>" * 400 for t, n in (("a", 2), ("b", 3))]
+    a, b = map(dom.parse, deep)
+    assert len(dom.align(a, b)) == dom.matched(a, b) == a.size
+    wide = ["<div>" + "<section><p>t</p></section>" * 3000 + extra + "<aside>u</aside>" * 3000 + "</div>" for extra in ("", "<ul><li>v</ul>")]
+    a, b = map(dom.parse, wide)
+    assert len(dom.align(a, b)) == a.size and time.perf_counter() - start < 20
+
+
 @pytest.fixture
 def pages(spark):
     return lambda rows: spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string").repartition(3)
