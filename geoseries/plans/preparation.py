@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoseries.functions.calendar import day_number, month_indicators, previous_day, year_doy_date
 from geoseries.functions.values import null_sentinel
 from geoseries.operators.clean import mask_quality, scale
-from geoseries.operators.grid import Axis, depth_mean, extract_points, grid_average, regrid_bilinear
+from geoseries.operators.grid import Axis, climatology_depths, depth_mean, extract_points, grid_average, regrid_bilinear
 from geoseries.operators.metrics import standardize
 from geoseries.operators.series import fill_days, interpolate_linear, resample_daily, rolling_sum, sequence_windows, upsample_daily
 from geoseries.operators.splits import dedup_groups
@@ -46,16 +46,29 @@ def instantaneous(hourly: DataFrame, cols: Sequence[str], by: Sequence[str] = CE
 
 
 def land_surface(
-    hourly: DataFrame, factors: Mapping[str, float], source: tuple[Axis, Axis], target: tuple[Axis, Axis], time: str = "time"
+    hourly: DataFrame, factors: Mapping[str, float], source: tuple[Axis, Axis], target: tuple[Axis, Axis], time: str = "time", order: str = "ref"
 ) -> DataFrame:
     """Daily means on the target grid, scaled to volumetric units.
 
-    Days are averaged before regridding: both steps are linear, so the result is the same
-    where no sample is missing, and one field per day is regridded instead of one per hour.
+    `order="ref"` regrids every moment and averages days after it, so an hour in which a corner is missing is left out of the
+    day's mean. `order="days"` averages first and regrids one field a day instead of one an hour: the same where no sample is missing.
     """
-    daily = resample_daily(hourly, CELL, time, list(factors), drop_empty=False, name="time")
-    regridded = regrid_bilinear(daily, *source, *target, list(factors))
-    return scale(regridded, factors)
+    cols = list(factors)
+    if order == "days":
+        daily = resample_daily(hourly, CELL, time, cols, drop_empty=False, name="time")
+        return scale(regrid_bilinear(daily, *source, *target, cols), factors)
+    if order != "ref":
+        raise ValueError("order must be 'ref' or 'days'")
+    regridded = regrid_bilinear(hourly, *source, *target, cols, by=[time])
+    return scale(resample_daily(regridded, CELL, time, cols, drop_empty=False, name="time"), factors)
+
+
+def regridded_depths(
+    product: DataFrame, col: str, layers: Mapping[str, Sequence[int]], source: tuple[Axis, Axis], target: tuple[Axis, Axis], part: str, time: str = "time"
+) -> DataFrame:
+    """Calendar means per layer of a product with many depths, brought to the target grid depth by depth first."""
+    regridded = regrid_bilinear(product, *source, *target, [col], by=[time, "depth"])
+    return climatology_depths(regridded, time, col, "depth", layers, CELL, part)
 
 
 def leaf_area(
@@ -72,12 +85,12 @@ def soil_profile_mean(
     sentinels: Mapping[str, float],
     source: tuple[Axis, Axis],
     target: tuple[Axis, Axis],
-    order: str = "clean",
+    order: str = "ref",
 ) -> DataFrame:
     """Depth means of soil properties on the target grid.
 
-    `order="clean"` removes the missing markers before interpolating; `order="ref"` after,
-    so that cells blended from a marker and a value survive.
+    `order="ref"` removes the missing markers after interpolating, so that cells blended from a marker and a value survive;
+    `order="clean"` before it.
     """
     cols = list(sentinels)
     if order == "clean":

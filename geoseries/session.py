@@ -26,13 +26,17 @@ def build_session(app: str = "geoseries", master: str | None = None, **settings:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Where that is unset, a folder inside the warehouse, which all executors share too.
+    Where that is unset, a folder inside the warehouse, which all executors share too. On a cluster a warehouse in a folder of
+    the driver's machine is refused.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not context.master.startswith("local") and warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    folder = f"{warehouse.rstrip('/')}/_shared"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["scans", "timeseries", "grids", "scores", "comparisons", "learning"]
+PARTS = ["scans", "timeseries", "grids", "scores", "comparisons", "jobs", "learning"]
 
 
 def load():

@@ -116,7 +116,7 @@ def test_soil_profile_orders_differ(spark):
     soil = spark.createDataFrame(data, "depth int, lat_i long, lon_i long, BD double")
     src = (Axis(0.0, 1.0, 2), Axis(0.0, 1.0, 2))
     new = (Axis(0.5, 1.0, 1), Axis(0.5, 1.0, 1))
-    clean = preparation.soil_profile_mean(soil, {"BD": -999.0}, src, new).first()
+    clean = preparation.soil_profile_mean(soil, {"BD": -999.0}, src, new, order="clean").first()
     ref = preparation.soil_profile_mean(soil, {"BD": -999.0}, src, new, order="ref").first()
     assert clean.BD is None and ref.BD == pytest.approx((-999 + 6) / 4)
 
