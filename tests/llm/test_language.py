@@ -54,6 +54,13 @@ def test_tables(spark, docs):
     assert language.draw_samples(language.learned_rows(docs(rows)))["en"] == ["the dog"] * 3
 
 
+def test_every_language_is_learned(spark):
+    """Languages of long texts only, and any number of languages."""
+    rows = [(i, f"w{i % 300} " * 30, f"l{i % 300}") for i in range(600)] + [(1000 + i, "lang und weit " * 10_000, "long") for i in range(3)]
+    drawn = language.draw_samples(spark.createDataFrame(rows, "id long, text string, lang string"), 5_000)
+    assert len(drawn) == 301 and 5_000 <= sum(map(len, drawn["long"])) <= 10_000
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf_dir):
     got = suite.QUERIES["op9_language"](spark, sf_dir).collect()
