@@ -44,16 +44,6 @@ def has_boxes(scorer) -> bool:
     return kind in ("DecisionTreeRegressionModel", "RandomForestRegressionModel", "GBTRegressionModel")
 
 
-def _number(x: float) -> str:
-    return f"double('{'-' if x < 0 else ''}Infinity')" if math.isinf(x) else f"{x!r}D"
-
-
-def _pattern(box: dict[str, tuple[float, float]]) -> str:
-    """SQL of the bits of the intervals that a row satisfies."""
-    bits = [f"if(`{f}` > {_number(low)} and `{f}` <= {_number(high)}, {1 << i}, 0)" for i, (f, (low, high)) in enumerate(box.items())]
-    return " + ".join(bits) or "0"
-
-
 def leaf_shares(value: float, size: int, chance: np.ndarray) -> np.ndarray:
     """Shapley values of a leaf's intervals for a row of each pattern (2^size x size), others showing patterns by `chance`.
 
@@ -77,30 +67,47 @@ def leaf_shares(value: float, size: int, chance: np.ndarray) -> np.ndarray:
 def tree_shapley(scorer, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`keys`, `feature`, `phi`: exact values against the whole table, for each row of it.
 
-    Two passes: one counts patterns, one adds up the entries of each row. The entries number leaves x 2^features on a leaf's
-    path, which the model bounds, not the data. Their sum over features is the prediction less the mean prediction.
+    Two passes: one counts patterns, one adds up the entries of each row. The leaves and their 2^features entries come from the
+    model and do not grow with the data; each row meets all leaves narrowly and is summed up in its own task. The values of a row
+    add up to its prediction less the mean prediction.
     """
-    spark, features = df.sparkSession, list(scorer.features)
+    spark, features, names = df.sparkSession, list(scorer.features), list(dict.fromkeys(keys))
     leaves = [(v, box) for v, box in leaf_boxes(scorer) if box]
-    names = list(dict.fromkeys(keys))
-    # Bits are computed on doubles under names of their own, so keys may be features too.
-    rows = df.select(*names, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
-    boxed = [(v, {f"_x_{f}": ends for f, ends in box.items()}) for v, box in leaves]
-    starts = np.concatenate([[0], np.cumsum([1 << len(box) for _, box in boxed])]).astype(int)
-    codes = [f"{start} + {_pattern(box)}" for start, (_, box) in zip(starts, boxed)]
-    coded = rows.select(*names, F.expr(f"array({', '.join(codes)})").alias("_codes") if codes else F.array().cast("array<int>").alias("_codes"))
+    starts = np.concatenate([[0], np.cumsum([1 << len(box) for _, box in leaves])]).astype(int)
+    slots = max((len(box) for _, box in leaves), default=0)
+
+    def padded(values: list, filler) -> list:
+        return values + [filler] * (slots - len(values))
+
+    described = [
+        (
+            int(start), padded([features.index(f) for f in box], 0), padded([float(low) for low, _ in box.values()], -math.inf),
+            padded([float(high) for _, high in box.values()], math.inf), padded([1 << i for i in range(len(box))], 0),
+        )
+        for start, (_, box) in zip(starts, leaves)
+    ]
+    kind = "leaves array<struct<start:int,f:array<int>,low:array<double>,high:array<double>,bit:array<int>>>"
+    every = spark.createDataFrame([(described,)], kind).scalar()
+    rows = df.select(*names, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), F.monotonically_increasing_id().alias("_row"))
+    met = rows.withColumn("_leaves", every).select(*names, "_row", "_x", F.explode("_leaves").alias("_leaf"))
+
+    def inside(k: int):
+        x = F.get("_x", F.get("_leaf.f", F.lit(k)))
+        return F.when((x > F.get("_leaf.low", F.lit(k))) & (x <= F.get("_leaf.high", F.lit(k))), F.get("_leaf.bit", F.lit(k))).otherwise(0)
+
+    coded = met.select(*names, "_row", sum((inside(k) for k in range(slots)), F.col("_leaf.start")).alias("_code"))
     counts = np.zeros(int(starts[-1]))
-    for code, n in coded.select(F.explode("_codes").alias("code")).groupBy("code").count().collect():  # a row for each entry
+    for code, n in coded.groupBy("_code").count().collect():  # a row for each entry
         counts[code] = n
     table = np.zeros((len(features), len(counts)))
-    for start, end, (value, box) in zip(starts, starts[1:], boxed):
-        total = counts[start:end].sum()
-        shares = leaf_shares(value, len(box), counts[start:end] / max(total, 1))
+    for start, end, (value, box) in zip(starts, starts[1:], leaves):
+        shares = leaf_shares(value, len(box), counts[start:end] / max(counts[start:end].sum(), 1))
         for i, f in enumerate(box):
-            table[features.index(f[3:]), start:end] += shares[:, i]
-    one = spark.createDataFrame([(table.tolist(),)], "t array<array<double>>").scalar()
-    entered = coded.withColumn("_t", one)
-    uses = {f: [k for k, (_, box) in enumerate(leaves) if f in box] for f in features}
-    sums = {f: " + ".join(f"_t[{i}][_codes[{k}]]" for k in uses[f]) or "0D" for i, f in enumerate(features)}
-    parts = ", ".join(f"struct('{f}' as feature, {total} as phi)" for f, total in sums.items())
-    return entered.select(*names, F.expr(f"inline(array({parts}))"))
+            table[features.index(f), start:end] += shares[:, i]
+    entries = spark.createDataFrame([(table.T.tolist(),)], "t array<array<double>>").scalar()
+    own = coded.withColumn("_t", entries).select(*names, "_row", F.get("_t", F.col("_code")).alias("_own"))
+    sums = own.groupBy("_row", *names).agg(*[F.sum(F.get("_own", F.lit(i))).alias(f"_s{i}") for i in range(len(features))])
+    if not leaves:  # trees without a split
+        sums = rows.select(*names, *[F.lit(0.0).alias(f"_s{i}") for i in range(len(features))])
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_s{i}").alias("phi")) for i, f in enumerate(features)])
+    return sums.select(*names, F.inline(each))

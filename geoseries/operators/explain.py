@@ -179,12 +179,18 @@ def permutation_importance(
 def permutation_scores(
     score, df: DataFrame, keys: Sequence[str], label: str, repeats: int = 5, seed: object = 2023, by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per feature and repeat: baseline r2 minus permuted r2."""
+    """One row per feature and repeat: baseline r2 minus permuted r2.
+
+    Each row is scored once for every feature, beside one another, so rows are not repeated for features.
+    """
     by, features = list(by), list(score.features)
     base = score(df).groupBy(*by).agg(r2(label, "pred").alias("_base"))
-    rows = _each_feature(with_donors(df, keys, features, repeats, seed, by), features)
-    inputs = {f: F.when(F.col("feature") == f, F.col(f"donor_{f}")).otherwise(F.col(f)) for f in features}
-    permuted = score(rows, inputs).groupBy(*by, "feature", "repeat").agg(r2(label, "pred").alias("_r2"))
+    rows = with_donors(df.select(*dict.fromkeys([*by, *keys, *features, label])), keys, features, repeats, seed, by)
+    for i, f in enumerate(features):
+        rows = score(rows, {f: F.col(f"donor_{f}")}, f"_p{i}")
+    permuted = rows.groupBy(*by, "repeat").agg(*[r2(label, f"_p{i}").alias(f"_r{i}") for i in range(len(features))])
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_r{i}").alias("_r2")) for i, f in enumerate(features)])
+    permuted = permuted.select(*by, "repeat", F.inline(each))
     if by:
         joined = permuted.join(base, by)
     else:
