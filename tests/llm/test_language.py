@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -45,6 +47,41 @@ def test_predictions():
     assert language.Model({}).predict(["abc"]) == [("und", 0.0)]
 
 
+def plain_symbols(text):
+    """Letters as they are, one blank for every run of other characters between letters."""
+    return list(" ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()))
+
+
+def plain_predict(samples, text):
+    """The definition: phrases found by searching substrings, bits per character, the smallest wins."""
+    own = plain_symbols(text)
+    if not own:
+        return "und", 0.0
+    bits = {}
+    for name in sorted(samples):
+        sample = [c for t in samples[name] for c in [*plain_symbols(t), " "]]
+        joined, at, phrases = "".join(sample), 0, 0
+        while at < len(own):
+            size = 1
+            while at + size < len(own) and "".join(own[at : at + size + 1]) in joined:
+                size += 1
+            at, phrases = at + size, phrases + 1
+        bits[name] = phrases * math.log2(max(len(sample), 2)) / len(own)
+    best = min(sorted(bits), key=bits.get)
+    return best, 1 / sum(2 ** (-language.SHARPNESS * (b - bits[best])) for b in bits.values())
+
+
+def test_predictions_equal_the_definition():
+    rng = random.Random(6)
+    words = [w for texts in TEXTS.values() for t in texts for w in t.split()] + ["zzz", "日本", "42", "don't", "Æ"]
+    samples = {"en": TEXTS["en"][:1], "de": TEXTS["de"][:1], "el": TEXTS["el"], "none": [""]}
+    model = language.Model(samples)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(120)] + ["", " 1 ", "ß", "the" * 200]
+    for text, (name, score) in zip(texts, model.predict(texts), strict=True):
+        want, share = plain_predict(samples, text)
+        assert name == want and score == pytest.approx(share)
+
+
 def test_tables(spark, docs):
     rows = [(1, None), (None, "the dog"), (2, "the dog"), (2, "the dog"), (3, "")]
     got = language.identify(docs(rows), TEXTS).collect()
