@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -53,3 +54,36 @@ def test_held_out_accuracy(spark, sf_dir):
     held = [(got[r.doc_id].predicted, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if got[r.doc_id].held_out]
     assert np.mean([a == b for a, b in held]) > 0.95
     assert np.mean([a == 0 for a, b in held if b == 0]) > 0.85
+
+
+def plain_features(text):
+    """The same features byte by byte and word by word."""
+    raw = list(text.encode())
+    if not raw:
+        return [0.0] * quality.WIDTH
+    pairs = [0] * quality.PAIRS
+    for a, b in zip(raw, raw[1:]):
+        pairs[((a * 256 + b) * 2654435761 % 2**32) >> 24] += 1
+    share = lambda fits: sum(map(fits, raw)) / len(raw)
+    words = text.split()
+    n, same = max(1, len(words)), sum(a == b for a, b in zip(words, words[1:]))
+    distinct = set(words)
+    shapes = [
+        share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b <= 57),
+        share(lambda b: 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127), share(lambda b: b == 10), share(lambda b: b > 127),
+        same / n, math.sqrt(same / n), len(distinct) / n, len(distinct) / n**0.8, max([words.count(w) for w in distinct], default=0) / n,
+        min(30, sum(map(len, distinct)) / max(1, len(distinct))) / 10, math.log1p(n) / 10,
+    ]
+    return [math.sqrt(c / max(1, len(raw) - 1)) for c in pairs] + shapes
+
+
+def test_scores_equal_the_definition():
+    texts = ["", "a", "One two two THREE 4 5!", "é ß\n\n日本 x_y {z}", "same " * 50, "the quick brown fox, again and again.\nNext line 77"]
+    rows = np.stack([quality.features(t) for t in texts])
+    for text, row in zip(texts, rows):
+        assert row.tolist() == pytest.approx(plain_features(text), rel=1e-5, abs=1e-7)
+    rng = np.random.default_rng(8)
+    model = quality.fit(rng.normal(1, 1, (300, quality.WIDTH)).astype(np.float32), rng.normal(0, 1, (500, quality.WIDTH)).astype(np.float32), 0.4)
+    for row, got in zip(rows, model.probability(rows), strict=True):
+        score = model.bias + sum(w * max(-8, min(8, (x - m) / s)) for w, x, m, s in zip(model.weights, row, model.mean, model.scale))
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, score)))), rel=1e-4)

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -80,3 +82,28 @@ def test_held_out(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.severity <= 3 for i, r in got.items())
     held = [(got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if got[r.doc_id].held_out]
     assert np.mean([p for p, y in held if y]) > 0.85 and np.mean([p for p, y in held if not y]) < 0.01
+
+
+def plain_above(model, text):
+    """P(grade > k) by the definition, word by word."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    counts = {}
+    for word in words:
+        for feature in [word] + ["^" + word[:n] for n in (5, 7) if len(word) > n]:
+            slot = zlib.crc32(feature.encode()) % toxicity.SLOTS
+            counts[slot] = counts.get(slot, 0) + 1
+    known = model.slots.tolist()
+    marks = sum(counts.get(s, 0) for s in known)
+    score = sum(model.weights[i] * math.log1p(counts[s]) for i, s in enumerate(known) if s in counts)
+    score += model.weights[-3] * math.log1p(marks) + model.weights[-2] * 20 * marks / max(len(words), 1) + model.weights[-1] * math.log1p(len(words)) / 10
+    return [1 / (1 + math.exp(-max(-30, min(30, score - t)))) for t in model.thresholds]
+
+
+def test_scores_equal_the_definition():
+    known = {}
+    rude, texts = sample(3)
+    model = toxicity.fit([(*toxicity.counts_of(t, known), int(r > 0)) for r, t in zip(rude, texts)])
+    texts = texts[:40] + ["", "1 2 3", "SCOUNDREL!", "Scoundrels, scoundrel-like; ärger", "bridge " * 300 + "scoundrel"]
+    above = model.above([model.vector(*toxicity.counts_of(t, {})) for t in texts])
+    for text, got in zip(texts, above, strict=True):
+        assert got.tolist() == pytest.approx(plain_above(model, text))
