@@ -49,12 +49,15 @@ def balanced_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str | Column
 
 
 def with_balanced_chunks(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rows: int = CHUNK_ROWS) -> DataFrame:
-    """`df` with `_chunk`, the number of cuts of the row's group at or below its order key, found by halving."""
+    """`df` with `_chunk`, the number of cuts of the row's group at or below its order key, found by halving.
+
+    The cuts go to all tasks, one key for about `rows` rows: a join by the group would bring each group into one task.
+    """
     cuts = balanced_cuts(df, by, order, rows)
     top = F.floor(F.log2(F.size("_cuts"))).cast("int")
     cuts = cuts.withColumn("_steps", F.transform(F.sequence(F.lit(0), top), lambda i: F.pow(F.lit(2), top - i).cast("int")))
     if by:
-        joined = df.join(cuts, list(by), "left")
+        joined = df.join(F.broadcast(cuts), list(by), "left")
     else:
         joined = df.withColumn("_all", cuts.select(F.struct("_cuts", "_steps")).scalar()).select(*df.columns, "_all.*")
     key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_columns(order))])

@@ -172,3 +172,17 @@ def test_folds_are_balanced_within_labels(spark):
     df = spark.range(101).withColumn("label", (F.col("id") < 20).cast("int"))
     sizes = stratified_folds(df, "label", ["id"], 5, 1).groupBy("label", "fold").count().collect()
     assert {(r.label, r["count"]) for r in sizes} == {(1, 4), (0, 16), (0, 17)}
+
+
+@pytest.mark.parametrize("kind", ["cuts", "sketches"])
+def test_no_group_is_brought_into_one_task(spark, kind):
+    """Cuts and sketches go to the rows, whatever the planner guesses about their size."""
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), F.col("id").alias("_v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = with_balanced_chunks(df, ["g"], ["_v"], 100) if kind == "cuts" else quantiles._bracketed(df, ["g"], [0.5], 0.01, 100)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
