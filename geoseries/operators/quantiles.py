@@ -12,6 +12,8 @@ from geoseries.session import stable
 
 #: Relative rank error of the sketch is one over this; groups of up to `WHOLE` times as many rows are sorted whole.
 ACCURACY, WHOLE = 1000, 4
+#: Groups up to which the sketches go to all tasks; a join by the group would bring each group into one task.
+FEW_GROUPS = 100_000
 
 
 def _bracketed(values: DataFrame, by: list[str], probs: Sequence[float], spread: float, accuracy: int) -> DataFrame:
@@ -23,7 +25,8 @@ def _bracketed(values: DataFrame, by: list[str], probs: Sequence[float], spread:
     ends = [min(max(p + d, 0.0), 1.0) for d in (-spread, spread) for p in probs]
     sketch = values.groupBy(*by).agg(F.percentile_approx("_v", ends, accuracy).alias("_q"), F.count(F.lit(1)).alias("_n"))
     if by:
-        joined = values.join(sketch, by)
+        sketch = stable(sketch)
+        joined = values.join(F.broadcast(sketch) if sketch.count() <= FEW_GROUPS else sketch, by)
     else:
         joined = values.withColumn("_s", sketch.select(F.struct("*")).scalar()).select("_v", "_s.*")
     whole = F.col("_n") <= WHOLE * accuracy
