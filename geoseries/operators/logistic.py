@@ -1,22 +1,27 @@
 """Many logistic regressions on one table: every step of all of them is one pass over the rows.
 
-Iteratively reweighted least squares needs, for each model, the gradient and the Hessian of its likelihood: sums over rows that
-are grouped by model. Rows are repeated, narrowly, for the models that learn from them; the sums of all models are one aggregate,
-and only the small systems of equations are solved on the driver. So the seeds and folds of a sweep cost as many passes as
-one fit.
+Iteratively reweighted least squares needs, for each model, the gradient and the Hessian of its likelihood. A block of rows meets
+all models that learn from it in a few matrix products, in its own task; the blocks' sums of all models are one aggregate, and only
+the small systems of equations are solved on the driver. So the seeds and folds of a sweep cost as many passes as one fit, and no
+row is repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoseries.session import scratch_path
+
 #: Passes at most, largest change of a coefficient at the end, and the largest one taken at once (of standardised features).
 STEPS, TOLERANCE, REACH = 25, 1e-9, 8.0
+#: Rows times groups of a block, about: few enough for a processor's cache.
+BLOCK = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -50,36 +55,84 @@ def _standard(rows: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.
     return means, np.where(scales > 0, scales, 1.0)
 
 
-def fit_logistic(rows: DataFrame, features: Sequence[str], models: int, scales: tuple[np.ndarray, np.ndarray] | None = None) -> LogisticFits:
-    """`models` regressions of `y` (0 or 1) on the features; a row of `rows` is learned from by the model whose number is in `model`.
-
-    `rows` are read once for each step, `STEPS` at most, and once more for the `scales` (means and deviations) if these are not
-    given. Where the classes can be separated, the coefficients stop growing there; predicted classes do not change any more.
-    """
-    means, deviations = scales or _standard(rows, features)
-    fits = LogisticFits(list(features), means, deviations, np.zeros((models, len(features) + 1)))
+def _arrays(batch, features: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First group, features, labels and folds of a batch, for the rows of each first group."""
+    x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features], 1)
+    of = batch.column("_of").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    first = batch.column("_first").to_numpy(zero_copy_only=False)
+    for number in np.unique(first):
+        rows = first == number
+        for part in np.array_split(np.flatnonzero(rows), max(1, rows.sum() * of.shape[1] // BLOCK)):
+            yield int(number), x[part], of[part] & 1, of[part] >> 1
+
+
+def _summed(rows: DataFrame, fits: LogisticFits, k: int, width: int, sums) -> list:
+    """(model, rows, sums) of each model: `sums` adds up a block of rows in its task, the blocks' sums are one aggregate."""
+    features, means, scales, coefficients = list(fits.features), fits.means, fits.scales, fits.coefficients
+    names = [f"_s{i}" for i in range(width)]
+
+    def block_sums(batches):
+        total = np.zeros((len(coefficients), width))
+        for batch in batches:
+            if batch.num_rows:
+                for first, x, y, fold in _arrays(batch, features):
+                    own = slice(first * k, (first + y.shape[1]) * k)
+                    inputs = np.column_stack([np.ones(len(x)), (x - means) / scales])
+                    with np.errstate(over="ignore"):
+                        total[own] += sums(inputs, inputs @ coefficients[own].T, y, fold)
+        seen = np.flatnonzero(total[:, 0])
+        columns = [pa.array(seen.astype(np.int32)), *(pa.array(c) for c in total[seen].T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["model", *names])
+
+    kind = "model int, " + ", ".join(f"{n} double" for n in names)
+    return rows.mapInArrow(block_sums, kind).groupBy("model").agg(*[F.sum(n) for n in names]).collect()  # a row for each model
+
+
+def _learn(rows: DataFrame, features: Sequence[str], groups: int, k: int, scales: tuple[np.ndarray, np.ndarray]) -> LogisticFits:
+    """`groups` x `k` regressions: a row is learned from by the models of its groups, but for that of its own fold."""
     size = len(features) + 1
+    fits = LogisticFits(list(features), *scales, np.zeros((groups * k, size)))
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    xs = [F.col(f"_x{i}") for i in range(size)]
-    rows = rows.select("model", "y", *[x.alias(f"_x{i}") for i, x in enumerate(fits.inputs())])
+    left, right = ([p[side] for p in pairs] for side in (0, 1))
+
+    def sums(x, margin, y, fold):
+        learned = fold[:, :, None] != np.arange(k, dtype=fold.dtype)
+        p = (1.0 / (1.0 + np.exp(-margin))).reshape(learned.shape)
+        rest = (y[:, :, None] - p) * learned
+        p *= learned  # p (1 - p) of the rows learned from, 0 of the others
+        flat = lambda a: a.reshape(len(x), -1).T
+        return np.column_stack([np.count_nonzero(flat(learned), 1), flat(rest) @ x, flat(p * (1 - p)) @ (x[:, left] * x[:, right])])
+
     for _ in range(STEPS):
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-fits.margin(F.col("model"), xs)))
-        weighed = rows.withColumn("_p", p).withColumns({"_r": F.col("y") - F.col("_p"), "_w": F.col("_p") * (1 - F.col("_p"))})
-        sums = [F.sum(F.col("_r") * x) for x in xs] + [F.sum(F.col("_w") * xs[i] * xs[j]) for i, j in pairs]
-        found = weighed.groupBy("model").agg(F.count(F.lit(1)), *sums).collect()  # a row for each model
         steps = np.zeros_like(fits.coefficients)
-        for row in found:
+        for row in _summed(rows, fits, k, 1 + size + len(pairs), sums):
             slope, curve = np.array(row[2 : 2 + size]), np.zeros((size, size))
             for (i, j), value in zip(pairs, row[2 + size :]):
                 curve[i, j] = curve[j, i] = value
             step = np.linalg.solve(curve + np.eye(size) * 1e-10 * (1 + row[1]), slope)
             steps[row[0]] = step * min(1.0, REACH / max(np.abs(step).max(), 1e-300))
-        fits = LogisticFits(fits.features, means, deviations, fits.coefficients + steps)
+        fits = replace(fits, coefficients=fits.coefficients + steps)
         if np.abs(steps).max(initial=0.0) < TOLERANCE or np.abs(fits.coefficients).max(initial=0.0) > 4 * REACH:
             break
     return fits
 
 
+def _coded(y: Column, fold: Column) -> Column:
+    """Label and fold of a row in one small number."""
+    return (fold.cast("int") * 2 + y.cast("int")).cast("smallint")
+
+
+def fit_logistic(rows: DataFrame, features: Sequence[str], models: int, scales: tuple[np.ndarray, np.ndarray] | None = None) -> LogisticFits:
+    """`models` regressions of `y` (0 or 1) on the features; a row of `rows` is learned from by the model whose number is in `model`.
+
+    `rows` are read once for each step, `STEPS` at most, and once more for the `scales` (means and deviations) if these are not
+    given. Where the classes can be separated, the coefficients stop growing there; predicted classes do not change any more.
+    """
+    own = F.array(_coded(F.col("y"), F.lit(-1))).alias("_of")
+    coded = rows.select(*[F.col(f).cast("double") for f in features], F.col("model").cast("int").alias("_first"), own)
+    return _learn(coded, features, models, 1, scales or _standard(rows, features))
+
+
 def cross_accuracy(
     rows: DataFrame, features: Sequence[str], labels: Column, folds: Column, groups: int, k: int, first: Column | None = None
 ) -> list[tuple[int, int, float]]:
@@ -89,18 +142,17 @@ def cross_accuracy(
     """
     features = list(dict.fromkeys(features))
     number = F.lit(0) if first is None else first
-    rows = rows.select(*features, number.cast("int").alias("_first"), F.arrays_zip(labels.alias("y"), folds.alias("fold")).alias("_of")).persist()
-    try:
-        scales = _standard(rows, features)
-        each = rows.select(*features, "_first", F.posexplode("_of").alias("_k", "_own")).select(
-            *features, (F.col("_first") + F.col("_k")).alias("group"), F.col("_own.y").alias("y"), F.col("_own.fold").alias("fold")
-        )
-        model = F.col("group") * k
-        others = each.withColumn("_f", F.explode(F.array(*map(F.lit, range(k))))).where("_f <> fold")
-        fits = fit_logistic(others.select(*features, (model + F.col("_f")).alias("model"), "y"), features, groups * k, scales)
-        held = each.select((model + F.col("fold")).alias("model"), "y", *[x.alias(f"_x{i}") for i, x in enumerate(fits.inputs())])
-        right = (fits.margin(F.col("model"), [F.col(f"_x{i}") for i in range(len(features) + 1)]) > 0).cast("int") == F.col("y")
-        found = held.groupBy("model").agg(F.avg(right.cast("double"))).collect()  # a row for each group and fold
-        return sorted((model // k, model % k, share) for model, share in found)
-    finally:
-        rows.unpersist()
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    rows = rows.select(*values, number.cast("int").alias("_first"), F.zip_with(labels, folds, _coded).alias("_of"))
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "fits")
+    rows.where(F.col("_first").isNotNull()).write.parquet(path)  # read in each step, in as many tasks as its size asks for
+    rows = spark.read.parquet(path)
+    fits = _learn(rows, features, groups, k, _standard(rows, features))
+
+    def sums(x, margin, y, fold):
+        held = (fold[:, :, None] == np.arange(k, dtype=fold.dtype)).reshape(margin.shape)
+        right = held & ((margin > 0) == np.repeat(y, k, 1))
+        return np.column_stack([held.sum(0), right.sum(0)])
+
+    found = _summed(rows, fits, k, 2, sums)
+    return sorted((model // k, model % k, right / n) for model, n, right in found)

@@ -342,6 +342,7 @@ def _sweep_together(used, station, features, keys, seeds, layer, layers, k, test
     """(layer, seed, mean accuracy over folds) of logistic fits."""
     number = F.coalesce(*[F.when(F.col(layer) == name, i) for i, name in enumerate(layers)]) if layer else F.lit(0)
     used = used.withColumn("_layer", number.cast("int"))
+    spread = used.hint("rebalance")  # a file of one row group would be hashed and learned from in one task
     every = used.select("_layer", station).distinct().withColumn("_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     hashed = every.withColumn("_h", F.md5(F.concat_ws(":", F.col("_seed").cast("string"), F.col(station).cast("string"))))
     ranked = chunked_rank(hashed, ["_layer", "_seed"], ["_h"], None, "_rn", "_n")
@@ -350,8 +351,10 @@ def _sweep_together(used, station, features, keys, seeds, layer, layers, k, test
     limits = F.array(*[F.array(*[F.lit(limit.get((i, s), "")) for s in seeds]) for i in range(len(layers))])
     own = F.get(limits, F.col("_layer"))
     held = F.array(*[(row_hash(s, station) <= own[i]).cast("int") for i, s in enumerate(seeds)])
-    fold = F.array(*[F.conv(F.substring(row_hash(f"{s}:fold", *keys), 1, 8), 16, 10).cast("long") % k for s in seeds]).cast("array<int>")
-    found = cross_accuracy(used, features, held, fold, len(layers) * len(seeds), k, F.col("_layer") * len(seeds))
+    texts = [F.col(c).cast("string") for c in keys]  # joined once for all seeds; no part where all are null
+    spread = spread.withColumn("_id", F.when(F.coalesce(*texts).isNotNull(), F.concat_ws(":", *texts)))
+    fold = F.array(*[F.conv(F.substring(row_hash(f"{s}:fold", "_id"), 1, 8), 16, 10).cast("long") % k for s in seeds]).cast("array<int>")
+    found = cross_accuracy(spread, features, held, fold, len(layers) * len(seeds), k, F.col("_layer") * len(seeds))
     means = {}
     for group, _, share in found:
         means.setdefault(group, []).append(share)

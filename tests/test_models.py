@@ -163,3 +163,16 @@ def test_halving_keeps_the_right_candidates(stations):
     winner = next(r for r in rounds[2] if r.survives)
     assert winner.family == "lr" and "0.0" in winner.params
     assert models.train_r2(scorer, stations, "soil_moisture").first().r2 > 0.99
+
+
+def test_rows_are_not_repeated_for_the_models_of_a_sweep(spark, monkeypatch):
+    """All folds of all seeds meet a row in its task: as many rows go into the sums as the table has."""
+    from geoseries.operators import logistic
+
+    plans = []
+    summed = logistic._summed
+    monkeypatch.setattr(logistic, "_summed", lambda rows, *rest: plans.append(rows.count()) or summed(rows, *rest))
+    df = spark.range(200).select("id", (F.col("id") % 10).alias("s"), (F.col("id") % 7).cast("double").alias("x"))
+    got = {r.seed: r.accuracy for r in models.seed_sweep(df, "s", ["x"], ["id"], [1, 2, 3], k=4).collect()}
+    assert set(got) == {1, 2, 3} and all(0.5 < a <= 1 for a in got.values())
+    assert set(plans) == {200}
