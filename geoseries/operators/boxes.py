@@ -9,11 +9,16 @@ and a row's values are sums of one table entry for each leaf. Nothing is drawn,
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+#: Rows that meet all leaves at a time.
+BLOCK = 1024
 
 
 def leaf_boxes(scorer) -> list[tuple[float, dict[str, tuple[float, float]]]]:
@@ -64,50 +69,137 @@ def leaf_shares(value: float, size: int, chance: np.ndarray) -> np.ndarray:
     return value * (per * (possible * chance[None, :])[..., None]).sum(1)
 
 
+class Leaves:
+    """The boxes of a model's leaves as arrays: blocks of rows meet all of them at once, in their own task."""
+
+    def __init__(self, scorer) -> None:
+        self.features = list(scorer.features)
+        boxes = leaf_boxes(scorer)
+        self.constant = sum(v for v, box in boxes if not box)  # trees without a split
+        self.boxes = [(v, box) for v, box in boxes if box]
+        self.values = np.array([v for v, _ in self.boxes], float)
+        self.starts = np.concatenate([[0], np.cumsum([1 << len(box) for _, box in self.boxes])]).astype(np.int32)
+        self.full = np.array([(1 << len(box)) - 1 for _, box in self.boxes], np.int32)
+        self.bits = [np.array([1 << list(box).index(f) if f in box else 0 for _, box in self.boxes], np.int32) for f in self.features]
+        self.edges, self.codes = [], []
+        for i, f in enumerate(self.features):
+            ends = [box.get(f, (-math.inf, math.inf)) for _, box in self.boxes]
+            edges = np.array(sorted({e for pair in ends for e in pair if math.isfinite(e)}))
+            bins = np.arange(len(edges) + 1)[:, None]
+            low = np.array([np.searchsorted(edges, a) if a > -math.inf else -1 for a, _ in ends], int)
+            high = np.array([np.searchsorted(edges, z) if z < math.inf else len(edges) for _, z in ends], int)
+            inside = np.where((bins > low) & (bins <= high), self.bits[i], 0)
+            self.edges.append(edges)
+            self.codes.append(np.vstack([inside, np.zeros((1, len(self.boxes)))]).astype(np.int32))  # missing: in no interval
+
+    def columns(self) -> list:
+        return [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)]
+
+    def satisfied(self, i: int, x: np.ndarray) -> np.ndarray:
+        """Bit of feature `i` at each leaf whose interval holds x (values x leaves)."""
+        at = np.searchsorted(self.edges[i], x, side="left")
+        return self.codes[i][np.where(np.isnan(x), len(self.edges[i]) + 1, at)]
+
+    def blocks(self, batch, missing: bool):
+        """(first row, patterns) of blocks of a batch; missing values end the job unless they are allowed."""
+        x = [batch.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(self.features))]
+        if not missing and any(np.isnan(v).any() for v in x):
+            raise ValueError("covariates are missing")
+        for first in range(0, batch.num_rows, BLOCK):
+            yield first, sum(self.satisfied(i, v[first : first + BLOCK]) for i, v in enumerate(x))
+
+    def counts(self, df: DataFrame, missing: bool = True) -> np.ndarray:
+        """How often the table shows each pattern of each leaf: one pass, a small table for each task."""
+
+        def counted(batches):
+            total = np.zeros(self.starts[-1], np.int64)
+            for batch in batches:
+                for _, codes in self.blocks(batch, missing):
+                    total += np.bincount((codes + self.starts[:-1]).ravel(), minlength=len(total))
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["_code", "_n"])
+
+        found = np.zeros(self.starts[-1])
+        for code, n in df.select(*self.columns()).mapInArrow(counted, "_code int, _n long").groupBy("_code").agg(F.sum("_n")).collect():
+            found[code] = n  # a row for each entry
+        return found
+
+    def effect(self, i: int, x: np.ndarray) -> np.ndarray:
+        """Value that each leaf adds where feature `i` has each value of x, if the other features satisfy theirs (leaves x values)."""
+        return (self.values[:, None]) * (self.satisfied(i, x).T == self.bits[i][:, None])
+
+
 def tree_shapley(scorer, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`keys`, `feature`, `phi`: exact values against the whole table, for each row of it.
 
     Two passes: one counts patterns, one adds up the entries of each row. The leaves and their 2^features entries come from the
-    model and do not grow with the data; each row meets all leaves narrowly and is summed up in its own task. The values of a row
-    add up to its prediction less the mean prediction.
+    model and do not grow with the data; each row meets all leaves, and is summed up, in its own task. The values of a row add up
+    to its prediction less the mean prediction.
     """
-    spark, features, names = df.sparkSession, list(scorer.features), list(dict.fromkeys(keys))
-    leaves = [(v, box) for v, box in leaf_boxes(scorer) if box]
-    starts = np.concatenate([[0], np.cumsum([1 << len(box) for _, box in leaves])]).astype(int)
-    slots = max((len(box) for _, box in leaves), default=0)
-
-    def padded(values: list, filler) -> list:
-        return values + [filler] * (slots - len(values))
-
-    described = [
-        (
-            int(start), padded([features.index(f) for f in box], 0), padded([float(low) for low, _ in box.values()], -math.inf),
-            padded([float(high) for _, high in box.values()], math.inf), padded([1 << i for i in range(len(box))], 0),
-        )
-        for start, (_, box) in zip(starts, leaves)
-    ]
-    kind = "leaves array<struct<start:int,f:array<int>,low:array<double>,high:array<double>,bit:array<int>>>"
-    every = spark.createDataFrame([(described,)], kind).scalar()
-    rows = df.select(*names, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), F.monotonically_increasing_id().alias("_row"))
-    met = rows.withColumn("_leaves", every).select(*names, "_row", "_x", F.explode("_leaves").alias("_leaf"))
-
-    def inside(k: int):
-        x = F.get("_x", F.get("_leaf.f", F.lit(k)))
-        return F.when((x > F.get("_leaf.low", F.lit(k))) & (x <= F.get("_leaf.high", F.lit(k))), F.get("_leaf.bit", F.lit(k))).otherwise(0)
-
-    coded = met.select(*names, "_row", sum((inside(k) for k in range(slots)), F.col("_leaf.start")).alias("_code"))
-    counts = np.zeros(int(starts[-1]))
-    for code, n in coded.groupBy("_code").count().collect():  # a row for each entry
-        counts[code] = n
+    leaves, names = Leaves(scorer), list(dict.fromkeys(keys))
+    features, starts = leaves.features, leaves.starts
+    counts = leaves.counts(df)
     table = np.zeros((len(features), len(counts)))
-    for start, end, (value, box) in zip(starts, starts[1:], leaves):
+    for start, end, (value, box) in zip(starts, starts[1:], leaves.boxes):
         shares = leaf_shares(value, len(box), counts[start:end] / max(counts[start:end].sum(), 1))
         for i, f in enumerate(box):
             table[features.index(f), start:end] += shares[:, i]
-    entries = spark.createDataFrame([(table.T.tolist(),)], "t array<array<double>>").scalar()
-    own = coded.withColumn("_t", entries).select(*names, "_row", F.get("_t", F.col("_code")).alias("_own"))
-    sums = own.groupBy("_row", *names).agg(*[F.sum(F.get("_own", F.lit(i))).alias(f"_s{i}") for i in range(len(features))])
-    if not leaves:  # trees without a split
-        sums = rows.select(*names, *[F.lit(0.0).alias(f"_s{i}") for i in range(len(features))])
+    using = [np.flatnonzero(bits) for bits in leaves.bits]
+
+    def summed(batches):
+        for batch in batches:
+            phi = np.zeros((len(features), batch.num_rows))
+            for first, codes in leaves.blocks(batch, True):
+                codes = codes + starts[:-1]
+                for i, own in enumerate(using):
+                    phi[i, first : first + len(codes)] = table[i][codes[:, own]].sum(1)
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, phi)], names=[*names, *[f"_s{i}" for i in range(len(features))]])
+
+    rows = df.select(*names, *leaves.columns())
+    kind = StructType([*rows.select(*names).schema.fields, *[StructField(f"_s{i}", DoubleType()) for i in range(len(features))]])
     each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_s{i}").alias("phi")) for i, f in enumerate(features)])
-    return sums.select(*names, F.inline(each))
+    return rows.mapInArrow(summed, kind).select(*names, F.inline(each))
+
+
+def tree_dependence(scorer, df: DataFrame, grids: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
+    """Mean prediction over all rows with a feature set to each value of its grid.
+
+    A leaf counts, at the values inside its interval, as often as rows satisfy its other intervals: sums of its patterns' counts.
+    """
+    leaves = Leaves(scorer)
+    counts = leaves.counts(df, missing=False)
+    if not leaves.boxes:
+        return {f: [leaves.constant] * len(grid) for f, grid in grids.items()}
+    patterns = [np.arange(1 << len(box)) for _, box in leaves.boxes]
+    own = [counts[a:z] for a, z in zip(leaves.starts, leaves.starts[1:])]
+    n = own[0].sum()
+    found = {}
+    for f, grid in grids.items():
+        i = leaves.features.index(f)
+        chance = np.array([c[(p | bit) == full].sum() for c, p, bit, full in zip(own, patterns, leaves.bits[i], leaves.full)]) / n
+        found[f] = [float(v) for v in leaves.constant + chance @ leaves.effect(i, np.array(grid, float))]
+    return found
+
+
+def tree_curves(scorer, df: DataFrame, keys: Sequence[str], grids: Mapping[str, Sequence[float]]) -> DataFrame:
+    """`keys` and, for each grid in turn, `_c<number>`: changes of a row's prediction from the first value of the grid to each value."""
+    leaves, names = Leaves(scorer), list(dict.fromkeys(keys))
+    steps = []
+    for f, grid in grids.items():
+        i = leaves.features.index(f)
+        used = np.flatnonzero(leaves.bits[i])
+        effect = leaves.effect(i, np.array(grid, float))[used]
+        steps.append((used, leaves.bits[i][used], leaves.full[used], effect - effect[:, :1]))
+
+    def curves(batches):
+        for batch in batches:
+            for first, codes in leaves.blocks(batch, False):
+                kept = [batch.column(n).slice(first, len(codes)) for n in names]
+                found = [((codes[:, used] | bit) == full).astype(float) @ effect for used, bit, full, effect in steps]
+                lists = [pa.ListArray.from_arrays(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1], c.ravel()) for c in found]
+                yield pa.RecordBatch.from_arrays([*kept, *lists], names=[*names, *[f"_c{j}" for j in range(len(lists))]])
+
+    rows = df.select(*names, *leaves.columns())
+    kind = StructType([*rows.select(*names).schema.fields, *[StructField(f"_c{j}", ArrayType(DoubleType())) for j in range(len(steps))]])
+    return rows.mapInArrow(curves, kind)

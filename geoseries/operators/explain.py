@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoseries.operators.boxes import has_boxes, tree_shapley
+from geoseries.operators.boxes import has_boxes, tree_curves, tree_dependence, tree_shapley
 from geoseries.operators.metrics import r2, top_feature
 from geoseries.operators.permutation import permuted, repeat_key
 from geoseries.operators.quantiles import exact_percentiles
@@ -78,6 +78,11 @@ def pdp(score, df: DataFrame, features: Sequence[str], points: int = 100, exclud
         means = df.agg(*[F.avg(rest[f]).alias(f) for f in chosen]).first()  # one row
         slope, base = (F.coalesce(*[F.when(F.col("feature") == f, v) for f, v in values.items()]) for values in (own, {f: F.lit(means[f]) for f in chosen}))
         return grids.select("feature", F.posexplode("grid").alias("point", "grid_value")).withColumn("pd", base + slope * F.col("grid_value"))
+    if has_boxes(score) and set(chosen) <= set(score.features):
+        found = {row["feature"]: list(row["grid"]) for row in grids.collect()}  # a row for each feature
+        means = tree_dependence(score, df, found)
+        rows = [(f, i, float(x), means[f][i]) for f, grid in found.items() for i, x in enumerate(grid)]
+        return df.sparkSession.createDataFrame(rows, "feature string, point int, grid_value double, pd double")
     rows = _on_grid(df.select(*score.features), grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     return scored.groupBy("feature", "point", "grid_value").agg(F.avg("pred").alias("pd"))
@@ -91,6 +96,15 @@ def ice(
     rows = df.select(*keys, *[f for f in score.features if f not in keys])
     if fraction < 1:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(str(seed)), *keys), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    if has_boxes(score) and set(features) <= set(score.features):
+        found = {row["feature"]: list(row["grid"]) for row in grids.collect()}  # a row for each feature
+        lines = tree_curves(score, rows, keys, found)
+        each = [
+            F.struct(F.lit(f).alias("feature"), F.array(*[F.lit(float(x)) for x in grid]).alias("_grid"), F.col(f"_c{j}").alias("_curve"))
+            for j, (f, grid) in enumerate(found.items())
+        ]
+        single = lines.select(*keys, F.inline(F.array(*each))).select(*keys, "feature", "_grid", F.posexplode("_curve").alias("point", "ice"))
+        return single.select(*keys, "feature", "point", F.get("_grid", F.col("point")).alias("grid_value"), "ice")
     rows = _on_grid(rows, grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     based = score(scored, _swapped(score.features, F.col("_start")), "_base")

@@ -168,3 +168,30 @@ def test_station_drivers(table):
     got = explain.station_top_features(LINEAR, table, ["id"], "y", "s", repeats=2)
     stations = {r.s for r in table.select("s").distinct().collect()}
     assert {r.s: (r.pi_variable, r.si_variable) for r in got.collect()} == {s: ("b", "b") for s in stations}
+
+
+@pytest.mark.parametrize("family,params", [("rf", {"numTrees": 3, "maxDepth": 4}), ("gbt", {"maxIter": 2, "maxDepth": 3})])
+def test_dependence_and_curves_of_trees_need_no_copies_of_the_rows(table, family, params):
+    """The same as scoring a copy of every row for every grid value, which an opaque model still does."""
+    forest = fit_family(table, ["a", "b", "c"], "y", family, **params)
+    scored = []
+
+    class Opaque:
+        features = forest.features
+
+        def __call__(self, *args):
+            return forest(*args)
+
+    class Watched(type(forest)):
+        def __call__(self, *args):
+            scored.append(args)
+            return super().__call__(*args)
+
+    few, watched = table.where("id < 40"), Watched(forest.model, forest.features)
+    got, want = ({(r.feature, r.point, r.grid_value): r.pd for r in explain.pdp(m, few, ["a", "c"], points=6).collect()} for m in (watched, Opaque()))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    got, want = ({(r.id, r.feature, r.point, r.grid_value): r.ice for r in explain.ice(m, few, ["id"], ["a", "c"], points=6).collect()} for m in (watched, Opaque()))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+    assert not scored
+    with pytest.raises(Exception, match="missing"):
+        explain.pdp(forest, few.withColumn("b", F.when(F.col("id") > 3, F.col("b"))), ["a"], points=6)
