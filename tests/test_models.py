@@ -176,3 +176,16 @@ def test_rows_are_not_repeated_for_the_models_of_a_sweep(spark, monkeypatch):
     got = {r.seed: r.accuracy for r in models.seed_sweep(df, "s", ["x"], ["id"], [1, 2, 3], k=4).collect()}
     assert set(got) == {1, 2, 3} and all(0.5 < a <= 1 for a in got.values())
     assert set(plans) == {200}
+
+
+def test_rows_of_one_file_are_spread_over_tasks(spark, tmp_path):
+    from geoseries.session import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    name = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(name, "1b")
+    try:
+        rows = spread(models.assembled(spark.read.parquet(str(tmp_path / "one")), ["id"], ["id"]), "spread")
+    finally:
+        spark.conf.unset(name)
+    assert rows.rdd.getNumPartitions() > 1 and rows.count() == rows.select("id").distinct().count() == 1000
