@@ -168,3 +168,20 @@ def test_leaf_area_and_land_surface(spark):
     ).withColumn("time", F.col("time").cast("timestamp_ntz"))
     out = preparation.land_surface(hourly, {"SoilMoi0_10cm_inst": schema.GLDAS_SCALES["SoilMoi0_10cm_inst"]}, src, (Axis(0.5, 1.0, 1), Axis(0.5, 1.0, 1))).collect()
     assert len(out) == 1 and out[0].SoilMoi0_10cm_inst == pytest.approx(0.3)
+
+
+def test_target_cells_are_filled_in_many_tasks(spark):
+    """A table of few slices lies in one task; the cells of the target grid must not."""
+    slices = spark.createDataFrame([(1,), (None,)], "time int").coalesce(1)
+    cells = grid.target_cells(slices, Axis(0.0, 1.0, 5), Axis(0.0, 1.0, 700))
+    assert cells.distinct().count() == 2 * 5 * 700
+    tasks = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) <= 2 * grid.CELLS
+
+
+def test_blocks_of_neighbours_meet_at_their_edges(spark):
+    n = 3 * grid.SIDE
+    cell = [F.lit(0).alias("time"), (F.col("id") % 2).alias("lat_i"), F.expr("id div 2").alias("lon_i"), (F.col("id") * 1.0).alias("v")]
+    src, new = (Axis(0.0, 1.0, 2), Axis(0.0, 1.0, n)), (Axis(0.5, 1.0, 1), Axis(0.5, 1.0, n - 1))
+    got = grid.regrid_bilinear(spark.range(n * 2).repartition(16).select(*cell), *src, *new, ["v"])
+    assert [r.v for r in got.sort("lon_i").collect()] == [2.0 * j + 1.5 for j in range(n - 1)]
