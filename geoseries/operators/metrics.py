@@ -62,6 +62,18 @@ def station_metrics(
     )
 
 
+def wide_station_metrics(df: DataFrame, names: Sequence[str], by: Sequence[str], true: str = "true") -> DataFrame:
+    """`<name>_<metric>` of prediction columns side by side, one row for each station that every one of them scores.
+
+    As `pivot_metrics` of `station_metrics` of the unpivoted table, but no row is repeated for a column and there is one group
+    for each station, in one aggregate.
+    """
+    paired = [F.count(F.when(F.col(true).isNotNull() & F.col(n).isNotNull(), 1)) for n in names]
+    values = [(n, m, f(true, n)) for n in names for m, f in (("rmse", rmse), ("r", correlation), ("ubrmse", ubrmse))]
+    both = df.groupBy(*by).agg(F.least(*paired).alias("_least") if len(paired) > 1 else paired[0].alias("_least"), *[c.alias(f"{n}_{m}") for n, m, c in values])
+    return both.where(F.col("_least") > 0).drop("_least")
+
+
 def macro_metrics(stations: DataFrame, by: Sequence[str] = (), cols: Sequence[str] = METRICS) -> DataFrame:
     """Mean over stations; undefined values are left out."""
     return stations.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])

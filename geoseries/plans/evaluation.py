@@ -12,9 +12,9 @@ from geoseries.operators.metrics import (
     METRICS,
     best_estimator,
     ensemble_mean,
-    pivot_metrics,
     metric_levels,
     station_metrics,
+    wide_station_metrics,
     winner_table,
 )
 
@@ -53,8 +53,7 @@ def discussion_summary(
     names = [*base, *estimators, "ensemble"]
     with_mean = ensemble_mean(wide, members, "ensemble")
     keys = [*by, "station_idx"]
-    long = with_mean.select(*keys, "true", *names).unpivot([*keys, "true"], names, "exp", "pred")
-    merged = pivot_metrics(station_metrics(long, [*keys, "exp"]), names, keys)
+    merged = wide_station_metrics(with_mean, names, keys)
     picks: list[Column] = []
     for metric in METRICS:
         merged = best_estimator(merged, names, metric, f"_best_{metric}")

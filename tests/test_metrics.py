@@ -174,3 +174,15 @@ def test_one_row_tables_side_by_side(spark):
     b = spark.range(1).select(F.lit(2).alias("b"))
     row = metrics.with_labels(metrics.beside(a, b), {"exp": "x"}).first()
     assert (row.a, row.b, row.exp) == (1, 2, "x")
+
+
+def test_wide_station_metrics_match_the_long_ones(spark, rows):
+    data = [("l", i % 4, i / 7, i * i / 50, None if i % 3 == 0 else i / 9, None if i % 4 == 1 else 1.0) for i in range(40)] + [("l", 9, 1.0, None, 2.0, 3.0), (None, 9, 1.0, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(data, "layer string, station_idx int, true double, a double, b double, c double")
+    keys, names = ["layer", "station_idx"], ["a", "b", "c"]
+    long = df.unpivot([*keys, "true"], names, "exp", "pred")
+    want = metrics.pivot_metrics(metrics.station_metrics(long, [*keys, "exp"]), names, keys)
+    got = metrics.wide_station_metrics(df, names, keys)
+    assert got.count() == 4  # station 1 has no c, station 9 of the layer no a
+    for x, y in zip(rows(want), rows(got, *want.columns), strict=True):
+        assert x == pytest.approx(y, abs=1e-12)
