@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from geoseries import schema
 from geoseries.functions.values import clip, recode, wrap_longitude
 from geoseries.operators import clean, grid, metrics, series
 from geoseries.operators.compare import assign_layer
-from geoseries.session import scratch_path
+from geoseries.session import scratch_path, stable
 from geoseries.sources import grids, stations
 from geoseries.suite import bindings as b
 from geoseries.suite.registry import query
@@ -29,20 +34,43 @@ def station_scan(spark, sf):
     )
 
 
-def _named_files(spark, path, folders):
-    """Give each `station_id=/group_id=/layer=` folder's file the name of a station file; every seventh is cut short."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    root = jvm.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for layer, station, group, part in folders:
-        target = jvm.Path(f"{path}/named/{layer}/{station}_group_{group}.parquet")
-        files.mkdirs(target.getParent())
-        files.rename(jvm.Path(part), target)
-        if station % 7 == 0:
-            out = files.create(target, True)
-            out.write(bytearray(b"PAR1 cut short"))
-            out.close()
-    return f"{path}/named"
+def _named_files(spark, rows, path):
+    """Writes each station's file under its name, in the task that holds the station; every seventh is cut short.
+
+    `rows`: layer, s (station), g (group), date_time, soil_moisture.
+    """
+    local = "://" not in path and not path.startswith("file:")
+    uri = f"file://{os.path.abspath(path)}" if local else re.sub("^file:/+", "file:///", path)
+    kind = pa.schema([("date_time", pa.date32()), ("soil_moisture", pa.float64())])
+
+    def write(batches):
+        store, folder = fs.FileSystem.from_uri(uri)
+        own, sink = None, None
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("layer", "s", "g"))))
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for start, end in zip(cuts, [*cuts[1:], len(names)]):
+                layer, station, group = names[start]
+                if names[start] != own:
+                    if sink is not None:
+                        sink.close()
+                    own, sink, name = names[start], None, f"{folder}/{layer}/{station}_group_{group}.parquet"
+                    store.create_dir(f"{folder}/{layer}")
+                    if station % 7 == 0:
+                        with store.open_output_stream(name) as out:
+                            out.write(b"PAR1 cut short")
+                    else:
+                        sink = pq.ParquetWriter(name, kind, filesystem=store)
+                if sink is not None:
+                    part = batch.slice(start, end - start).select(["date_time", "soil_moisture"])
+                    sink.write_batch(part.cast(kind))
+            yield pa.RecordBatch.from_arrays([pa.array([len(cuts)], pa.int64())], names=["files"])
+        if sink is not None:
+            sink.close()
+
+    together = rows.repartition("layer", "s", "g").sortWithinPartitions("layer", "s", "g")
+    together.mapInArrow(write, "files long").agg(F.sum("files")).collect()  # one row; runs the writing tasks
+    return path
 
 
 @query("s06_station_files", """SELECT station_id, station_id % 4 AS group_id, 'layer' || (1 + station_id % 5) AS layer, station_id % 7 = 0 AS skipped,
@@ -54,12 +82,11 @@ def station_files(spark, sf):
     keyed = b.station_daily(spark, sf).withColumns(
         {"g": F.col("station_id") % 4, "s": F.col("station_id"), "layer": F.concat(F.lit("layer"), (1 + F.col("station_id") % 5).cast("string"))}
     )
-    keyed.select("layer", "s", "g", "date_time", "soil_moisture").repartition("layer", "s", "g").write.partitionBy("layer", "s", "g").parquet(path)
-    found = spark.read.parquet(path).select("layer", "s", "g", F.col("_metadata.file_path").alias("part")).distinct()
-    named = _named_files(spark, path, [tuple(r) for r in found.collect()])  # a row for each station
+    named = _named_files(spark, keyed.select("layer", "s", "g", "date_time", "soil_moisture"), path)
     rows = stations.read_stations(spark, named, fmt="parquet", skip_unreadable=True, file="file")
-    skipped = stations.skipped_files(spark, named, rows, "file")
-    read = rows.groupBy("station_id", "group_id", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum("soil_moisture").alias("total"))
+    each = stable(rows.groupBy("station_id", "group_id", "layer", "file").agg(F.count(F.lit(1)).alias("n"), F.sum("soil_moisture").alias("total")))
+    skipped = stations.skipped_files(spark, named, each, "file")
+    read = each.groupBy("station_id", "group_id", "layer").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     lost = skipped.select("station_id", "group_id", "layer", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"))
     return read.withColumn("skipped", F.lit(False)).unionByName(lost.withColumn("skipped", F.lit(True)))
 

@@ -53,3 +53,18 @@ def test_importance_forms(spark, rows):
     assert [tuple(r) for r in importance_wide(df, ["layer"], ["a", "b"]).sort("repeat").collect()] == [
         ("l", 0, 0.0, 10.0), ("l", 1, 1.0, 11.0), ("l", 2, 2.0, 12.0)
     ]
+
+
+def test_station_files_are_written_by_the_tasks(spark, tmp_path, rows):
+    """One file for each station under its name, however its rows lie; every seventh station's is cut short and listed as skipped."""
+    from geoseries.suite.scans import _named_files
+
+    data = [(f"layer{s % 2}", s, s % 4, f"2020-01-{d:02d}", s + d / 100) for d in range(1, 11) for s in range(1, 30)]
+    df = spark.createDataFrame(data, "layer string, s long, g long, date_time string, soil_moisture double").withColumn("date_time", F.to_date("date_time"))
+    path = _named_files(spark, df.repartition(5, "date_time"), str(tmp_path / "named"))
+    assert len(list((tmp_path / "named").glob("*/*.parquet"))) == 29
+    got = stations.read_stations(spark, path, fmt="parquet", skip_unreadable=True, file="file")
+    assert rows(got.select("layer", "station_id", "group_id", F.col("date_time").cast("string"), "soil_moisture")) == sorted(
+        (r for r in data if r[1] % 7), key=lambda t: tuple((False, str(v)) for v in t)
+    )
+    assert [r.station_id for r in stations.skipped_files(spark, path, got, "file").sort("station_id").collect()] == [7, 14, 21, 28]
