@@ -79,8 +79,9 @@ class Leaves:
         self.boxes = [(v, box) for v, box in boxes if box]
         self.values = np.array([v for v, _ in self.boxes], float)
         self.starts = np.concatenate([[0], np.cumsum([1 << len(box) for _, box in self.boxes])]).astype(np.int32)
-        self.full = np.array([(1 << len(box)) - 1 for _, box in self.boxes], np.int32)
-        self.bits = [np.array([1 << list(box).index(f) if f in box else 0 for _, box in self.boxes], np.int32) for f in self.features]
+        small = np.min_scalar_type((1 << max((len(box) for _, box in self.boxes), default=0)) - 1)  # most of a block's time is reading patterns
+        self.full = np.array([(1 << len(box)) - 1 for _, box in self.boxes], small)
+        self.bits = [np.array([1 << list(box).index(f) if f in box else 0 for _, box in self.boxes], small) for f in self.features]
         self.edges, self.codes = [], []
         for i, f in enumerate(self.features):
             ends = [box.get(f, (-math.inf, math.inf)) for _, box in self.boxes]
@@ -90,7 +91,7 @@ class Leaves:
             high = np.array([np.searchsorted(edges, z) if z < math.inf else len(edges) for _, z in ends], int)
             inside = np.where((bins > low) & (bins <= high), self.bits[i], 0)
             self.edges.append(edges)
-            self.codes.append(np.vstack([inside, np.zeros((1, len(self.boxes)))]).astype(np.int32))  # missing: in no interval
+            self.codes.append(np.vstack([inside, np.zeros((1, len(self.boxes)))]).astype(small))  # missing: in no interval
 
     def columns(self) -> list:
         return [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)]
@@ -203,3 +204,76 @@ def tree_curves(scorer, df: DataFrame, keys: Sequence[str], grids: Mapping[str,
     rows = df.select(*names, *leaves.columns())
     kind = StructType([*rows.select(*names).schema.fields, *[StructField(f"_c{j}", ArrayType(DoubleType())) for j in range(len(steps))]])
     return rows.mapInArrow(curves, kind)
+
+
+def tree_effects(scorer, df: DataFrame, edges: Mapping[str, Sequence[float]]) -> list[tuple[str, int, float, int]]:
+    """(feature, bin, mean change of the prediction from the bin's lower to its upper edge, rows) of every bin that holds rows.
+
+    One pass: each task counts, for each bin and leaf, the rows of the bin that satisfy the leaf's other intervals. What a leaf
+    adds at the two edges of a bin is the same for all its rows.
+    """
+    leaves = Leaves(scorer)
+    bounds = {f: np.array(e, float) for f, e in edges.items()}
+    place = {f: leaves.features.index(f) for f in bounds}
+    using = {f: np.flatnonzero(leaves.bits[place[f]]) for f in bounds}
+    shapes = {f: (len(e) - 1, len(using[f]) + 1) for f, e in bounds.items()}  # the last column counts rows
+    starts = np.concatenate([[0], np.cumsum([a * b for a, b in shapes.values()])]).astype(int)
+
+    def counted(batches):
+        total = np.zeros(starts[-1])
+        for batch in batches:
+            x = {f: batch.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float) for f, i in place.items()}
+            for first, codes in leaves.blocks(batch, False):
+                size = min(BLOCK, batch.num_rows - first)
+                for start, (f, (bins, width)) in zip(starts, shapes.items()):
+                    used, bit = using[f], leaves.bits[place[f]][using[f]]
+                    own = np.maximum(np.searchsorted(bounds[f], x[f][first : first + size], side="left"), 1) - 1
+                    met = np.ones((size, width), np.float32)  # sums of a block are whole numbers
+                    if len(used):
+                        met[:, :-1] = (codes[:, used] | bit) == leaves.full[used]
+                    inside = (np.arange(bins)[:, None] == own).astype(np.float32)
+                    total[start : start + bins * width] += (inside @ met).ravel()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen].astype(np.int64))], names=["_code", "_n"])
+
+    sums = np.zeros(starts[-1])
+    for code, n in df.select(*leaves.columns()).mapInArrow(counted, "_code int, _n long").groupBy("_code").agg(F.sum("_n")).collect():
+        sums[code] = n  # a row for each entry
+    found = []
+    for start, (f, (bins, width)) in zip(starts, shapes.items()):
+        table = sums[start : start + bins * width].reshape(bins, width)
+        steps = np.diff(leaves.effect(place[f], bounds[f])[using[f]], axis=1) if len(using[f]) else np.zeros((0, bins))
+        for b in np.flatnonzero(table[:, -1]):
+            found.append((f, int(b) + 1, float(table[b, :-1] @ steps[:, b] / table[b, -1]), int(table[b, -1])))
+    return found
+
+
+def tree_swapped(scorer, df: DataFrame, keep: Sequence[str], donors: Sequence[str], out: Sequence[str]) -> DataFrame:
+    """`keep` and, for each feature, the prediction of the row with that feature's value from its column of `donors`.
+
+    A block of rows meets all leaves once; a swapped feature changes only its own bit, at the leaves that use it.
+    """
+    leaves, names = Leaves(scorer), list(dict.fromkeys(keep))
+    parts = [(np.flatnonzero(bits), np.flatnonzero(bits == 0)) for bits in leaves.bits]
+
+    def swapped(batches):
+        for batch in batches:
+            other = [batch.column(f"_d{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(donors))]
+            if any(np.isnan(v).any() for v in other):
+                raise ValueError("covariates are missing")
+            own = [batch.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(donors))]
+            pred = np.full((len(donors), batch.num_rows), leaves.constant, float)
+            for first, codes in leaves.blocks(batch, False):
+                rows = slice(first, first + BLOCK)
+                for i, (used, rest) in enumerate(parts):
+                    if len(rest):
+                        pred[i, rows] += (codes[:, rest] == leaves.full[rest]) @ leaves.values[rest]
+                    if len(used):
+                        moved = codes[:, used] - leaves.satisfied(i, own[i][rows])[:, used] + leaves.satisfied(i, other[i][rows])[:, used]
+                        pred[i, rows] += (moved == leaves.full[used]) @ leaves.values[used]
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, pred)], names=[*names, *out])
+
+    rows = df.select(*names, *leaves.columns(), *[F.col(d).cast("double").alias(f"_d{i}") for i, d in enumerate(donors)])
+    kind = StructType([*rows.select(*names).schema.fields, *[StructField(o, DoubleType()) for o in out]])
+    return rows.mapInArrow(swapped, kind)

@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoseries.operators.boxes import has_boxes, tree_curves, tree_dependence, tree_shapley
+from geoseries.operators.boxes import has_boxes, tree_curves, tree_dependence, tree_effects, tree_shapley, tree_swapped
 from geoseries.operators.metrics import r2, top_feature
 from geoseries.operators.permutation import permuted, repeat_key
 from geoseries.operators.quantiles import exact_percentiles
-from geoseries.operators.ranking import hash_rank
-from geoseries.session import stable
+from geoseries.operators.ranking import chunked_rank, row_hash
+from geoseries.session import stable, written
 
 
 def _long(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -105,12 +105,29 @@ def ice(
         ]
         single = lines.select(*keys, F.inline(F.array(*each))).select(*keys, "feature", "_grid", F.posexplode("_curve").alias("point", "ice"))
         return single.select(*keys, "feature", "point", F.get("_grid", F.col("point")).alias("grid_value"), "ice")
+    if hasattr(score, "coefficients"):  # a line: no copy has to be scored
+        found = {row["feature"]: list(row["grid"]) for row in grids.collect()}  # a row for each feature
+        if found:
+            return _line_curves(score, rows, keys, found)
     rows = _on_grid(rows, grids)
     scored = score(rows, _swapped(score.features, F.col("grid_value")))
     based = score(scored, _swapped(score.features, F.col("_start")), "_base")
     return based.select(*keys, "feature", "point", "grid_value", (F.col("pred") - F.col("_base")).alias("ice"))
 
 
+def _line_curves(score, rows: DataFrame, keys: Sequence[str], grids: dict[str, list[float]]) -> DataFrame:
+    """Curves of a linear model: coefficient times distance from the first grid value, in rows whose other features are known."""
+    own = {f: F.lit(float(c)) for f, c in score.coefficients.items()}
+    each = []
+    for f, grid in grids.items():
+        rest = sum((own[g] * F.col(g) for g in own if g != f), F.lit(0.0))
+        steps = F.array(*[F.struct(F.lit(float(x)).alias("grid_value"), F.lit(float(score.coefficients.get(f, 0.0) * (x - grid[0]))).alias("step")) for x in grid])
+        each.append(F.struct(F.lit(f).alias("feature"), (rest - rest).alias("_none"), steps.alias("_steps")))
+    lines = rows.select(*keys, F.inline(F.array(*each)))
+    single = lines.select(*keys, "feature", "_none", F.posexplode("_steps").alias("point", "_at"))
+    return single.select(*keys, "feature", "point", "_at.grid_value", (F.col("_at.step") + F.col("_none")).alias("ice"))
+
+
 def ice_summary(curves: DataFrame) -> DataFrame:
     """Number, mean, lowest and highest of the curves at each grid point."""
     return curves.groupBy("feature", "point", "grid_value").agg(
@@ -118,14 +135,8 @@ def ice_summary(curves: DataFrame) -> DataFrame:
     )
 
 
-def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
-    """Accumulated local effects at the bin edges, centred on the mean effect."""
-    probs = [i / bins for i in range(bins + 1)]
-    edges = stable(
-        exact_percentiles(_long(df, features), ["feature"], "value", probs, "_p").select(
-            "feature", F.array_distinct("_p").alias("edges")
-        )
-    )
+def _scored_effects(score, df: DataFrame, features: Sequence[str], edges: DataFrame, bins: int) -> DataFrame:
+    """`feature`, `bin`, `_effect`, `n`: mean change of the prediction across each bin, each row scored at both of its edges."""
     with_edges = df.select(*score.features).withColumn("_edges", _as_map(edges, "edges"))
     per = with_edges.select(*score.features, F.explode("_edges").alias("feature", "edges"))
     own = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in features])
@@ -140,9 +151,25 @@ def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFr
     )
     low = score(placed, _swapped(score.features, F.col("_lo")), "_f_lo")
     both = score(low, _swapped(score.features, F.col("_hi")), "_f_hi")
-    effects = both.groupBy("feature", "bin").agg(
+    return both.groupBy("feature", "bin").agg(
         F.avg(F.col("_f_hi") - F.col("_f_lo")).alias("_effect"), F.count(F.lit(1)).alias("n")
     )
+
+
+def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
+    """Accumulated local effects at the bin edges, centred on the mean effect."""
+    probs = [i / bins for i in range(bins + 1)]
+    edges = stable(
+        exact_percentiles(_long(df, features), ["feature"], "value", probs, "_p").select(
+            "feature", F.array_distinct("_p").alias("edges")
+        )
+    )
+    if has_boxes(score) and set(features) <= set(score.features):
+        found = {row["feature"]: list(row["edges"]) for row in edges.collect()}  # a row for each feature
+        rows = tree_effects(score, df, {f: e for f, e in found.items() if len(e) > 1})
+        effects = df.sparkSession.createDataFrame(rows, "feature string, bin int, _effect double, n long")
+    else:
+        effects = _scored_effects(score, df, features, edges, bins)
     every = edges.select("feature", F.posexplode("edges").alias("bin", "edge"))
     order = Window.partitionBy("feature").orderBy("bin")
     summed = (
@@ -159,16 +186,20 @@ def ale(score, df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFr
 
 
 def with_donors(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], repeats: int, seed: object, by: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], repeats: int, seed: object, by: Sequence[str] = (),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Each row beside the row a seeded permutation puts in its place, once per repeat.
 
     The rows of each group are ranked once, by key hashes over balanced chunks. Each repeat then is a one-to-one mapping of
     these positions computed by arithmetic, so only positions and features move, and every row is used exactly once per repeat.
+    With `keep`, other columns are left behind as soon as the keys are hashed.
     """
     by = list(by)
     ties = [f for f in features if f not in keys]
-    placed = stable(hash_rank(df, by, f"{seed}:base", keys, "_pos", "_n", ties=ties))
+    kept = df.columns if keep is None else list(dict.fromkeys([*by, *keep, *features]))
+    hashed = df.withColumn("_hash", F.unhex(row_hash(f"{seed}:base", *keys))).select(*kept, "_hash")
+    placed = written(chunked_rank(hashed, by, ["_hash", *ties], None, "_pos", "_n").drop("_hash"), "placed")
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     source = placed.select(*by, (F.col("_pos") - 1).alias("_from"), "_n", *[F.col(f).alias(f"donor_{f}") for f in features], repeat.alias("repeat"))
     sent = permuted(source, "_from", "_n", repeat_key(seed, F.col("repeat")), "_pos").drop("_from", "_n")
@@ -199,9 +230,12 @@ def permutation_scores(
     """
     by, features = list(by), list(score.features)
     base = score(df).groupBy(*by).agg(r2(label, "pred").alias("_base"))
-    rows = with_donors(df.select(*dict.fromkeys([*by, *keys, *features, label])), keys, features, repeats, seed, by)
-    for i, f in enumerate(features):
-        rows = score(rows, {f: F.col(f"donor_{f}")}, f"_p{i}")
+    rows = with_donors(df.select(*dict.fromkeys([*by, *keys, *features, label])), keys, features, repeats, seed, by, keep=[label])
+    if has_boxes(score):
+        rows = tree_swapped(score, rows, [*by, "repeat", label], [f"donor_{f}" for f in features], [f"_p{i}" for i in range(len(features))])
+    else:
+        for i, f in enumerate(features):
+            rows = score(rows, {f: F.col(f"donor_{f}")}, f"_p{i}")
     permuted = rows.groupBy(*by, "repeat").agg(*[r2(label, f"_p{i}").alias(f"_r{i}") for i in range(len(features))])
     each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_r{i}").alias("_r2")) for i, f in enumerate(features)])
     permuted = permuted.select(*by, "repeat", F.inline(each))

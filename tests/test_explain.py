@@ -195,3 +195,66 @@ def test_dependence_and_curves_of_trees_need_no_copies_of_the_rows(table, family
     assert not scored
     with pytest.raises(Exception, match="missing"):
         explain.pdp(forest, few.withColumn("b", F.when(F.col("id") > 3, F.col("b"))), ["a"], points=6)
+
+
+class Hidden:
+    """A scorer that shows neither coefficients nor leaves."""
+
+    def __init__(self, scorer):
+        self.scorer, self.features = scorer, scorer.features
+
+    def __call__(self, *args):
+        return self.scorer(*args)
+
+
+def test_curves_of_a_line_need_no_scored_copies(table):
+    class Uncalled(LinearScorer):
+        def __call__(self, *args):
+            raise AssertionError("a copy was scored")
+
+    gaps = table.withColumn("b", F.when(F.col("id") % 7 > 0, F.col("b")))
+    want, got = (
+        explain.ice_summary(explain.ice(s, gaps, ["id"], ["a", "b", "c"], 20)).sort("feature", "point").collect()
+        for s in (Hidden(LINEAR), Uncalled(LINEAR.coefficients, LINEAR.intercept))
+    )
+    assert len(got) == 43
+    for x, y in zip(want, got, strict=True):
+        assert tuple(x[:3]) == tuple(y[:3]) and x["n"] == y["n"]
+        assert tuple(x[4:]) == pytest.approx(tuple(y[4:]), abs=1e-9)
+
+
+def test_effects_and_permutations_of_trees_come_from_leaves(table):
+    forest = fit_family(table, ["a", "b", "c"], "y", "rf", numTrees=4, maxDepth=4)
+    calls = []
+
+    class Counted(type(forest)):
+        def __call__(self, *args):
+            calls.append(args)
+            return super().__call__(*args)
+
+    counted = Counted(forest.model, forest.features)
+    want, got = (explain.ale(s, table, ["a", "b", "c"], 5).sort("feature", "bin").collect() for s in (Hidden(forest), counted))
+    assert len(got) == 6 + 6 + 3 and not calls
+    for x, y in zip(want, got, strict=True):
+        assert tuple(x[:3]) == tuple(y[:3]) and x["n"] == y["n"] and x["ale"] == pytest.approx(y["ale"], abs=1e-9)
+    for by in ([], ["s"]):
+        calls.clear()
+        want, got = (
+            explain.permutation_scores(s, table, ["id"], "y", 2, 3, by).sort(*by, "feature", "repeat").collect() for s in (Hidden(forest), counted)
+        )
+        assert len(calls) == 1 and len(got) == 6 * (len(by) * 5 + 1)  # the unchanged rows are scored once
+        for x, y in zip(want, got, strict=True):
+            assert x[:-1] == y[:-1] and x["value"] == pytest.approx(y["value"], abs=1e-9)
+
+
+def test_missing_covariates_end_the_job(table):
+    forest = fit_family(table, ["a", "b"], "y", "dt", maxDepth=2)
+    gaps = table.withColumn("b", F.when(F.col("id") > 3, F.col("b")))
+    for job in (lambda: explain.ale(forest, gaps, ["a", "b"], 5), lambda: explain.permutation_importance(forest, gaps, ["id"], "y", 2)):
+        with pytest.raises(Exception):
+            job().collect()
+
+
+def test_keys_are_left_behind(table):
+    placed = explain.with_donors(table, ["id"], ["a"], 2, 3, ["s"], keep=["y"])
+    assert set(placed.columns) == {"s", "y", "a", "donor_a", "repeat"} and placed.count() == 1200
