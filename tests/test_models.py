@@ -189,3 +189,22 @@ def test_rows_of_one_file_are_spread_over_tasks(spark, tmp_path):
     finally:
         spark.conf.unset(name)
     assert rows.rdd.getNumPartitions() > 1 and rows.count() == rows.select("id").distinct().count() == 1000
+
+
+def test_fits_compute_their_rows_once(spark, stations):
+    """What lies below the rows, such as joins, must not run again in each pass of a fit."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def below(df):
+        return df.mapInArrow(counted, df.schema)
+
+    models.fit_family(below(stations), ["tp", "lai"], "soil_moisture", "rf", numTrees=2, maxDepth=2)
+    assert seen.value == 2000
+    split = stations.withColumn("status", F.when(F.col("row") % 5 == 0, "test").otherwise("train"))
+    assert models.adversarial_accuracy(below(split), ["tp", "lai"]).count() == 1
+    assert seen.value == 4000
