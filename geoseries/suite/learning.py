@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoseries.operators import explain, models, permutation, splits
 from geoseries.plans.training import train_and_score
-from geoseries.session import scratch_path
+from geoseries.session import scratch_path, written
 from geoseries.suite import bindings as b
 from geoseries.suite.registry import query
 
@@ -235,15 +235,20 @@ def _grid_inputs(spark, sf):
     return static, [daily.select("lat_i", "lon_i", "time", "swvl1"), rain]
 
 
-def _grid_forest(spark, sf, seed=2023):
-    """Fitted on the cells themselves: moisture from the covariates."""
+GRID_NAMES = ["value", "tp", "swvl1", "month_1", "month_7"]
+
+
+def _grid_rows(spark, sf):
+    """Training rows: the cells themselves, moisture and its covariates."""
     static, dynamic = _grid_inputs(spark, sf)
-    names = ["value", "tp", "swvl1", "month_1", "month_7"]
     moisture = b.grid_daily(spark, sf).select("lat_i", "lon_i", "time", "sm")
-    rows, _ = models.build_features(
-        models.assemble_features(static, [*dynamic, moisture]).where(F.col("tp").isNotNull()), "time", "sm", drop=[]
-    )
-    return models.fit_family(rows, names, "sm", "rf", seed=seed, numTrees=5, maxDepth=4)
+    covered = models.assemble_features(static, [*dynamic, moisture]).where(F.col("tp").isNotNull())
+    return models.build_features(covered, "time", "sm", drop=[])[0].select(*GRID_NAMES, "sm")
+
+
+def _grid_forest(rows, seed=2023):
+    """Fitted on the cells themselves: moisture from the covariates."""
+    return models.fit_family(rows, GRID_NAMES, "sm", "rf", seed=seed, numTrees=5, maxDepth=4)
 
 
 @query("m14_predict_grid_linear", f"SELECT lat_i, lon_i, time, {GRID_SQL} AS sm FROM {GRID_FROM}", floats="sm", dates="time")
@@ -253,7 +258,7 @@ def predict_grid_linear(spark, sf):
 
 @query("m14_predict_grid")
 def predict_grid(spark, sf):
-    return models.predict_grid(_grid_forest(spark, sf), *_grid_inputs(spark, sf))
+    return models.predict_grid(_grid_forest(_grid_rows(spark, sf)), *_grid_inputs(spark, sf))
 
 
 @query("m15_predict_ensemble_linear", f"SELECT lat_i, lon_i, time, (({GRID_SQL}) + ({GRID_B_SQL})) / 2 AS sm FROM {GRID_FROM}", floats="sm", dates="time")
@@ -263,7 +268,8 @@ def predict_ensemble_linear(spark, sf):
 
 @query("m15_predict_ensemble")
 def predict_ensemble(spark, sf):
-    members = {"one": _grid_forest(spark, sf, 1), "two": _grid_forest(spark, sf, 2)}
+    rows = written(_grid_rows(spark, sf), "cells")  # joined once for both fits
+    members = {"one": _grid_forest(rows, 1), "two": _grid_forest(rows, 2)}
     return models.predict_ensemble(members, *_grid_inputs(spark, sf))
 
 
