@@ -185,3 +185,17 @@ def test_blocks_of_neighbours_meet_at_their_edges(spark):
     src, new = (Axis(0.0, 1.0, 2), Axis(0.0, 1.0, n)), (Axis(0.5, 1.0, 1), Axis(0.5, 1.0, n - 1))
     got = grid.regrid_bilinear(spark.range(n * 2).repartition(16).select(*cell), *src, *new, ["v"])
     assert [r.v for r in got.sort("lon_i").collect()] == [2.0 * j + 1.5 for j in range(n - 1)]
+
+
+def test_monthly_depths_regrid_every_day(spark, tmp_path, monkeypatch):
+    """A cell with a gap on one day takes only the other days; quarters would mix the days of all corners first."""
+    from geoseries.suite import bindings, jobs
+
+    days = [("2020-01-01", {0: 1.0, 1: 1.0, 5: 1.0, 6: 1.0}), ("2020-01-02", {0: 9.0, 1: 9.0, 5: 9.0}), ("2020-02-01", {6: 5.0})]
+    lines = [(c, 1, d, v / 5000, 1, 1.0, 1.0, 1.0) for d, cells in days for c, v in cells.items()]
+    kinds = "l_suppkey long, l_partkey long, l_shipdate string, l_tax double, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double"
+    tables = {"lineitem": spark.createDataFrame(lines, kinds), "part": spark.createDataFrame([(1, 10)], "p_partkey long, p_size int")}
+    monkeypatch.setattr(bindings, "table", lambda spark, sf, name: tables[name])
+    got = {(r["lat_i"], r["lon_i"], r["month"]): r["SMCI"] for r in jobs.depths_monthly(spark, "").collect()}
+    assert len(got) == 5 * 2 * 2 and got[0, 0, 1] == pytest.approx(1.0)
+    assert {k for k, v in got.items() if v is not None} == {(0, 0, 1)}
