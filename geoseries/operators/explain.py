@@ -16,8 +16,8 @@ from geoseries.operators.boxes import has_boxes, tree_curves, tree_dependence, t
 from geoseries.operators.metrics import r2, top_feature
 from geoseries.operators.permutation import permuted, repeat_key
 from geoseries.operators.quantiles import exact_percentiles
-from geoseries.operators.ranking import chunked_rank, row_hash
-from geoseries.session import stable, written
+from geoseries.operators.ranking import CHUNK_ROWS, chunked_rank, row_hash
+from geoseries.session import bucketed, stable, written
 
 
 def _long(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -195,16 +195,35 @@ def with_donors(
     these positions computed by arithmetic, so only positions and features move, and every row is used exactly once per repeat.
     With `keep`, other columns are left behind as soon as the keys are hashed.
     """
-    by = list(by)
+    placed = _placed(df, keys, features, seed, by, keep)
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    sent = _sent(placed.withColumn("repeat", repeat), features, seed, by)
+    return placed.drop("_n").join(sent, [*by, "_pos"]).drop("_pos")
+
+
+def _placed(df: DataFrame, keys: Sequence[str], features: Sequence[str], seed: object, by: Sequence[str], keep: Sequence[str] | None) -> DataFrame:
+    """`df` with `_pos`, the place of a row in the seeded order of its group, from 0 on, and `_n`, the size of the group.
+
+    Md5 hashes are spread evenly, so their first bits number the chunks; where repeated keys make some chunks far larger than
+    others, chunks are cut as for any other order. `df` is read twice.
+    """
     ties = [f for f in features if f not in keys]
     kept = df.columns if keep is None else list(dict.fromkeys([*by, *keep, *features]))
     hashed = df.withColumn("_hash", F.unhex(row_hash(f"{seed}:base", *keys))).select(*kept, "_hash")
-    placed = written(chunked_rank(hashed, by, ["_hash", *ties], None, "_pos", "_n").drop("_hash"), "placed")
-    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    source = placed.select(*by, (F.col("_pos") - 1).alias("_from"), "_n", *[F.col(f).alias(f"donor_{f}") for f in features], repeat.alias("repeat"))
-    sent = permuted(source, "_from", "_n", repeat_key(seed, F.col("repeat")), "_pos").drop("_from", "_n")
-    rows = placed.drop("_n").withColumn("_pos", F.coalesce(F.col("_pos") - 1, F.lit(-2)))
-    return rows.join(sent, [*by, "_pos"]).drop("_pos")
+    chunk = F.lit(0)
+    if not by:
+        bits = F.conv(F.hex(F.substring("_hash", 1, 4)), 16, 10).cast("long")
+        chunk = F.floor(bits * max(1, -(-df.count() // CHUNK_ROWS)) / (1 << 32))
+    sizes = stable(hashed.groupBy(*by, chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_size")))
+    given = {"chunk": chunk, "sizes": sizes} if (sizes.agg(F.max("_size")).first()[0] or 0) <= 4 * CHUNK_ROWS else {}
+    ranked = chunked_rank(hashed, by, ["_hash", *ties], name="_pos", total="_n", **given)
+    return written(ranked.select(*kept, (F.col("_pos") - 1).alias("_pos"), "_n"), "placed")
+
+
+def _sent(placed: DataFrame, features: Sequence[str], seed: object, by: Sequence[str]) -> DataFrame:
+    """`by`, `_pos`, `repeat` and the features, as `donor_<feature>`, of the row that a repeat's mapping sends to this place."""
+    source = placed.select(*by, F.col("_pos").alias("_from"), "_n", *[F.col(f).alias(f"donor_{f}") for f in features], "repeat")
+    return permuted(source, "_from", "_n", repeat_key(seed, F.col("repeat")), "_pos").drop("_from", "_n")
 
 
 def _each_feature(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -226,17 +245,25 @@ def permutation_scores(
 ) -> DataFrame:
     """One row per feature and repeat: baseline r2 minus permuted r2.
 
-    Each row is scored once for every feature, beside one another, so rows are not repeated for features.
+    Each row is scored once for every feature, beside one another, so rows are not repeated for features. Rows stay in buckets
+    of places; only donors move to them.
     """
     by, features = list(by), list(score.features)
-    base = score(df).groupBy(*by).agg(r2(label, "pred").alias("_base"))
-    rows = with_donors(df.select(*dict.fromkeys([*by, *keys, *features, label])), keys, features, repeats, seed, by, keep=[label])
-    if has_boxes(score):
-        rows = tree_swapped(score, rows, [*by, "repeat", label], [f"donor_{f}" for f in features], [f"_p{i}" for i in range(len(features))])
-    else:
-        for i, f in enumerate(features):
-            rows = score(rows, {f: F.col(f"donor_{f}")}, f"_p{i}")
-    permuted = rows.groupBy(*by, "repeat").agg(*[r2(label, f"_p{i}").alias(f"_r{i}") for i in range(len(features))])
+    used = df.select(*dict.fromkeys([*by, *keys, *features, label]))
+    placed = _placed(used, keys, features, seed, by, [label])
+    found = []
+    # one repeat after the other on one table: what is moved for a repeat is gone before the next one
+    with bucketed(placed, "placed", [*by, "_pos"], placed.count()) as table:
+        base = stable(score(table).groupBy(*by).agg(r2(label, "pred").alias("_base")))
+        for repeat in range(repeats):
+            rows = table.drop("_n").join(_sent(table.withColumn("repeat", F.lit(repeat)), features, seed, by), [*by, "_pos"])
+            if has_boxes(score):
+                rows = tree_swapped(score, rows, [*by, "repeat", label], [f"donor_{f}" for f in features], [f"_p{i}" for i in range(len(features))])
+            else:
+                for i, f in enumerate(features):
+                    rows = score(rows, {f: F.col(f"donor_{f}")}, f"_p{i}")
+            found.append(written(rows.groupBy(*by, "repeat").agg(*[r2(label, f"_p{i}").alias(f"_r{i}") for i in range(len(features))]), "repeat"))
+    permuted = reduce(DataFrame.unionByName, found)
     each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_r{i}").alias("_r2")) for i, f in enumerate(features)])
     permuted = permuted.select(*by, "repeat", F.inline(each))
     if by:

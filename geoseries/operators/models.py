@@ -33,7 +33,7 @@ from geoseries.operators.metrics import accuracy, ensemble_mean, pooled_metrics,
 from geoseries.operators.ranking import chunked_rank, row_hash
 from geoseries.operators.splits import spatial_split, stratified_folds
 from geoseries.schema import require_columns
-from geoseries.session import spread, written
+from geoseries.session import spread, temporary, written
 
 FAMILIES = {
     "lr": LinearRegression,
@@ -116,11 +116,11 @@ def fit_family(
     **params,
 ) -> ModelScorer:
     keep = [label, weight] if weight else [label]
-    rows = assembled(train, features, keep, missing)
-    if family != "lr":  # all others read the rows several times, each time with all joins below
-        rows = written(rows, "fit")
-    model = _estimator(family, label, weight, params, seed).fit(rows)
-    return ModelScorer(model, list(features))
+    rows, estimator = assembled(train, features, keep, missing), _estimator(family, label, weight, params, seed)
+    if family == "lr":
+        return ModelScorer(estimator.fit(rows), list(features))
+    with temporary(rows, "fit") as stored:  # all others read the rows several times, each time with all joins below
+        return ModelScorer(estimator.fit(stored), list(features))
 
 
 def fit_best(

@@ -84,14 +84,17 @@ def chunked_rank(
     name: str = "rn",
     total: str | None = None,
     rows: int = CHUNK_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """row_number over (`by` order by `order`), plus the group size if `total` is named.
 
     Without a `chunk`, groups are cut into balanced chunks of about `rows` rows. A given `chunk` must not decrease along
-    `order`; key columns and `chunk` must not be null.
+    `order`; key columns and `chunk` must not be null. Where the chunks are counted already, `sizes` has `by`, `_chunk`, `_size`.
     """
     keyed = with_balanced_chunks(df, by, order, rows) if chunk is None else df.withColumn("_chunk", chunk)
-    offsets = chunk_offsets(keyed.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_size")), by, total)
+    if sizes is None:
+        sizes = keyed.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = chunk_offsets(sizes, by, total)
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     ranked = keyed.withColumn(name, F.row_number().over(inside)).join(offsets, [*by, "_chunk"])
     kept = [c for c in df.columns if c != name]

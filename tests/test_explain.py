@@ -1,7 +1,9 @@
 """Explanations of a linear model have closed forms; permutations must be exact even for one hot station."""
 
 import math
+import time
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geoseries.operators import boxes, explain
 from geoseries.operators.models import LinearScorer, fit_family
+from geoseries.session import shared_dir
 
 LINEAR = LinearScorer({"a": 2.0, "b": -1.0, "c": 0.0}, 5.0)
 
@@ -258,3 +261,42 @@ def test_missing_covariates_end_the_job(table):
 def test_keys_are_left_behind(table):
     placed = explain.with_donors(table, ["id"], ["a"], 2, 3, ["s"], keep=["y"])
     assert set(placed.columns) == {"s", "y", "a", "donor_a", "repeat"} and placed.count() == 1200
+
+
+def test_repeats_move_one_after_the_other(spark, table, monkeypatch):
+    """What a repeat moved is gone before the next one, and the tables of a job are gone at its end."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        found = files.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    def stored():
+        return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "geoseries"
+    plain, moved, before, old = explain.written, [], kept(), stored()
+
+    def watched(df, name):
+        out = plain(df, name)
+        for _ in range(50):  # files go in the background
+            left = kept() - before
+            if not left:
+                break
+            time.sleep(0.1)
+        moved.append((name, len(left)))
+        return out
+
+    monkeypatch.setattr(explain, "written", watched)
+    got = explain.permutation_scores(LINEAR, table, ["id"], "y", 3, 3).collect()
+    assert len(got) == 9 and [name for name, _ in moved] == ["placed", "repeat", "repeat", "repeat"]
+    assert len({n for name, n in moved if name == "repeat"}) == 1  # a repeat leaves nothing
+    assert sorted(name.split("-")[0] for name in stored() - old) == ["placed", "repeat", "repeat", "repeat"]  # the buckets are gone
+    assert not spark.catalog.listTables()
+
+
+def test_keys_that_repeat_still_give_whole_permutations(spark):
+    """Rows of one key have one hash: chunks by its bits would hold them all."""
+    rows = spark.range(3000).select(F.lit(7).alias("id"), F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("y"))
+    got = explain.with_donors(rows, ["id"], ["a"], 2, 3).groupBy("repeat").agg(F.countDistinct("a"), F.countDistinct("donor_a"), F.count(F.lit(1))).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 3000, 3000, 3000), (1, 3000, 3000, 3000)]

@@ -68,3 +68,26 @@ def test_station_files_are_written_by_the_tasks(spark, tmp_path, rows):
         (r for r in data if r[1] % 7), key=lambda t: tuple((False, str(v)) for v in t)
     )
     assert [r.station_id for r in stations.skipped_files(spark, path, got, "file").sort("station_id").collect()] == [7, 14, 21, 28]
+
+
+def test_few_stations_go_to_all_tasks(spark, monkeypatch):
+    """The samples are not shuffled for the table of stations, whatever size Spark broadcasts by itself."""
+    from geoseries.suite import bindings
+
+    kinds = {
+        "lineitem": "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_discount double, l_tax double, l_extendedprice double",
+        "part": "p_partkey long, p_size int, p_retailprice double",
+        "supplier": "s_suppkey long, s_acctbal double",
+    }
+    rows = {"lineitem": [(1, 1, 1, 1, None, 1.0, 0.0, 0.0, 9.0), (1, 2, 1, None, None, 1.0, 0.0, 0.0, 9.0)], "part": [(1, 5, 2.0)], "supplier": [(1, 3.0), (1, 4.0)]}
+    monkeypatch.setattr(bindings, "table", lambda spark, sf, name: spark.createDataFrame(rows[name], kinds[name]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, joins in ((1, 0), (2, 1)):
+            monkeypatch.setattr(bindings, "FEW_STATIONS", most)
+            got = bindings.features(spark, "")
+            assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == joins
+            assert sorted(r["s_acctbal"] for r in got.collect()) == [3.0, 4.0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
