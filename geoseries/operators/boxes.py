@@ -130,6 +130,59 @@ class Leaves:
         return (self.values[:, None]) * (self.satisfied(i, x).T == self.bits[i][:, None])
 
 
+#: Words with one bit give their bit's number, shuffled, in the top six bits of their product with this number.
+ONE_BIT = np.uint64(0x03F79D71B4CB0A89)
+
+
+class Reached:
+    """A word for each tree: the leaves that a row can still be in. Words of all features have the row's own leaf in common.
+
+    For trees of up to 64 leaves. A value of a feature costs one lookup for all trees, and another value of one feature one more.
+    """
+
+    def __init__(self, leaves: Leaves, sizes: Sequence[int]) -> None:
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
+        tree = np.repeat(np.arange(len(sizes)), sizes)
+        bits = np.uint64(1) << (np.arange(len(tree)) - starts[tree]).astype(np.uint64)
+        self.leaves = leaves
+        self.masks = [np.bitwise_or.reduceat(np.where(codes == own, bits, np.uint64(0)), starts, axis=1) for codes, own in zip(leaves.codes, leaves.bits)]
+        self.table = np.zeros(64 * len(sizes))
+        self.table[64 * tree + ((bits * ONE_BIT) >> np.uint64(58)).astype(int)] = leaves.values
+        self.using = [np.unique(tree[np.flatnonzero(own)]) for own in leaves.bits]
+
+    @staticmethod
+    def of(scorer, leaves: Leaves) -> Reached | None:
+        """None where a tree has more leaves than a word has bits, or no tree has a split."""
+        sizes = [(tree.numNodes + 1) // 2 for tree in getattr(scorer.model, "trees", [scorer.model]) if tree.numNodes > 1]
+        return Reached(leaves, sizes) if sizes and max(sizes) <= 64 else None
+
+    def words(self, i: int, x: np.ndarray) -> np.ndarray:
+        """Leaves whose interval of feature `i` holds x (values x trees)."""
+        edges = self.leaves.edges[i]
+        return self.masks[i][np.where(np.isnan(x), len(edges) + 1, np.searchsorted(edges, x, side="left"))]
+
+    def others(self, own: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """For each feature, what the words of all other features have in common."""
+        every = np.full_like(own[0], ~np.uint64(0))
+        before, after = [every], [every]
+        for i in range(len(own) - 1):
+            before.append(before[-1] & own[i])
+            after.append(after[-1] & own[-1 - i])
+        return [a & z for a, z in zip(before, after[::-1])]
+
+    def values(self, words: np.ndarray, trees: np.ndarray) -> np.ndarray:
+        """Sum of the values of the leaves that words of `trees` are left with."""
+        return self.table[((words * ONE_BIT) >> np.uint64(58)).astype(np.int32) + 64 * trees.astype(np.int32)].sum(1)
+
+
+def _known(batch, name: str, n: int) -> list[np.ndarray]:
+    """Columns `name`0 to n - 1; missing values end the job."""
+    x = [batch.column(f"{name}{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(n)]
+    if any(np.isnan(v).any() for v in x):
+        raise ValueError("covariates are missing")
+    return x
+
+
 def tree_shapley(scorer, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`keys`, `feature`, `phi`: exact values against the whole table, for each row of it.
 
@@ -186,15 +239,35 @@ def tree_dependence(scorer, df: DataFrame, grids: Mapping[str, Sequence[float]])
 def tree_curves(scorer, df: DataFrame, keys: Sequence[str], grids: Mapping[str, Sequence[float]]) -> DataFrame:
     """`keys` and, for each grid in turn, `_c<number>`: changes of a row's prediction from the first value of the grid to each value."""
     leaves, names = Leaves(scorer), list(dict.fromkeys(keys))
-    steps = []
+    reached = Reached.of(scorer, leaves)
+    steps, places = [], []
+    for f, grid in grids.items():
+        i = leaves.features.index(f)
+        places.append((i, *np.unique(np.searchsorted(leaves.edges[i], np.array(grid, float), side="left"), return_inverse=True)))
     for f, grid in grids.items():
         i = leaves.features.index(f)
         used = np.flatnonzero(leaves.bits[i])
         effect = leaves.effect(i, np.array(grid, float))[used]
         steps.append((used, leaves.bits[i][used], leaves.full[used], effect - effect[:, :1]))
 
+    def single(batch, kept):
+        """Curves change only where the grid crosses an edge of the trees that use the feature."""
+        x = _known(batch, "_x", len(leaves.features))
+        for first in range(0, batch.num_rows, BLOCK):
+            own = [reached.words(i, v[first : first + BLOCK]) for i, v in enumerate(x)]
+            rest, lists = reached.others(own), []
+            for i, bins, back in places:
+                trees = reached.using[i]
+                levels = [reached.values(rest[i][:, trees] & reached.masks[i][b][trees], trees) for b in bins]
+                found = np.array(levels)[back]
+                lists.append(pa.ListArray.from_arrays(np.arange(len(own[0]) + 1, dtype=np.int32) * len(back), np.ascontiguousarray((found - found[:1]).T).ravel()))
+            yield pa.RecordBatch.from_arrays([*[c.slice(first, len(own[0])) for c in kept], *lists], names=[*names, *[f"_c{j}" for j in range(len(lists))]])
+
     def curves(batches):
         for batch in batches:
+            if reached:
+                yield from single(batch, [batch.column(n) for n in names])
+                continue
             for first, codes in leaves.blocks(batch, False):
                 kept = [batch.column(n).slice(first, len(codes)) for n in names]
                 found = [((codes[:, used] | bit) == full).astype(float) @ effect for used, bit, full, effect in steps]
@@ -251,26 +324,34 @@ def tree_effects(scorer, df: DataFrame, edges: Mapping[str, Sequence[float]]) ->
 def tree_swapped(scorer, df: DataFrame, keep: Sequence[str], donors: Sequence[str], out: Sequence[str]) -> DataFrame:
     """`keep` and, for each feature, the prediction of the row with that feature's value from its column of `donors`.
 
-    A block of rows meets all leaves once; a swapped feature changes only its own bit, at the leaves that use it.
+    A block of rows meets all leaves once; a swapped feature changes only its own word, or, of trees with many leaves, its own bit
+    at the leaves that use it.
     """
     leaves, names = Leaves(scorer), list(dict.fromkeys(keep))
+    reached = Reached.of(scorer, leaves)
     parts = [(np.flatnonzero(bits), np.flatnonzero(bits == 0)) for bits in leaves.bits]
 
+    def by_words(x, other, first):
+        rows = slice(first, first + BLOCK)
+        rest, trees = reached.others([reached.words(i, v[rows]) for i, v in enumerate(x)]), np.arange(len(reached.table) // 64)
+        return [reached.values(words & reached.words(i, v[rows]), trees) for i, (words, v) in enumerate(zip(rest, other))]
+
+    def by_bits(x, other, first):
+        rows, found = slice(first, first + BLOCK), []
+        codes = sum(leaves.satisfied(i, v[rows]) for i, v in enumerate(x))
+        for i, (used, rest) in enumerate(parts):
+            pred = (codes[:, rest] == leaves.full[rest]) @ leaves.values[rest]
+            moved = codes[:, used] - leaves.satisfied(i, x[i][rows])[:, used] + leaves.satisfied(i, other[i][rows])[:, used]
+            found.append(pred + (moved == leaves.full[used]) @ leaves.values[used])
+        return found
+
     def swapped(batches):
         for batch in batches:
-            other = [batch.column(f"_d{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(donors))]
-            if any(np.isnan(v).any() for v in other):
-                raise ValueError("covariates are missing")
-            own = [batch.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(donors))]
+            other, x = _known(batch, "_d", len(donors)), _known(batch, "_x", len(donors))
             pred = np.full((len(donors), batch.num_rows), leaves.constant, float)
-            for first, codes in leaves.blocks(batch, False):
-                rows = slice(first, first + BLOCK)
-                for i, (used, rest) in enumerate(parts):
-                    if len(rest):
-                        pred[i, rows] += (codes[:, rest] == leaves.full[rest]) @ leaves.values[rest]
-                    if len(used):
-                        moved = codes[:, used] - leaves.satisfied(i, own[i][rows])[:, used] + leaves.satisfied(i, other[i][rows])[:, used]
-                        pred[i, rows] += (moved == leaves.full[used]) @ leaves.values[used]
+            for first in range(0, batch.num_rows, BLOCK):
+                for i, found in enumerate((by_words if reached else by_bits)(x, other, first)):
+                    pred[i, first : first + BLOCK] += found
             kept = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, pred)], names=[*names, *out])
 

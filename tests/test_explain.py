@@ -300,3 +300,18 @@ def test_keys_that_repeat_still_give_whole_permutations(spark):
     rows = spark.range(3000).select(F.lit(7).alias("id"), F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("y"))
     got = explain.with_donors(rows, ["id"], ["a"], 2, 3).groupBy("repeat").agg(F.countDistinct("a"), F.countDistinct("donor_a"), F.count(F.lit(1))).collect()
     assert sorted(tuple(r) for r in got) == [(0, 3000, 3000, 3000), (1, 3000, 3000, 3000)]
+
+
+@pytest.mark.parametrize("family,params", [("rf", {"numTrees": 5, "maxDepth": 5}), ("dt", {"maxDepth": 9, "minInstancesPerNode": 1}), ("gbt", {"maxIter": 3, "maxDepth": 6}), ("dt", {"maxDepth": 0})])
+def test_words_and_bits_of_leaves_say_the_same(table, monkeypatch, family, params):
+    """Trees of up to 64 leaves are met by words; those with more, or without a split, by bits."""
+    forest = fit_family(table, ["a", "b", "c"], "y", family, **params)
+    sizes = [(t.numNodes + 1) // 2 for t in getattr(forest.model, "trees", [forest.model])]
+    found = boxes.Reached.of(forest, boxes.Leaves(forest))
+    assert (found is not None) == (1 < max(sizes) <= 64) and (found is None or len(found.table) == 64 * sum(n > 1 for n in sizes))
+    got = explain.permutation_scores(forest, table, ["id"], "y", 2, 3).sort("feature", "repeat").collect()
+    lines = {(r.id, r.feature, r.point): r.ice for r in explain.ice(forest, table.where("id < 30"), ["id"], ["a", "c"], 9).collect()}
+    want = explain.permutation_scores(Hidden(forest), table, ["id"], "y", 2, 3).sort("feature", "repeat").collect()
+    assert [r["value"] for r in got] == pytest.approx([r["value"] for r in want], abs=1e-9)
+    plain = {(r.id, r.feature, r.point): r.ice for r in explain.ice(Hidden(forest), table.where("id < 30"), ["id"], ["a", "c"], 9).collect()}
+    assert lines.keys() == plain.keys() and all(lines[k] == pytest.approx(plain[k], abs=1e-9) for k in plain)
